@@ -1,0 +1,5 @@
+"""No streaming operators: the workload is batch only.
+
+The expressions in ``kinfold.functions`` are stateless Column functions and can
+be used in a ``readStream`` projection unchanged.
+"""
