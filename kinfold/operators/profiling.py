@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinfold.functions.special import student_t_two_sided
 from kinfold.plans.ordered import average_ranks, quantiles
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -238,10 +240,6 @@ def rank_correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def correlation_p_value(df: DataFrame, rho: str = "rho", n: str = "n") -> DataFrame:
     """Two-sided p of a correlation from the t distribution (n-2 degrees), vectorised."""
-    import pandas as pd
-
-    from kinfold.functions.special import student_t_two_sided
-
     @F.pandas_udf("double")
     def p_value(r: pd.Series, m: pd.Series) -> pd.Series:
         return student_t_two_sided(r, m)

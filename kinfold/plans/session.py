@@ -23,6 +23,7 @@ def local_session(cpus: int = 8, app: str = "kinfold", memory: str = "12g") -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

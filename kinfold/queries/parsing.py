@@ -524,7 +524,7 @@ def clean_sql() -> str:
    log10(greatest(gravity_g, 1e-8)) AS log10_gravity_g, ignition_power_w, ignition_time_s,
    ignition_power_w * ignition_time_s AS ignition_energy_j, dm[1] AS sample_dim_1_mm, dm[2] AS sample_dim_2_mm,
    dm[3] AS sample_dim_3_mm, list_min(dm) AS sample_dim_min_mm, list_max(dm) AS sample_dim_max_mm,
-   list_avg(dm) AS sample_dim_mean_mm, len(dm) AS sample_dim_count, core_diameter_mm, outer_diameter_mm,
+   list_avg(dm) AS sample_dim_mean_mm, CAST(len(dm) AS DOUBLE) AS sample_dim_count, core_diameter_mm, outer_diameter_mm,
    CASE WHEN outer_diameter_mm >= core_diameter_mm THEN (outer_diameter_mm - core_diameter_mm) / 2 END AS insulation_thickness_mm,
    im[1] AS internal_dim_1_mm, im[2] AS internal_dim_2_mm, im[3] AS internal_dim_3_mm, list_avg(im) AS internal_dim_mean_mm,
    {case('geometry', GEOMETRY_CASES)} AS geometry_cat, {case('internal_geom', INTERNAL_CASES)} AS internal_geom_cat,
