@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from kinfold.functions.text import clean_cell, contains_any
+from kinfold.functions.text import clean_cell, contains_any, let
 
 
 @dataclass(frozen=True)
@@ -33,11 +33,14 @@ def keyword_category(
     c: Column, rules: Sequence[Rule], default: str, unknown: str | None = None
 ) -> Column:
     """First rule that holds wins; ``unknown`` labels missing text."""
-    s = F.lower(clean_cell(c)) if unknown is not None else F.lower(F.coalesce(c, F.lit("")))
-    out = F.when(s.isNull(), F.lit(unknown))
-    for r in rules:
-        out = out.when(r.holds(s), F.lit(r.label))
-    return out.otherwise(F.lit(default))
+    def choose(s: Column) -> Column:
+        out = F.when(s.isNull(), F.lit(unknown))
+        for r in rules:
+            out = out.when(r.holds(s), F.lit(r.label))
+        return out.otherwise(F.lit(default))
+
+    text = clean_cell(c) if unknown is not None else F.coalesce(c, F.lit(""))
+    return let(F.lower(text), choose)
 
 
 # Rule tables.  The order decides.

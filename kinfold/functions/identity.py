@@ -46,7 +46,7 @@ def short_label(citation: Column, entity: Column) -> Column:
     c = F.coalesce(citation, entity)
     first = F.substring(F.trim(F.element_at(F.split(c, "[,.]"), 1)), 1, 18)
     found = first_or_null(c, r"\((\d{4})\)|\b(?:19|20)\d{2}\b")
-    year = F.coalesce(F.regexp_replace(found, "[()]", ""), F.lit("????"))
+    year = F.coalesce(F.translate(found, "()", ""), F.lit("????"))
     tail = F.right(entity, F.lit(12))
     return F.concat(first, F.lit(" "), year, F.lit(" ["), tail, F.lit("]"))
 

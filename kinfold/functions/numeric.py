@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from kinfold.functions.text import MISSING_CELLS, clean_cell, first_or_null
+from kinfold.functions.text import MISSING_CELLS, clean_cell, contains_any, first_or_null, let
 
 # Number and length-token patterns.
 NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
@@ -139,18 +139,22 @@ def _near_word(s: Column, words: str) -> Column:
     pick = lambda p: (
         first_or_null(s, p, 1).try_cast("double") * mm_per_unit(F.regexp_extract(s, p, 2))
     )
-    return F.coalesce(pick(before), pick(after))
+    named = contains_any(s, words.split("|"))  # cheap test before four pattern searches
+    return F.when(named, F.coalesce(pick(before), pick(after)))
 
 
 def core_outer_mm(c: Column) -> Column:
     """Struct (core, outer, thickness) in mm from texts like "0.5mm core; 1.1 mm outer"."""
-    s = F.lower(F.replace(_dots_comma(c), F.lit("×"), F.lit("x")))
-    core, outer = _near_word(s, "core|inner"), _near_word(s, "outer|outside")
-    return F.struct(
-        core.alias("core"),
-        outer.alias("outer"),
-        F.when(outer >= core, (outer - core) / 2).alias("thickness"),
-    )
+    def pair(s: Column) -> Column:
+        return F.struct(
+            _near_word(s, "core|inner").alias("c"), _near_word(s, "outer|outside").alias("o")
+        )
+
+    found = let(F.lower(F.replace(_dots_comma(c), F.lit("×"), F.lit("x"))), pair)
+    return let(found, lambda w: F.struct(
+        w["c"].alias("core"), w["o"].alias("outer"),
+        F.when(w["o"] >= w["c"], (w["o"] - w["c"]) / 2).alias("thickness"),
+    ))
 
 
 def floored_log10(c: Column, floor: float = LOG_FLOOR) -> Column:

@@ -20,17 +20,35 @@ ENTITIES = (
     ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"), ("&copy;", "©"), ("&reg;", "®"),
     ("&amp;", "&"),
 )
-SPACES = r"(?U)[\s\x1c-\x1f]+"
+# Every character that counts as white space.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    A Column used several times is copied into every use, and nested copies
+    multiply; a one-element ``transform`` binds it to a variable instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def squeeze(c: Column) -> Column:
-    """Every whitespace run (also NBSP) becomes one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, SPACES, " "))
+    """Every whitespace run (also NBSP) becomes one space; ends are trimmed.
+
+    The regular expression only runs on the rare cells that hold a run.
+    """
+    return let(
+        F.trim(F.translate(c, SPACE_CHARS, " " * len(SPACE_CHARS))),
+        lambda s: F.when(s.contains("  "), F.regexp_replace(s, " +", " ")).otherwise(s),
+    )
 
 
 def clean_cell(c: Column, missing: tuple[str, ...] = MISSING_CELLS) -> Column:
-    s = squeeze(c)
-    return F.when(~F.lower(s).isin(*missing), s)
+    return let(squeeze(c), lambda s: F.when(~F.lower(s).isin(*missing), s))
 
 
 def slug(c: Column) -> Column:
