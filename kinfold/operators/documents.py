@@ -168,7 +168,7 @@ def paragraph_chunks(df: DataFrame, doc: str, text: str) -> DataFrame:
     chunks = spans.select(
         doc, "section", (F.col("start") + 1).alias("line_start"),
         F.coalesce(F.col("next_pos"), F.col("last_pos") + 1).alias("line_end"),
-        normalize_text(joined).alias("text"), F.element_at("body", 1)["line"].alias("first_line"),
+        normalize_text(joined).alias("text"), F.try_element_at("body", F.lit(1))["line"].alias("first_line"),
     ).where(F.col("text") != "")
     kind = (
         F.when(is_caption(F.col("first_line")), "caption_context")

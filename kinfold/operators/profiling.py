@@ -23,7 +23,8 @@ def _long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataF
 
 
 def group_stats(
-    df: DataFrame, group: str, label: str, name: str, name_order: str, numeric: Sequence[str]
+    df: DataFrame, group: str, label: str, name: str, name_order: str, numeric: Sequence[str],
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Size, positives, rate, single-class flag, share and numeric coverage of each group."""
     filled = F.lit(0.0)
@@ -35,8 +36,9 @@ def group_stats(
         F.sum(label).cast("long").alias("n_positive"),
         F.avg(label).alias("positive_rate"),
         F.avg(filled / len(numeric)).alias("numeric_coverage"),
+        *extra,
     )
-    total = df.agg(F.count("*").alias("n")).scalar()
+    total = per.agg(F.sum("n_rows").alias("n")).scalar()  # shares the aggregate's exchange
     return per.select(
         "*",
         (F.col("n_rows") - F.col("n_positive")).alias("n_negative"),

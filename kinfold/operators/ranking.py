@@ -115,38 +115,36 @@ def order_by_metric(df: DataFrame, key: str, metric_table: DataFrame, metric: st
 def quantile_bins(df: DataFrame, value: str, max_bins: int = 6, out: str = "bin") -> DataFrame:
     """Quantile bin of every row, equal edges merged, right-closed; NULL below 8 values.
 
-    Exact edges come from bucketed ranks as one small row.
+    Size, distinct count, range and the edges for every possible number of bins
+    come from one bucketed sort, as one small row.
     """
-    from kinfold.plans.ordered import quantiles
-
-    ok = df.where(F.col(value).isNotNull())
-    distinct = ok.agg(F.count_distinct(value).alias("d")).scalar()
-    n = ok.agg(F.count("*").alias("n")).scalar()
-    # every possible number of bins 2..max_bins shares one sort
-    probs = {f"e{k}_{i}": i / k for k in range(2, max_bins + 1) for i in range(1, k)}
-    q = quantiles(ok, value, probs)
-    edges = q.select(F.map_from_entries(F.array(*[
-        F.struct(F.lit(k), F.array_distinct(F.array(*[F.col(f"e{k}_{i}") for i in range(1, k)])))
-        for k in range(2, max_bins + 1)
-    ])).alias("m")).scalar()
-    top = ok.agg(F.struct(F.min(value).cast("double").alias("lo"),
-                          F.max(value).cast("double").alias("hi")).alias("r")).scalar()
-    k = F.least(F.lit(max_bins), F.greatest(F.lit(2), F.col("__d"))).cast("int")
-    inner = F.filter(
-        F.try_element_at(F.col("__m"), k), lambda e: (e > F.col("__r.lo")) & (e < F.col("__r.hi"))
+    n = F.col("__n_total")
+    p = prefix_sums(
+        df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__v")),
+        "__v", {"__n": F.lit(1).cast("bigint")},
     )
-    return (
-        df.withColumn("__d", distinct).withColumn("__cnt", n).withColumn("__m", edges)
-        .withColumn("__r", top)
-        .withColumn(
-            out,
-            F.when(
-                F.col(value).isNotNull() & (F.col("__cnt") >= 8),
-                F.size(F.filter(inner, lambda e: e < F.col(value))),
-            ),
-        )
-        .drop("__d", "__cnt", "__m", "__r")
+    hit = "max(CASE WHEN __n_before <= {k} AND {k} < __n_before + __n THEN __v END)"
+
+    def edge(q: float) -> str:
+        at = f"({q!r}D * (__n_total - 1))"
+        low, high = hit.format(k=f"floor({at})"), hit.format(k=f"ceil({at})")
+        return f"{low} + ({high} - {low}) * max({at} - floor({at}))"
+
+    # one parsed expression: building 15 edges Column by Column costs more than running them
+    choices = F.expr("array(" + ", ".join(
+        "array(" + ", ".join(edge(i / k) for i in range(1, k)) + ")" for k in range(2, max_bins + 1)
+    ) + ")")
+    facts = p.agg(F.struct(
+        F.max(n).alias("n"), F.count("*").alias("d"), F.min("__v").alias("lo"),
+        F.max("__v").alias("hi"), choices.alias("edges"),
+    ).alias("f")).scalar()
+    k = F.least(F.lit(max_bins), F.greatest(F.lit(2), F.col("__f.d"))).cast("int")
+    inner = F.filter(
+        F.array_distinct(F.element_at(F.col("__f.edges"), k - 1)),
+        lambda e: (e > F.col("__f.lo")) & (e < F.col("__f.hi")) & (e < F.col(value)),
     )
+    binned = F.when(F.col(value).isNotNull() & (F.col("__f.n") >= 8), F.size(inner))
+    return df.withColumn("__f", facts).withColumn(out, binned).drop("__f")
 
 
 def first_per_document(df: DataFrame, doc: str, order: str, k: int) -> DataFrame:

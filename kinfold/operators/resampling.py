@@ -142,14 +142,14 @@ def pooled_ranking_intervals(
     )
     w = lookup(cells, picks, [group], "inner").select(*by, score, "__p", "__n", F.inline("__m"))
     per = w.groupBy(*by, "replicate", score).agg(
-        F.sum(F.col("__p") * F.col("times")).alias("p"),
-        F.sum(F.col("__n") * F.col("times")).alias("n"),
+        F.sum(F.col("__p") * F.col("times")).alias("__wp"),
+        F.sum(F.col("__n") * F.col("times")).alias("__wn"),
     )
     rows = per.select(*by, "replicate", score, F.inline(F.array(
-        F.struct(F.lit(1).alias("y"), F.col("p").alias("w")),
-        F.struct(F.lit(0).alias("y"), F.col("n").alias("w")),
+        F.struct(F.lit(1).alias("__y"), F.col("__wp").alias("__w")),
+        F.struct(F.lit(0).alias("__y"), F.col("__wn").alias("__w")),
     )))
-    draws = ranking_metrics(rows, "y", score, [*by, "replicate"], "w").select(
+    draws = ranking_metrics(rows, "__y", score, [*by, "replicate"], "__w").select(
         *by, F.inline(F.array(
             F.struct(F.lit("pooled_roc_auc").alias("metric"), F.col("roc_auc").alias("v")),
             F.struct(F.lit("pooled_pr_auc").alias("metric"), F.col("pr_auc").alias("v")),

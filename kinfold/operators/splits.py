@@ -15,6 +15,7 @@ from kinfold.operators.ranking import pareto, quantile_bins
 from kinfold.plans.ordered import (
     hash_key, hashed_positions, lookup, prefix_sums, quantiles,
 )
+from kinfold.plans.session import cut_lineage
 
 GROUPS_PER_SHARD = 200_000
 
@@ -170,7 +171,10 @@ def balanced_group_candidates(
         runs, F.lit(seed).cast("long") + 1000 * F.col("candidate"), [group], ["candidate"],
         ["g_n", "g_sum", "g_sq", "g_bin"],
     )
-    sides = pos.withColumn("is_test", F.col("pos") < F.ceil(F.col("n") * test_fraction)).drop("__h")
+    # small (candidates x groups) and read five times: computed once, in the shared folder
+    sides = cut_lineage(
+        pos.withColumn("is_test", F.col("pos") < F.ceil(F.col("n") * test_fraction)).drop("__h")
+    )
 
     moments = sides.groupBy("candidate", "is_test").agg(
         F.sum("g_n").alias("n_rows"), F.sum("g_sum").alias("s"), F.sum("g_sq").alias("sq"),

@@ -24,6 +24,7 @@ def local_session(cpus: int = 8, app: str = "kinfold", memory: str = "12g") -> S
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from kinfold.queries.base import REGISTRY
 
-FAMILIES = ("parsing", "profiling", "sampling", "scoring")
+FAMILIES = ("parsing", "profiling", "sampling", "scoring", "documents")
 
 __all__ = ["REGISTRY", "load_all"]
 

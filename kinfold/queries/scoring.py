@@ -107,10 +107,9 @@ def scored_groups(spark, sf):
     df = frame(spark, sf, FLAG_SRC).select(
         "l_suppkey", num.flow_mm_s(F.col("flow")).alias("v"), "p", num.yes_no(F.col("outcome")).alias("y"))
     df = ids.drop_exact_duplicates(ids.keep_labelled(df, "y"), ["l_suppkey", "v", "p", "y"])
-    stats = prof.group_stats(df, "l_suppkey", "y", "l_suppkey", "v", ["v"])
-    flow = df.groupBy("l_suppkey").agg(F.avg("v").alias("mean_flow"))
+    stats = prof.group_stats(df, "l_suppkey", "y", "l_suppkey", "v", ["v"], [F.avg("v").alias("mean_flow")])
     auc = met.ranking_metrics(df, "y", "p", ["l_suppkey"]).drop("n_pos", "n_neg")
-    out = stats.join(flow, "l_suppkey").join(auc, "l_suppkey", "left")
+    out = stats.join(auc, "l_suppkey", "left")
     return rounded(out.select("l_suppkey", "n_rows", "n_positive", "positive_rate", "single_class", "share_pct",
                               "mean_flow", "roc_auc", "pr_auc").orderBy("roc_auc"))
 
