@@ -109,8 +109,8 @@ def x7(spark, sf):
     return u.select("doc_id", "type", "section", F.md5("text").alias("digest"), "line_start")
 
 
-@query("x8_render_excerpts", chunk_sql() + """, u AS (SELECT doc_id, type, section, text, min(line_start) AS ls, arg_min(line_end, line_start) AS le FROM z GROUP BY ALL),
- k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ls) AS i FROM u WHERE type IN ('setup_paragraph', 'caption_context')),
+@query("x8_render_excerpts", chunk_sql() + """, uq AS (SELECT doc_id, type, section, text, min(line_start) AS ls, arg_min(line_end, line_start) AS le FROM z GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ls) AS i FROM uq WHERE type IN ('setup_paragraph', 'caption_context')),
  g AS (SELECT doc_id, count(*) AS n, string_agg('## Excerpt ' || i || chr(10) || chr(10) || '- Type: ' || type || chr(10) || '- Section: ' || COALESCE(section, 'N/A') || chr(10)
    || '- Lines: ' || ls || '-' || le || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY i) AS body FROM k WHERE i <= 80 GROUP BY 1)
  SELECT d.doc_id, md5(regexp_replace('# Extracted Experimental Context' || chr(10) || chr(10) || 'Source markdown: ' || d.source || chr(10) || 'Total selected excerpts: '
@@ -339,11 +339,11 @@ F5_SQL = "abs(u) * dmin / 1e6 / nu"
 GR_SQL = "g * 9.81 * 4.0 * pow(dmin / 1000, 3) / (nu * nu)"
 
 
-@query("f5_dimensionless", f"WITH c AS ({STATE_SQL}), {GASES_SQL} SELECT o_orderkey, {r(F5_SQL, 5)} AS re, {r(GR_SQL, 5)} AS gr, {r(f'CASE WHEN u <> 0 THEN ({GR_SQL}) / pow({F5_SQL}, 2) END', 1)} AS mixed FROM k")
+@query("f5_dimensionless", f"WITH c AS ({STATE_SQL}), {GASES_SQL} SELECT o_orderkey, {r(F5_SQL, 5)} AS re, {r(GR_SQL, 5)} AS gr, {r(f'CASE WHEN u <> 0 THEN ({GR_SQL}) / pow({F5_SQL}, 2) END', 5)} AS mixed FROM k")
 def f5(spark, sf):
     re = phy.reynolds(F.col("u"), F.col("dmin"), F.col("gas_nu"))
     gr = phy.grashof(F.col("g"), F.col("dmin"), F.col("gas_nu"))
-    return gas(spark, sf).select("o_orderkey", (F.round(re, 5) + 0.0).alias("re"), (F.round(gr, 5) + 0.0).alias("gr"), (F.round(phy.mixed_convection(gr, re), 1) + 0.0).alias("mixed"))
+    return gas(spark, sf).select("o_orderkey", (F.round(re, 5) + 0.0).alias("re"), (F.round(gr, 5) + 0.0).alias("gr"), (F.round(phy.mixed_convection(gr, re), 5) + 0.0).alias("mixed"))
 
 
 PROPS_SQL = f"""q AS (SELECT *, {FUEL_CASE.format('1190.0::DOUBLE', '920.0', '1700.0')} AS rf, {FUEL_CASE.format('0.19::DOUBLE', '0.33', '0.24')} AS kf, {FUEL_CASE.format('1420.0::DOUBLE', '2300.0', '1950.0')} AS cf,
