@@ -165,32 +165,43 @@ def leave_one_group_out_table(df: DataFrame, specs: Mapping[str, ModelSpec], thr
     ])
 
 
+def _protocol_folds(df: DataFrame, spec: ModelSpec, protocol: str, k: int, seed: int):
+    """(split table, join column, folds to test) of one protocol."""
+    if protocol == "holdout":
+        t = splits.stratified_holdout(df, spec.label, [spec.row_id], seed)
+        return t.withColumn("fold", F.when(F.col("is_test"), 0).otherwise(1)), spec.row_id, [0]
+    if protocol == "stratified":
+        return splits.stratified_kfold(df, spec.label, [spec.row_id], k, seed), spec.row_id, list(range(k))
+    if protocol == "group":
+        return splits.group_kfold(df, spec.group, k), spec.group, list(range(k))
+    table = splits.stratified_group_kfold(df, spec.group, spec.label, k, [seed])
+    return table, spec.group, list(range(k))
+
+
+def protocol_scores(
+    df: DataFrame, spec: ModelSpec, protocols: Sequence[str], k: int = 5, seeds: Sequence[int] = (42,)
+) -> DataFrame:
+    """(protocol, mean, std, n_fits): AUC over folds; the deviation is the population one."""
+    parts = []
+    for protocol in protocols:
+        for seed in seeds if protocol == "stratified_group" else seeds[:1]:
+            table, on, tests = _protocol_folds(df, spec, protocol, k, seed)
+            folds = table.select(on, "fold")
+            data = cut_lineage(lookup(df, folds, [on]) if on == spec.group else df.join(folds, on))
+            oof = oof_scores(data, spec, "fold", tests)
+            auc = met.ranking_metrics(oof, spec.label, "score", ["fold"])
+            parts.append(auc.select(F.lit(protocol).alias("protocol"), "roc_auc"))
+    return stack_results(parts).groupBy("protocol").agg(
+        F.avg("roc_auc").alias("mean"), F.stddev_pop("roc_auc").alias("std"), F.count("*").alias("n_fits"))
+
+
 def protocol_ladder(df: DataFrame, spec: ModelSpec, k: int = 5, seeds: Sequence[int] = (42,)) -> DataFrame:
-    """Mean and population deviation of the AUC from the most optimistic split to the strictest."""
-    def scored(table: DataFrame, on: str, name: str, folds: Sequence[int]) -> DataFrame:
-        data = cut_lineage(lookup(df, table.select(on, "fold"), [on]) if on == spec.group
-                           else df.join(table.select(on, "fold"), on))
-        parts = run_parallel(df, [
-            lambda f=f: fit(data.where(F.col("fold") != f), spec)(data.where(F.col("fold") == f))
-            for f in folds])
-        oof = reduce(lambda a, b: a.unionByName(b), parts)
-        auc = met.ranking_metrics(oof, spec.label, "score", ["fold"])
-        return auc.select(F.lit(name).alias("protocol"), "roc_auc")
-
-    hold = splits.stratified_holdout(df, spec.label, [spec.row_id]).withColumn(
-        "fold", F.when(F.col("is_test"), 0).otherwise(1))
-    rows = [
-        scored(hold, spec.row_id, "random 80/20", [0]),
-        scored(splits.stratified_kfold(df, spec.label, [spec.row_id], k), spec.row_id, "stratified k-fold", range(k)),
-        scored(splits.group_kfold(df, spec.group, k), spec.group, "group k-fold", range(k)),
-    ]
-    for s in seeds:
-        rows.append(scored(splits.stratified_group_kfold(df, spec.group, spec.label, k, [s]),
-                           spec.group, "stratified group k-fold", range(k)))
+    """The four fold protocols and pooled leave-one-group-out, from most to least optimistic."""
+    rows = protocol_scores(df, spec, ("holdout", "stratified", "group", "stratified_group"), k, seeds)
     lopo = met.ranking_metrics(leave_one_group_out(df, spec), spec.label, "score")
-    rows.append(lopo.select(F.lit("leave one group out (pooled)").alias("protocol"), "roc_auc"))
-    return stack_results(rows).groupBy("protocol").agg(
-        F.avg("roc_auc").alias("mean"), F.stddev_pop("roc_auc").alias("std"), F.count("*").alias("n_fits"))
+    return rows.unionByName(lopo.select(
+        F.lit("leave_one_group_out").alias("protocol"), F.col("roc_auc").alias("mean"),
+        F.lit(0.0).alias("std"), F.lit(1).cast("bigint").alias("n_fits")))
 
 
 def grouped_search(

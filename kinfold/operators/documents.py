@@ -14,7 +14,7 @@ from kinfold.functions.categories import EXTRACTED_FACILITY, EXTRACTED_GEOMETRY,
 from kinfold.functions.identity import doi_address
 from kinfold.functions.numeric import NO_OUTCOME, YES_OUTCOME
 from kinfold.functions.text import (
-    MISSING_FIELDS, contains_any, count_hits, first_or_null, normalize_text, starts_with_any,
+    MISSING_FIELDS, contains_any, count_hits, first_or_null, let, normalize_text, starts_with_any,
 )
 
 # Section, keyword and phrase lists of the excerpt selection.
@@ -116,25 +116,35 @@ def is_non_setup_section(section: Column) -> Column:
 
 def is_setup_paragraph(text: Column, section: Column) -> Column:
     """Score keyword, measurement and section evidence against the fixed limits."""
-    s = F.lower(text)
     boost = F.coalesce(F.lower(section).rlike(SETUP_SECTIONS), F.lit(False))
-    words = count_hits(s, SETUP_WORDS)
-    measures = F.size(F.regexp_extract_all(s, F.lit(MEASUREMENT), F.lit(0)))
-    outcome = contains_any(s, OUTCOME_WORDS)
-    background = contains_any(s, BACKGROUND_PHRASES) & (measures == 0) & (words < 4)
-    score = (
-        F.least(words, F.lit(MAX_KEYWORD_SCORE)) + F.least(measures, F.lit(MAX_MEASURE_SCORE))
-        + F.when(boost, 2).otherwise(0) + contains_any(s, CONDITION_WORDS).cast("int")
-        + outcome.cast("int")
-    )
-    skipped = (
-        s.startswith("references") | s.startswith("## references") | s.rlike(r"^\[\d+\]\s")
-        | is_non_setup_section(section) | background
-    )
-    enough = F.when(boost, score >= SCORE_IN_SECTION).otherwise(
-        (score >= SCORE_ELSEWHERE) & ((measures > 0) | outcome)
+
+    def evidence(s: Column) -> Column:
+        return F.struct(
+            s.alias("s"), count_hits(s, SETUP_WORDS).alias("words"),
+            F.size(F.regexp_extract_all(s, F.lit(MEASUREMENT), F.lit(0))).alias("measures"),
+            contains_any(s, OUTCOME_WORDS).alias("outcome"), boost.alias("boost"),
+        )
+
+    def decide(e: Column) -> Column:
+        s, words, measures = e["s"], e["words"], e["measures"]
+        background = (measures == 0) & (words < 4) & contains_any(s, BACKGROUND_PHRASES)
+        score = (
+            F.least(words, F.lit(MAX_KEYWORD_SCORE)) + F.least(measures, F.lit(MAX_MEASURE_SCORE))
+            + F.when(e["boost"], 2).otherwise(0) + contains_any(s, CONDITION_WORDS).cast("int")
+            + e["outcome"].cast("int")
+        )
+        skipped = (
+            s.startswith("references") | s.startswith("## references") | s.rlike(r"^\[\d+\]\s")
+            | background
+        )
+        enough = F.when(e["boost"], score >= SCORE_IN_SECTION).otherwise(
+            (score >= SCORE_ELSEWHERE) & ((measures > 0) | e["outcome"])
+        )
+        return ~skipped & enough & (s != "")
+
+    return F.when(is_non_setup_section(section), F.lit(False)).otherwise(
+        let(let(F.lower(text), evidence), decide)
     )
-    return ~skipped & enough & (s != "")
 
 
 def paragraph_chunks(df: DataFrame, doc: str, text: str) -> DataFrame:

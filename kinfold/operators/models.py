@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
@@ -204,8 +205,6 @@ def fourier_features(width: int, n: int, gamma: float, seed: int) -> tuple[list,
 
 def fit_svm(train: DataFrame, spec: ModelSpec) -> Scorer:
     """Linear or RBF support vectors; out-of-fold margins calibrate a sigmoid (3 folds)."""
-    import pandas as pd
-
     p = {"n_features": 64, "gamma": None, "kernel": "rbf", "maxIter": 30, "regParam": 0.01,
          "calibration_folds": 3, **spec.params}
     pre = preprocessor(spec).fit(train)

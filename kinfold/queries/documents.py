@@ -339,11 +339,11 @@ F5_SQL = "abs(u) * dmin / 1e6 / nu"
 GR_SQL = "g * 9.81 * 4.0 * pow(dmin / 1000, 3) / (nu * nu)"
 
 
-@query("f5_dimensionless", f"WITH c AS ({STATE_SQL}), {GASES_SQL} SELECT o_orderkey, {r(F5_SQL, 5)} AS re, {r(GR_SQL, 5)} AS gr, {r(f'CASE WHEN u <> 0 THEN ({GR_SQL}) / pow({F5_SQL}, 2) END', 5)} AS mixed FROM k")
+@query("f5_dimensionless", f"WITH c AS ({STATE_SQL}), {GASES_SQL} SELECT o_orderkey, {r(F5_SQL, 5)} AS re, {r(GR_SQL, 5)} AS gr, {r(f'CASE WHEN u <> 0 THEN log10(({GR_SQL}) / pow({F5_SQL}, 2)) END')} AS log_mixed FROM k")
 def f5(spark, sf):
     re = phy.reynolds(F.col("u"), F.col("dmin"), F.col("gas_nu"))
     gr = phy.grashof(F.col("g"), F.col("dmin"), F.col("gas_nu"))
-    return gas(spark, sf).select("o_orderkey", (F.round(re, 5) + 0.0).alias("re"), (F.round(gr, 5) + 0.0).alias("gr"), (F.round(phy.mixed_convection(gr, re), 5) + 0.0).alias("mixed"))
+    return gas(spark, sf).select("o_orderkey", (F.round(re, 5) + 0.0).alias("re"), (F.round(gr, 5) + 0.0).alias("gr"), (F.round(F.log10(phy.mixed_convection(gr, re)), 6) + 0.0).alias("log_mixed"))
 
 
 PROPS_SQL = f"""q AS (SELECT *, {FUEL_CASE.format('1190.0::DOUBLE', '920.0', '1700.0')} AS rf, {FUEL_CASE.format('0.19::DOUBLE', '0.33', '0.24')} AS kf, {FUEL_CASE.format('1420.0::DOUBLE', '2300.0', '1950.0')} AS cf,
