@@ -48,7 +48,7 @@ def oof_scores(
 def grouped_oof(df: DataFrame, spec: ModelSpec, k: int = 4, seed: int = 42) -> DataFrame:
     """Out-of-fold scores over class-balanced folds of whole groups."""
     table = splits.stratified_group_kfold(df, spec.group, spec.label, k, [seed])
-    data = cut_lineage(lookup(df, table.select(spec.group, "fold"), [spec.group]))
+    data = cut_lineage(lookup(df.drop("fold"), table.select(spec.group, "fold"), [spec.group]))
     return oof_scores(data, spec, "fold", list(range(k)))
 
 
@@ -93,7 +93,7 @@ def fold_record(
 
 def _nested(df: DataFrame, spec: ModelSpec, method: str, seed: int, fold: int, inner: int,
             test_flag) -> DataFrame:
-    train, test = df.where(~test_flag), df.where(test_flag)
+    train, test = df.where(~test_flag).drop("fold"), df.where(test_flag).drop("fold")
     thr = inner_thresholds(train, spec, inner, seed, threshold_weights(spec))
     scored = cut_lineage(fit(train, spec)(test).select(spec.row_id, spec.group, spec.label, "score"))
     return fold_record(scored, thr, spec, method, seed, fold)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from kinfold.queries.base import REGISTRY
 
-FAMILIES = ("parsing", "profiling", "sampling", "scoring", "documents", "modelling")
+FAMILIES = ("parsing", "profiling", "sampling", "scoring", "documents", "sources", "modelling")
 
 __all__ = ["REGISTRY", "load_all"]
 

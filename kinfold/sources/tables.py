@@ -38,7 +38,10 @@ OUTCOME_COLUMNS = (
     "Flame Length", "FSR (Flame Spread Rate)", "HRR (Heat release rate)",
     "Smoke/ Areosols (yes/no)",
 )
-UNDEFINED_CP1252 = "[\u0081\u008d\u008f\u0090\u009d]"
+# the five bytes windows-1252 leaves undefined, and the others of the 0x80-0x9f block
+_C1 = [chr(i) for i in range(0x80, 0xA0)]
+_C1_MEANING = [c.encode("latin-1").decode("cp1252", errors="ignore") for c in _C1]
+UNDEFINED_CP1252 = "[" + "".join(c for c, m in zip(_C1, _C1_MEANING) if not m) + "]"
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -60,13 +63,20 @@ def read_banner_csv(spark: SparkSession, path: str, encoding: str | None = None)
     Every file of ``path`` may repeat both lines.
     """
     encoding = encoding or detect_encoding(spark, path)
-    opts = dict(encoding=encoding, quote='"', escape='"', multiLine=False)
+    # Spark reads no windows-1252: read one byte per character, then translate its own block
+    western = encoding == "windows-1252"
+    opts = dict(encoding="ISO-8859-1" if western else encoding, quote='"', escape='"', multiLine=False)
     two = spark.read.options(**opts).csv(path, header=False).head(2)
     names = unique_names([str(v) if v is not None else None for v in two[1]])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     body = spark.read.options(**opts, enforceSchema=True).schema(schema).csv(path, header=True)
     first, header = names[0], two[1][0]
-    return body.where(~F.col(f"`{first}`").eqNullSafe(F.lit(header)))
+    rows = body.where(~F.col(f"`{first}`").eqNullSafe(F.lit(header)))
+    if not western:
+        return rows
+    known = [(c, m) for c, m in zip(_C1, _C1_MEANING) if m]
+    source, target = "".join(c for c, _ in known), "".join(m for _, m in known)
+    return rows.select(*[F.translate(f"`{n}`", source, target).alias(n) for n in names])
 
 
 def unique_names(names: Sequence[str | None]) -> list[str]:
