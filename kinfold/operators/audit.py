@@ -33,31 +33,31 @@ def leave_out_quantiles(
     """
     long = _long(df.where(F.col(group).isNotNull()), cols, [group]).where(F.col("value").isNotNull())
     one = F.lit(1).cast("bigint")
-    total = prefix_sums(long, "value", {"t": one}, ["feature"])
-    own = prefix_sums(long, "value", {"g": one}, ["feature", group])
-    below = own.join(total.select("feature", "value", "t_before", "t_total"), ["feature", "value"])
+    total = prefix_sums(long, "value", {"__t": one}, ["feature"])
+    own = prefix_sums(long, "value", {"__g": one}, ["feature", group])
+    below = own.join(total.select("feature", "value", "__t_before", "__t_total"), ["feature", "value"])
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    sizes = total.groupBy("feature").agg(F.max("t_total").alias("t_total"))
+    sizes = total.groupBy("feature").agg(F.max("__t_total").alias("__t_total"))
     names = F.array(*[F.lit(c) for c in cols])
     # one row per (feature, group), also for groups without values of the feature
     shell = groups.select(group, F.explode(names).alias("feature")).join(
         F.broadcast(sizes), "feature"  # one row per feature
     ).join(
-        own.groupBy("feature", group).agg(F.max("g_total").alias("g_n")), ["feature", group], "left"
-    ).withColumn("rest", F.col("t_total") - F.coalesce("g_n", F.lit(0))).where(F.col("rest") > 0)
+        own.groupBy("feature", group).agg(F.max("__g_total").alias("g_n")), ["feature", group], "left"
+    ).withColumn("rest", F.col("__t_total") - F.coalesce("g_n", F.lit(0))).where(F.col("rest") > 0)
     at = lambda q: F.lit(float(q)) * (F.col("rest") - 1)
-    asks = shell.select("feature", group, "t_total", F.inline(F.array(*[
+    asks = shell.select("feature", group, "__t_total", F.inline(F.array(*[
         F.struct(F.lit(f"q{i}").alias("q"), F.lit(side).alias("side"), f(at(q)).cast("bigint").alias("k"),
                  (at(q) - F.floor(at(q))).alias("part"))
         for i, q in enumerate(probs) for side, f in (("lo", F.floor), ("hi", F.ceil))
     ])))
-    rest_below = F.col("t_before") - F.col("g_before")
+    rest_below = F.col("__t_before") - F.col("__g_before")
     shift = asks.join(
-        below.select("feature", group, "g", rest_below.alias("r")), ["feature", group], "left"
-    ).groupBy("feature", group, "t_total", "q", "side", "k", "part").agg(
-        F.coalesce(F.sum(F.when(F.col("r") <= F.col("k"), F.col("g"))), F.lit(0)).alias("c")
-    ).select("feature", group, "t_total", "q", "side", "part", (F.col("k") + F.col("c")).alias("pos"))
-    found = value_at_position(shift, total, ["feature"], "pos", "t_before", "value", "t_total")
+        below.select("feature", group, "__g", rest_below.alias("__r")), ["feature", group], "left"
+    ).groupBy("feature", group, "__t_total", "q", "side", "k", "part").agg(
+        F.coalesce(F.sum(F.when(F.col("__r") <= F.col("k"), F.col("__g"))), F.lit(0)).alias("c")
+    ).select("feature", group, "__t_total", "q", "side", "part", (F.col("k") + F.col("c")).alias("pos"))
+    found = value_at_position(shift, total, ["feature"], "pos", "__t_before", "value", "__t_total")
     wide = found.groupBy("feature", group, "q").agg(
         F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("lo"),
         F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("hi"), F.max("part").alias("part"),

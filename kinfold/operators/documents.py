@@ -16,6 +16,7 @@ from kinfold.functions.numeric import NO_OUTCOME, YES_OUTCOME
 from kinfold.functions.text import (
     MISSING_FIELDS, contains_any, count_hits, first_or_null, let, normalize_text, starts_with_any,
 )
+from kinfold.plans.session import spread
 
 # Section, keyword and phrase lists of the excerpt selection.
 SETUP_SECTIONS = (
@@ -153,7 +154,7 @@ def paragraph_chunks(df: DataFrame, doc: str, text: str) -> DataFrame:
     A blank line or a heading ends a paragraph; image markers are skipped without
     ending it; the section is the last heading above.
     """
-    lines = document_lines(df, doc, text)
+    lines = document_lines(spread(df.select(doc, text)), doc, text)
     running = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     head = heading(F.col("line"))
     stop = head.isNotNull() | (F.trim(F.regexp_replace("line", r"(?U)\s", "")) == "")

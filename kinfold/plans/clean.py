@@ -9,6 +9,7 @@ from kinfold.functions import numeric as num
 from kinfold.functions.identity import entity_id, short_label
 from kinfold.functions.text import clean_cell
 from kinfold.operators.identity import drop_exact_duplicates, group_rare
+from kinfold.plans.session import spread
 
 # Feature names and their roles.
 NUMERIC_ROLES = {
@@ -46,6 +47,7 @@ def clean_experiments(raw: DataFrame, dedupe: bool = True, keep: tuple[str, ...]
     Rows without a label go first, so nothing is parsed for them; the length
     arrays are built once and reused.
     """
+    raw = spread(raw)
     cells = raw.select(*keep, *[clean_cell(F.col(c)).alias(c) for c in raw.columns if c not in keep])
     cells = cells.withColumn("label", num.yes_no(F.col("ignition")))
     cells = group_rare(cells.withColumn(

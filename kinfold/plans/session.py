@@ -55,3 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for an expensive projection over an input with few splits.
+
+    A no-op when the input already has at least one split per core, which is
+    always so for large tables.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

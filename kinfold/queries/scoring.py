@@ -9,7 +9,7 @@ from kinfold.operators import identity as ids
 from kinfold.operators import metrics as met
 from kinfold.operators import profiling as prof
 from kinfold.operators import stattests as stat
-from kinfold.plans.session import table
+from kinfold.plans.session import spread, table
 from kinfold.queries.base import LINES, frame, query, r, rounded
 from kinfold.queries.profiling import FOLDS
 
@@ -104,7 +104,7 @@ FLAG_SRC = """SELECT l_suppkey, l_orderkey, l_quantity, CAST(l_quantity AS STRIN
  {r('100.0 * count(*) / (SELECT count(*) FROM d)')} AS share_pct, {r('avg(v)')} AS mean_flow, {r('any_value(auc)')} AS roc_auc, {r('any_value(ap)')} AS pr_auc
  FROM d JOIN a USING (l_suppkey) GROUP BY 1""")
 def scored_groups(spark, sf):
-    df = frame(spark, sf, FLAG_SRC).select(
+    df = spread(frame(spark, sf, FLAG_SRC)).select(
         "l_suppkey", num.flow_mm_s(F.col("flow")).alias("v"), "p", num.yes_no(F.col("outcome")).alias("y"))
     df = ids.drop_exact_duplicates(ids.keep_labelled(df, "y"), ["l_suppkey", "v", "p", "y"])
     stats = prof.group_stats(df, "l_suppkey", "y", "l_suppkey", "v", ["v"], [F.avg("v").alias("mean_flow")])

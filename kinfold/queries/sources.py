@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kinfold.operators.profiling import summarise
@@ -20,8 +21,12 @@ def s1(spark, sf):
     field = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", field(F.col("p_partkey").cast("string")), field(F.col("p_retailprice").cast("string")), field(note))
     rows = sinks.shared_folder(spark)
-    raw = dict(encoding="ISO-8859-1", quote="", sep="\x01", header=True, escapeQuotes=False)
-    table(spark, sf, "part").repartition(4).select(line.alias("Sample,Outcome per row,\nKey,Price,Note")).write.mode("overwrite").options(**raw).csv(rows)
+    def with_head(frames):
+        yield pd.DataFrame({"line": ["Sample,Outcome per row,", "Key,Price,Note"]})
+        yield from frames
+
+    files = table(spark, sf, "part").select(line.alias("line")).repartition(4).mapInPandas(with_head, "line string")
+    files.write.mode("overwrite").options(encoding="ISO-8859-1", quote="", sep="\x01", header=False).csv(rows)
     return tab.read_banner_csv(spark, rows)
 
 
