@@ -177,8 +177,10 @@ def neighbour_information(
         "feature", row_id, "v", "n", kk.alias("kk"), F.element_at("d", kk).alias("r"))
     r = cut_lineage(r)
     pts = r.select("feature", "v", F.lit(1).cast("bigint").alias("w"))
-    hi = _count_below(pts, r.select("feature", row_id, (F.col("v") + F.col("r")).alias("at")), ["feature"], True)
-    lo = _count_below(pts, r.select("feature", row_id, (F.col("v") - F.col("r")).alias("at")), ["feature"], False)
+    # just inside the radius: the k-th neighbour itself never counts, equal values always do
+    near_r = F.col("r") * (1 - 1e-10)
+    hi = _count_below(pts, r.select("feature", row_id, (F.col("v") + near_r).alias("at")), ["feature"], False)
+    lo = _count_below(pts, r.select("feature", row_id, (F.col("v") - near_r).alias("at")), ["feature"], True)
     m = r.join(hi.select("feature", row_id, F.col("below").alias("hi")), ["feature", row_id]).join(
         lo.select("feature", row_id, F.col("below").alias("lo")), ["feature", row_id])
     inside = F.greatest(F.lit(1), F.col("hi") - F.col("lo")).cast("double")
