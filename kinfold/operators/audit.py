@@ -33,8 +33,9 @@ def leave_out_quantiles(
     """
     long = _long(df.where(F.col(group).isNotNull()), cols, [group]).where(F.col("value").isNotNull())
     one = F.lit(1).cast("bigint")
-    total = prefix_sums(long, "value", {"__t": one}, ["feature"])
-    own = prefix_sums(long, "value", {"__g": one}, ["feature", group])
+    # each is read several times below: sorted once, kept in the shared folder
+    total = cut_lineage(prefix_sums(long, "value", {"__t": one}, ["feature"]))
+    own = cut_lineage(prefix_sums(long, "value", {"__g": one}, ["feature", group]))
     below = own.join(total.select("feature", "value", "__t_before", "__t_total"), ["feature", "value"])
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
     sizes = total.groupBy("feature").agg(F.max("__t_total").alias("__t_total"))
@@ -67,7 +68,7 @@ def leave_out_quantiles(
 
 def group_novelty(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """Per group the median over rows of the row's median robust z against all other groups."""
-    q = leave_out_quantiles(df, group, cols)
+    q = cut_lineage(leave_out_quantiles(df, group, cols))  # groups x features rows
     stats = q.groupBy(group).pivot("feature", list(cols)).agg(
         F.first(F.struct(F.col("q1").alias("med"), F.nullif(F.col("q2") - F.col("q0"), F.lit(0.0)).alias("iqr")))
     ).withColumnsRenamed({c: f"__s_{c}" for c in cols})

@@ -51,34 +51,41 @@ def _grid(df: DataFrame) -> int:
 def with_value_bucket(df: DataFrame, value: str) -> DataFrame:
     """Add an order-preserving bucket number for ``value`` (numeric or time).
 
-    The edges are one lazy scalar subquery: a quantile sketch of fixed size.
+    The edges are one lazy scalar subquery: a quantile sketch of fixed size.  It
+    reads every column of ``df``, so its exchange is the very one the main plan
+    uses and the input is scanned and shuffled once, not once more for the edges.
     """
     side = _grid(df)
     cuts = [i / (side * side) for i in range(1, side * side)]
     # parsed as one expression: thousands of separate literals would cost driver time
     cut_list = ", ".join(f"{c!r}D" for c in cuts)
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     sketch = df.agg(F.expr(
         f"percentile_approx(`{value}`, array({cut_list}), {max(1000, 4 * side * side)})"
-    ).alias("e"))
+    ).alias("e"), *[F.max(F.xxhash64(c)).alias(f"__x{i}") for i, c in enumerate(hashable)])
     edges = sketch.select(
         F.struct(
+            *[f"__x{i}" for i in range(len(hashable))],
             F.col("e").alias("fine"),
             F.filter(F.col("e"), lambda _, i: i % side == side - 1).alias("coarse"),
         )
     ).scalar()
     below = lambda arr: F.size(F.filter(arr, lambda e: e < F.col(value)))
+    fine = F.slice(F.col("__edges")["fine"], F.col("__block") * side + 1, F.lit(side))
     return (
         df.withColumn("__edges", edges)
-        .withColumn("__block", below(F.col("__edges")["coarse"]))
-        .withColumn(
-            _BUCKET,
-            F.col("__block") * side
-            + below(F.slice(F.col("__edges")["fine"], F.col("__block") * side + 1, F.lit(side))),
-        )
+        .withColumn("__block", F.coalesce(below(F.col("__edges")["coarse"]), F.lit(0)))
+        .withColumn(_BUCKET, _known(F.col("__block") * side + below(fine)))
         .drop("__edges", "__block")
     )
 
 
+def _known(bucket: Column) -> Column:
+    """Non-null by type.  Else a join on the bucket adds a NOT NULL test that is pushed through
+    the aggregate down to every scanned row, and the branches no longer share an exchange."""
+    return F.coalesce(bucket, F.lit(0))
+
+
 def prefix_sums(
     df: DataFrame,
     order: str | Sequence[str],
@@ -94,9 +101,12 @@ def prefix_sums(
     """
     order = [order] if isinstance(order, str) else list(order)
     by = list(by)
+    # all NULL tests come before the aggregate, so that the sketch, the bucket totals and the
+    # main branch plan the very same exchange and it runs once
+    for c in [*by, order[0]]:
+        df = df.where(F.col(c).isNotNull())
     g = df.groupBy(*by, *order).agg(*[F.sum(c).alias(m) for m, c in sums.items()])
-    g = g.where(F.col(order[0]).isNotNull())
-    keyed = with_value_bucket(g, order[0]) if bucket is None else g.withColumn(_BUCKET, bucket)
+    keyed = with_value_bucket(g, order[0]) if bucket is None else g.withColumn(_BUCKET, _known(bucket))
     cells = keyed.groupBy(*by, _BUCKET).agg(*[F.sum(m).alias(m) for m in sums])
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -224,7 +234,7 @@ def value_at_position(
     )
     side = _grid(requests)
     cut = F.floor(F.col("__p") * (side * side) / F.greatest(F.col("__n"), F.lit(1)))
-    both = table.unionByName(asks).withColumn(_BUCKET, cut)
+    both = table.unionByName(asks).withColumn(_BUCKET, _known(cut))
     cells = both.groupBy(*key, _BUCKET).agg(
         F.max(F.when(F.col("__kind") == 0, F.struct("__p", "__v"))).alias("__last")
     )
