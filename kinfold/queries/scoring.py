@@ -9,7 +9,7 @@ from kinfold.operators import identity as ids
 from kinfold.operators import metrics as met
 from kinfold.operators import profiling as prof
 from kinfold.operators import stattests as stat
-from kinfold.plans.session import spread, table
+from kinfold.plans.session import cut_lineage, spread, table
 from kinfold.queries.base import LINES, frame, query, r, rounded
 from kinfold.queries.profiling import FOLDS
 
@@ -106,7 +106,8 @@ FLAG_SRC = """SELECT l_suppkey, l_orderkey, l_quantity, CAST(l_quantity AS STRIN
 def scored_groups(spark, sf):
     df = spread(frame(spark, sf, FLAG_SRC)).select(
         "l_suppkey", num.flow_mm_s(F.col("flow")).alias("v"), "p", num.yes_no(F.col("outcome")).alias("y"))
-    df = ids.drop_exact_duplicates(ids.keep_labelled(df, "y"), ["l_suppkey", "v", "p", "y"])
+    # parsed and de-duplicated once: statistics and curve both read the stored rows
+    df = cut_lineage(ids.drop_exact_duplicates(ids.keep_labelled(df, "y"), ["l_suppkey", "v", "p", "y"]))
     stats = prof.group_stats(df, "l_suppkey", "y", "l_suppkey", "v", ["v"], [F.avg("v").alias("mean_flow")])
     auc = met.ranking_metrics(df, "y", "p", ["l_suppkey"]).drop("n_pos", "n_neg")
     out = stats.join(auc, "l_suppkey", "left")
