@@ -49,8 +49,8 @@ def superminhash(rows: np.ndarray, elements: np.ndarray, n_rows: int, slots: int
     open_rows = best.reshape(n_rows, slots).max(axis=1) >= (1 << 25)
     sizes = np.bincount(rows, minlength=n_rows)
     sel = np.flatnonzero(open_rows[rows])
-    for lo in range(0, len(sel), 100_000):  # whole elements; a set may lie in two parts, minima agree
-        part = sel[lo:lo + 100_000]
+    for lo in range(0, len(sel), 40_000):  # whole elements; a set may lie in two parts, minima agree
+        part = sel[lo:lo + 40_000]
         r, e, first = rows[part], elements[part], at[part]
         perm = np.tile(np.arange(slots, dtype=np.uint8), (len(part), 1))
         i = np.arange(len(part))
@@ -133,15 +133,15 @@ def _bucket_rows(rows: int, contract: bool, batches: Iterator[pa.RecordBatch]) -
                 k = np.concatenate([k[first], pairs[:, 0], pairs[:, 1]])
             else:
                 b, k = b[first], k[first]
-        for lo in range(0, len(b), 500_000):
-            yield to_batch(BUCKETS, b[lo:lo + 500_000], k[lo:lo + 500_000])
+        for lo in range(0, len(b), 200_000):
+            yield to_batch(BUCKETS, b[lo:lo + 200_000], k[lo:lo + 200_000])
 
     for batch in batches:
         keys = batch.column(0).to_numpy()
         x = band_keys(signatures(batch), rows)
         held.append((x.ravel(), np.repeat(keys, x.shape[1])))
         size += x.size
-        if size > 4_000_000:
+        if size > 1_000_000:
             yield from flush()
     yield from flush()
 

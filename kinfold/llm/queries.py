@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import decontaminate, near_dedup, rules
+from kinfold.llm import chat, decontaminate, near_dedup, packing, rules, token_output, tokens
 from kinfold.llm.common import table
 
 
@@ -90,8 +90,48 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_token_output(spark, sf_dir):
+    return token_output.packed_matrices(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_report(rows.unionByName(chat.planted(spark)))
+
+
+OP9 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT conv_id, turn, r, t,
+    contains(r || t, '</turn>') OR contains(t, '### ') OR contains(r, '### ') OR contains(r, ': ')
+      OR contains(t, '\\\\') OR contains(t, '<\\/turn>') OR contains(t, '#\\## ') OR contains(r, '\\') AS clash,
+    replace(replace(replace(t, '\\', '\\\\'), '</turn>', '<\\/turn>'), '### ', '#\\## ') AS te,
+    replace(replace(replace(replace(r, '\\', '\\\\'), '</turn>', '<\\/turn>'), '### ', '#\\## '), ': ', ':\\ ') AS re
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + CASE WHEN clash THEN length(re) + length(te) ELSE length(r) + length(t) END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("\\\\", "\\")
+
+
 QUERIES = {
     "op1_near_dedup": (op1_near_dedup, OP1),
     "op3_quality_rules": (op3_quality_rules, OP3),
     "op6_decontamination": (op6_decontamination, OP6),
+    "op4_token_counts": (op4_token_counts, None),
+    "op5_best_fit_packing": (op5_best_fit_packing, None),
+    "op8_token_output": (op8_token_output, None),
+    "op9_chat_formatting": (op9_chat_formatting, OP9),
 }
