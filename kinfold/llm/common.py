@@ -37,10 +37,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a shared table: later readers and lost executors need not redo it."""
-    path = shared_path(df.sparkSession, name)
+    """``df`` written once as a shared table: later readers and lost executors need not redo it.
+
+    The shuffle files of what was written serve nobody any more; Spark deletes them once the
+    driver's collector has run, so it is asked to.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def to_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -275,6 +275,7 @@ def link(
     buckets = nodes.select("key", "sig").mapInArrow(partial(_bucket_rows, rows, True), "bucket long, key long")
     stars = _sorted(buckets, ["bucket"], ["bucket", "key"]).mapInArrow(_stars, "a long, b long").distinct()
     stars = stored(stars, "stars")
+    payload = stored(payload.join(stars.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key"), "payload")
     first = stored(verified(_likely_pairs(stars, nodes, least), payload, same), "links")
     comp = stored(components(first), "comp")
     # nodes that met any other, with the component found so far

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat, decontaminate, near_dedup, packing, rules, token_output, tokens
+from kinfold.llm import (
+    chat, decontaminate, line_dedup, near_dedup, packing, quality, repeats, rules, token_output, tokens,
+)
 from kinfold.llm.common import table
 
 
@@ -126,7 +128,29 @@ FROM e GROUP BY conv_id
 """.replace("\\\\", "\\")
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_repeated_strings(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": (pipeline, None),
+    "op2_quality_classifier": (op2_quality_classifier, None),
+    "op7_repeated_strings": (op7_repeated_strings, None),
+    "op10_line_dedup": (op10_line_dedup, None),
     "op1_near_dedup": (op1_near_dedup, OP1),
     "op3_quality_rules": (op3_quality_rules, OP3),
     "op6_decontamination": (op6_decontamination, OP6),
