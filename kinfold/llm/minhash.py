@@ -2,9 +2,9 @@
 
 A *node* is one distinct set (a 64-bit ``key``), so exact copies never meet each other here.  Band
 buckets are cut down to one member per map task before they are shuffled, and a bucket gives the
-links of a star, not of all its pairs.  The second search covers what a star can miss: members of
-one bucket that still lie in different components are compared by signature, in blocks of bounded
-size, and every pair that may be similar enough is verified.
+links of a star, not of all its pairs.  What a star can miss is found by a second, exact search:
+components that are joined by likely but unproven links form a cluster, and inside each cluster a
+prefix-filter join (in cells of bounded size) finds every similar pair of different components.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinfold.llm import arrays as A
 from kinfold.llm.arrays import U, mix
 from kinfold.llm.common import components, stored, to_batch
 
@@ -24,7 +25,12 @@ PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _GOLD = U(0x9E3779B97F4A7C15)
 #: Bytes of one element in a packed set.
 ELEMENT = 5
+#: Members of a cluster that are compared with as many others in one cell.
 BLOCK = 1024
+#: How far under ``least`` a likely link still joins components to a cluster.
+WEAKER = 0.2
+#: (offsets, elements) of the distinct elements of every payload of a column.
+Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def superminhash(rows: np.ndarray, elements: np.ndarray, n_rows: int, slots: int) -> np.ndarray:
@@ -78,17 +84,32 @@ def pack_set(elements: np.ndarray) -> bytes:
     return np.ascontiguousarray(elements).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
-def similar_sets(x: bytes, y: bytes, percent: int) -> bool:
-    """Whether 100 * intersection >= ``percent`` * union of two packed sets."""
-    n, m = len(x) // ELEMENT, len(y) // ELEMENT
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    both = np.zeros((n + m, 8), np.uint8)
-    both[:n, :ELEMENT] = np.frombuffer(x, np.uint8).reshape(n, ELEMENT)
-    both[n:, :ELEMENT] = np.frombuffer(y, np.uint8).reshape(m, ELEMENT)
-    v = np.sort(both.view(U).ravel())
-    common = int((v[1:] == v[:-1]).sum())
-    return 100 * common >= percent * (n + m - common)
+def unpack_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, elements) of the packed sets of a binary column."""
+    data, off = A.buffers(column)
+    raw = data[off[0]:off[-1]].reshape(-1, ELEMENT)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :ELEMENT] = raw
+    return (off - off[0]) // ELEMENT, wide.view(U).ravel()
+
+
+def overlaps(off: np.ndarray, elements: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Size of the intersection of the sets ``x[i]`` and ``y[i]`` (40-bit elements), for all i."""
+    out = np.zeros(len(x), np.int64)
+    size = np.diff(off)
+    cost = np.cumsum(size[x] + size[y])
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + 500_000, "right")))
+        both = np.concatenate([x[lo:hi], y[lo:hi]])
+        n = size[both]
+        at = np.repeat(off[both] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pair = np.repeat(np.tile(np.arange(hi - lo), 2), n)
+        key = np.sort((pair.astype(U) << U(40)) | elements[at])
+        twice = key[1:][key[1:] == key[:-1]] >> U(40)
+        out[lo:hi] = np.bincount(twice.astype(np.int64), minlength=hi - lo)
+        lo = hi
+    return out
 
 
 def signatures(batch: pa.RecordBatch, column: str = "sig") -> np.ndarray:
@@ -107,9 +128,9 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(x + np.arange(1, bands + 1, dtype=U) * _GOLD).view(np.int64)
 
 
-def _bucket_rows(rows: int, contract: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, key) rows of (key, sig).  With ``contract``, a bucket that several nodes of the
-    task share sends only its least node on; the others form buckets of two with that node."""
+def _bucket_rows(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, key) rows of (key, sig).  A bucket that several nodes of the task share sends only
+    its least node on; the others form buckets of two with that node."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -119,7 +140,7 @@ def _bucket_rows(rows: int, contract: bool, batches: Iterator[pa.RecordBatch]) -
         k = np.concatenate([x for _, x in held]) if held else b
         held.clear()
         size = 0
-        if contract and len(b):
+        if len(b):
             order = np.lexsort((k, b))
             b, k = b[order], k[order]
             first = np.ones(len(b), bool)
@@ -184,65 +205,108 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield to_batch(PAIRS, leads[keep], k[keep])
 
 
+SCORED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("strong", pa.bool_())])
+
+
 def _likely(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, x, y) of whose signature slots at least ``least`` agree."""
+    """Pairs (a, b, x, y) with nearly ``least`` equal slots or more; strong if ``least`` or more."""
     for batch in batches:
         if batch.num_rows:
-            keep = (signatures(batch, "x") == signatures(batch, "y")).mean(axis=1) >= least
+            share = (signatures(batch, "x") == signatures(batch, "y")).mean(axis=1)
+            keep = share >= least - WEAKER
             if keep.any():
-                yield to_batch(PAIRS, batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep])
+                yield to_batch(SCORED, batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep], share[keep] >= least)
 
 
-def _verify(same: Callable[[bytes, bytes], bool], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose two payloads are similar; rows (a, b, key, payload) sorted by these keys."""
+def _verify(sets: Sets, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose two sets are similar; rows (a, b, key, payload) sorted by these keys."""
     for batch in whole_groups(batches, 2):
         a, b, k = (batch.column(i).to_numpy() for i in range(3))
-        load = batch.column(3)
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        other = np.zeros(len(a), bool)  # repeated rows of a node are its equals: the first counts
-        other[1:] = ~new[1:] & (k[1:] != k[:-1])
-        left, right = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)), np.flatnonzero(other)
-        hits = [i for i in right if same(load[int(left[i])].as_py(), load[int(i)].as_py())]
-        if hits:
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        other = np.append(False, ~new[1:] & (k[1:] != k[:-1]))  # a node's repeated rows are equal
+        y = np.flatnonzero(other)
+        x = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))[y]
+        off, elements = sets(batch.column(3))
+        size, both = np.diff(off), overlaps(off, elements, x, y)
+        hits = y[100 * both >= percent * (size[x] + size[y] - both)]
+        if len(hits):
             yield to_batch(PAIRS, a[hits], b[hits])
 
 
-def _across(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs in different components, likely similar by signature, of each cell.
+def _across(sets: Sets, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components inside each cell, at most one for each pair joined.
 
-    Rows (bucket, row block, column block, side, comp, key, sig) sorted by the first three.  A cell
-    compares one block with another (or itself), at most ``BLOCK`` rows each.
+    Rows (cluster, i, j, side, comp, key, payload) sorted by the first three.  Two similar sets share
+    an element among the rarest ``(100 - percent) %`` of each (by count in the cell), so only such
+    pairs are compared, and each component that a link joins to another isn't tried again.
     """
     for batch in whole_groups(batches, 3):
-        bucket, i, j = (batch.column(c).to_numpy() for c in range(3))
+        cluster, i, j = (batch.column(c).to_numpy() for c in range(3))
         side, comp, key = (batch.column(c).to_numpy() for c in (3, 4, 5))
-        sig = signatures(batch)
-        new = np.ones(len(key), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        start = np.flatnonzero(new)
-        stop = np.append(start[1:], len(key))
-        out = []
-        for s, e in zip(start, stop):
-            if e - s < 2:
-                continue
-            rows = np.arange(s, e)
-            left, right = (rows, rows) if i[s] == j[s] else (rows[side[s:e] == 0], rows[side[s:e] == 1])
-            step = max(1, 200_000 // max(1, len(right)))
-            for lo in range(0, len(left), step):
-                part = left[lo:lo + step]
-                x, y = np.nonzero(comp[part][:, None] != comp[right][None, :])
-                x, y = part[x], right[y]
-                keep = key[x] < key[y] if i[s] == j[s] else np.ones(len(x), bool)
-                x, y = x[keep], y[keep]
-                for at in range(0, len(x), 100_000):
-                    p, q = x[at:at + 100_000], y[at:at + 100_000]
-                    good = (sig[p] == sig[q]).mean(axis=1) >= least
-                    out.append(np.stack([np.minimum(key[p], key[q])[good], np.maximum(key[p], key[q])[good]]))
-        if out:
-            pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-            if pairs.shape[1]:
-                yield to_batch(PAIRS, pairs[0], pairs[1])
+        off, elements = sets(batch.column(6))
+        size = np.diff(off)
+        new = np.append(True, (cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        cell = np.cumsum(new) - 1
+        own = np.repeat(np.arange(len(key)), size)
+        _, inverse, count = np.unique((cell[own].astype(U) << U(40)) | elements, return_inverse=True, return_counts=True)
+        count = count[inverse]
+        # sort each set by (count up to 255, element): any one order serves a prefix filter
+        order = np.argsort((own.astype(U) << U(48)) | (np.minimum(count, 255).astype(U) << U(40)) | elements)
+        rank = np.arange(len(own)) - np.repeat(off[:-1], size)
+        prefix = rank < np.repeat(size - -(-percent * size // 100) + 1, size)
+        take = order[prefix & (count[order] > 1)]
+        take = take[np.argsort(inverse[take], kind="stable")]
+        doc, group = own[take], inverse[take]
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        found = []
+        names, root = np.unique(comp, return_inverse=True)  # component numbers of the batch
+        seen = np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def check() -> None:
+            nonlocal seen, root
+            pairs = np.setdiff1d(np.concatenate(held), seen) if held else np.zeros(0, np.int64)
+            held.clear()
+            seen = np.concatenate([seen, pairs])
+            x, y = pairs >> 20, pairs & 0xFFFFF
+            both = overlaps(off, elements, x, y)
+            good = 100 * both >= percent * (size[x] + size[y] - both)
+            for p, q in zip(x[good].tolist(), y[good].tolist()):
+                c, d = find(int(root[p])), find(int(root[q]))
+                if c != d:
+                    parent[max(c, d)] = min(c, d)
+                    found.append((min(int(key[p]), int(key[q])), max(int(key[p]), int(key[q]))))
+            if parent:
+                root = np.array([find(c) for c in range(len(names))])[root]
+
+        waiting = 0
+        if len(doc):
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            r = root[doc]
+            mixed = np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)
+            stay = np.repeat(mixed, np.diff(np.append(first, len(doc))))
+            doc, group = doc[stay], group[stay]
+        at, step = np.arange(len(doc)), 1
+        while len(at := at[at + step < len(doc)]) and len(at := at[group[at + step] == group[at]]):
+            x, y = doc[at], doc[at + step]  # members of an element's group that are ``step`` apart
+            good = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            good &= (i[x] == j[x]) | (side[x] != side[y])
+            x, y = x[good], y[good]
+            held.append(np.unique(np.minimum(x, y) << 20 | np.maximum(x, y)))
+            waiting += len(held[-1])
+            if waiting > 100_000:
+                check()
+                waiting = 0
+            step += 1
+        check()
+        if found:
+            yield to_batch(PAIRS, *zip(*found))
 
 
 def _sorted(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -250,55 +314,57 @@ def _sorted(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.repartition(n, *by).sortWithinPartitions(*order)
 
 
-def _likely_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    sig = nodes.select("key", "sig")
-    x = sig.select(F.col("key").alias("a"), F.col("sig").alias("x"))
-    y = sig.select(F.col("key").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_likely, least), "a long, b long")
+def _similar(pairs: DataFrame, met: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``met`` nodes whose sets are similar."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
+    loaded = ends.join(met.select("key", "payload"), "key").select("a", "b", "key", "payload")
+    return _sorted(loaded, ["a", "b"], ["a", "b", "key"]).mapInArrow(partial(_verify, sets, percent), "a long, b long")
 
 
-def verified(pairs: DataFrame, payload: DataFrame, same: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The pairs whose payloads pass ``same``; ``payload`` is (key, payload), keys may repeat."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
-    loaded = ends.join(payload, "key").select("a", "b", "key", "payload")
-    return _sorted(loaded, ["a", "b"], ["a", "b", "key"]).mapInArrow(partial(_verify, same), "a long, b long")
+def _relabel(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links between the components of the pairs' ends (nodes without one are their own)."""
+    x = comp.select(F.col("key").alias("a"), F.col("comp").alias("x"))
+    y = comp.select(F.col("key").alias("b"), F.col("comp").alias("y"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").select(
+        F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b").distinct()
 
 
-def link(
-    nodes: DataFrame, payload: DataFrame, same: Callable[[bytes, bytes], bool], rows: int, least: float,
-) -> DataFrame:
-    """(key, comp) of every node with a link, for nodes (key, sig) and their payloads.
+def link(nodes: DataFrame, payload: DataFrame, sets: Sets, percent: int, rows: int, least: float) -> DataFrame:
+    """(key, comp) of every node with a link, for nodes (key, sig) and (key, payload) rows.
 
-    ``rows`` is the number of slots of a band, ``least`` the share of equal slots below which a
-    pair isn't verified (several standard errors under the similarity asked for).
+    ``sets`` gives the sets of a payload column; two are linked if 100 * intersection >= ``percent``
+    * union.  ``rows`` is the number of slots of a band, ``least`` the share of equal slots below
+    which a star pair isn't verified (several standard errors under the similarity asked for).
     """
-    buckets = nodes.select("key", "sig").mapInArrow(partial(_bucket_rows, rows, True), "bucket long, key long")
+    buckets = nodes.select("key", "sig").mapInArrow(partial(_bucket_rows, rows), "bucket long, key long")
     stars = _sorted(buckets, ["bucket"], ["bucket", "key"]).mapInArrow(_stars, "a long, b long").distinct()
     stars = stored(stars, "stars")
-    payload = stored(payload.join(stars.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key"), "payload")
-    first = stored(verified(_likely_pairs(stars, nodes, least), payload, same), "links")
-    comp = stored(components(first), "comp")
-    # nodes that met any other, with the component found so far
-    met = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    met = met.join(comp, "key", "left").select("key", F.coalesce("comp", "key").alias("comp"))
-    met = stored(nodes.join(met, "key").select("key", "comp", "sig"), "met")
-    again = met.select("key", "sig").mapInArrow(partial(_bucket_rows, rows, False), "bucket long, key long")
-    again = again.join(met.select("key", "comp"), "key")
-    mixed = again.groupBy("bucket").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")
-    ).where("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    mixed = stored(again.join(mixed, "bucket"), "mixed")
-    # each block of a bucket meets every block of the same bucket, itself included, once
-    cells = mixed.withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")).select(
-        "bucket", "comp", "key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), "own",
+    ends = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sig = stored(nodes.select("key", "sig").join(ends, "key"), "met")
+    x = sig.select(F.col("key").alias("a"), F.col("sig").alias("x"))
+    y = sig.select(F.col("key").alias("b"), F.col("sig").alias("y"))
+    likely = stored(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
+        partial(_likely, least), "a long, b long, strong boolean"), "likely")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    met = stored(payload.join(ends, "key"), "payload")
+    comp = stored(components(_similar(likely.where("strong").select("a", "b"), met, sets, percent)), "comp")
+    # second search: clusters of components that likely links join
+    clusters = components(_relabel(likely.select("a", "b"), comp)).select(
+        F.col("key").alias("comp"), F.col("comp").alias("cluster"))
+    clusters = stored(clusters, "clusters")
+    member = ends.join(comp, "key", "left").select("key", F.coalesce("comp", "key").alias("comp")).join(clusters, "comp")
+    member = stored(member, "members")
+    blocks = member.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # each block of a cluster meets every block of the same cluster, itself included, once
+    cells = member.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")).select(
+        "cluster", "comp", "key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), "own",
     ).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"), "comp", "key",
-    ).join(met.select("key", "sig"), "key").select("bucket", "i", "j", "side", "comp", "key", "sig")
-    across = _sorted(cells, ["bucket", "i", "j"], ["bucket", "i", "j"]).mapInArrow(
-        partial(_across, least), "a long, b long").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = stored(across.join(tried, ["a", "b"], "left_anti"), "across")
-    second = verified(across, payload, same)
-    forest = comp.where("key <> comp").select(F.col("key").alias("a"), F.col("comp").alias("b"))
-    return components(forest.unionByName(second))
+    ).join(met.dropDuplicates(["key"]), "key").select("cluster", "i", "j", "side", "comp", "key", "payload")
+    across = stored(_sorted(cells, ["cluster", "i", "j"], ["cluster", "i", "j"]).mapInArrow(
+        partial(_across, sets, percent), "a long, b long"), "across")
+    joined = components(_relabel(across, comp)).select(F.col("key").alias("comp"), F.col("comp").alias("least"))
+    old = comp.unionByName(across.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(
+        comp, "key", "left_anti").withColumn("comp", F.col("key")))
+    return old.join(joined, "comp", "left").select("key", F.coalesce("least", "comp").alias("comp"))

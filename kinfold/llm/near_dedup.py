@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinfold.llm import arrays as A
 from kinfold.llm.arrays import U
 from kinfold.llm.common import stored, to_batch
-from kinfold.llm.minhash import link, pack_set, similar_sets, superminhash
+from kinfold.llm.minhash import link, pack_set, superminhash, unpack_sets
 
 SLOTS, BAND = 126, 3
 PERCENT = 75
@@ -92,7 +92,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     nodes = stored(sets.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "nodes")
     payload = text.mapInArrow(partial(_load, size), "key long, payload binary")
-    comp = link(nodes, payload, partial(similar_sets, percent=percent), BAND, LEAST)
+    comp = link(nodes, payload, unpack_sets, percent, BAND, LEAST)
     named = nodes.select("key", "doc_id").join(comp, "key", "left").select(
         "key", "doc_id", F.coalesce("comp", "key").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
