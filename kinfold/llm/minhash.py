@@ -27,6 +27,8 @@ _GOLD = U(0x9E3779B97F4A7C15)
 ELEMENT = 5
 #: Members of a cluster that are compared with as many others in one cell.
 BLOCK = 1024
+#: Payload bytes that a task works on at a time (one cell or pair at least).
+PART_BYTES = 1 << 20
 #: How far under ``least`` a likely link still joins components to a cluster.
 WEAKER = 0.2
 #: (offsets, elements) of the distinct elements of every payload of a column.
@@ -187,6 +189,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.
         yield rest.combine_chunks().to_batches()[0]
 
 
+def parts(batch: pa.RecordBatch, n_keys: int, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut between groups of equal leading keys, at about ``PART_BYTES`` of a column."""
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    for c in range(n_keys):
+        k = batch.column(c).to_numpy()
+        new[1:] |= k[1:] != k[:-1]
+    edges = np.append(np.flatnonzero(new), n)
+    off = A.buffers(batch.column(column))[1]
+    lo = 0
+    while lo < n:
+        far = edges[edges > lo]
+        hi = int(far[max(0, int(np.searchsorted(off[far] - off[lo], PART_BYTES, "right")) - 1)])
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links from the first node of every bucket (rows sorted by bucket, key) to its others."""
     bucket, lead = None, 0
@@ -220,7 +239,7 @@ def _likely(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _verify(sets: Sets, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose two sets are similar; rows (a, b, key, payload) sorted by these keys."""
-    for batch in whole_groups(batches, 2):
+    for batch in (p for b in whole_groups(batches, 2) for p in parts(b, 2, 3)):
         a, b, k = (batch.column(i).to_numpy() for i in range(3))
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         other = np.append(False, ~new[1:] & (k[1:] != k[:-1]))  # a node's repeated rows are equal
@@ -240,7 +259,7 @@ def _across(sets: Sets, percent: int, batches: Iterator[pa.RecordBatch]) -> Iter
     an element among the rarest ``(100 - percent) %`` of each (by count in the cell), so only such
     pairs are compared, and each component that a link joins to another isn't tried again.
     """
-    for batch in whole_groups(batches, 3):
+    for batch in (p for b in whole_groups(batches, 3) for p in parts(b, 3, 6)):
         cluster, i, j = (batch.column(c).to_numpy() for c in range(3))
         side, comp, key = (batch.column(c).to_numpy() for c in (3, 4, 5))
         off, elements = sets(batch.column(6))
@@ -330,7 +349,8 @@ def _relabel(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def link(nodes: DataFrame, payload: DataFrame, sets: Sets, percent: int, rows: int, least: float) -> DataFrame:
-    """(key, comp) of every node with a link, for nodes (key, sig) and (key, payload) rows.
+    """(key, comp) of every node with a link, for nodes (key, sig) and (key, payload) rows, which may
+    repeat a key.
 
     ``sets`` gives the sets of a payload column; two are linked if 100 * intersection >= ``percent``
     * union.  ``rows`` is the number of slots of a band, ``least`` the share of equal slots below
@@ -340,13 +360,14 @@ def link(nodes: DataFrame, payload: DataFrame, sets: Sets, percent: int, rows: i
     stars = _sorted(buckets, ["bucket"], ["bucket", "key"]).mapInArrow(_stars, "a long, b long").distinct()
     stars = stored(stars, "stars")
     ends = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sig = stored(nodes.select("key", "sig").join(ends, "key"), "met")
+    # joins that move texts or signatures are the same at every size: no table is small enough to switch
+    sig = stored(nodes.select("key", "sig").join(ends.hint("merge"), "key").dropDuplicates(["key"]), "met")
     x = sig.select(F.col("key").alias("a"), F.col("sig").alias("x"))
     y = sig.select(F.col("key").alias("b"), F.col("sig").alias("y"))
     likely = stored(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
         partial(_likely, least), "a long, b long, strong boolean"), "likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    met = stored(payload.join(ends, "key"), "payload")
+    met = stored(payload.join(ends.hint("merge"), "key"), "payload")
     comp = stored(components(_similar(likely.where("strong").select("a", "b"), met, sets, percent)), "comp")
     # second search: clusters of components that likely links join
     clusters = components(_relabel(likely.select("a", "b"), comp)).select(
