@@ -180,9 +180,11 @@ def _cut(at: int, n_columns: int, batches):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = WINDOW) -> DataFrame:
     """``docs`` without its benchmark passages: whole documents or only the hit spans go."""
-    found = scan(docs, benchmark, size)
+    # other columns may have any names, also those of the hits
+    plain = docs.toDF(*["text" if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)])
+    found = scan(plain, benchmark, size)
     if mode == "documents":
-        return found.where("__n_hit = 0").drop(*NEW)
+        return found.where("__n_hit = 0").drop(*NEW).toDF(*docs.columns)
     if mode != "spans":
         raise ValueError(f"mode {mode!r}: documents or spans")
     return found.mapInArrow(partial(_cut, docs.columns.index("text"), len(docs.columns)), docs.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinfold.llm import arrays as A
 from kinfold.llm.arrays import U
-from kinfold.llm.common import stored, to_batch
+from kinfold.llm.common import free_name, stored, to_batch
 from kinfold.llm.minhash import link, pack_set, superminhash, unpack_sets
 
 SLOTS, BAND = 126, 3
@@ -106,5 +106,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component; every column stays."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone_id")
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
