@@ -11,7 +11,7 @@ U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

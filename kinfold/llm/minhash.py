@@ -28,7 +28,7 @@ ELEMENT = 5
 #: Members of a cluster that are compared with as many others in one cell.
 BLOCK = 1024
 #: Payload bytes that a task works on at a time (one cell or pair at least).
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 #: How far under ``least`` a likely link still joins components to a cluster.
 WEAKER = 0.2
 #: (offsets, elements) of the distinct elements of every payload of a column.
@@ -164,7 +164,7 @@ def _bucket_rows(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         x = band_keys(signatures(batch), rows)
         held.append((x.ravel(), np.repeat(keys, x.shape[1])))
         size += x.size
-        if size > 1_000_000:
+        if size > 500_000:
             yield from flush()
     yield from flush()
 
