@@ -282,3 +282,4 @@ def text_chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[t
         size += n
     if lo < len(texts):
         yield lo, len(texts)
+    A.trim()

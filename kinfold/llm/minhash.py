@@ -187,6 +187,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.
         rest = t.slice(cut)
     if rest is not None and len(rest):
         yield rest.combine_chunks().to_batches()[0]
+    A.trim()
 
 
 def parts(batch: pa.RecordBatch, n_keys: int, column: int) -> Iterator[pa.RecordBatch]:
