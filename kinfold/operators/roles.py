@@ -33,8 +33,8 @@ def _text(df: DataFrame, c: str):
 def column_profile(df: DataFrame, group_words: Sequence[str] = GROUP_WORDS) -> DataFrame:
     """One pass over all columns: non-null, number-parsable, yes/no-parsable, distinct.
 
-    Distinct counts are a sketch (HyperLogLog), needed only to reject columns
-    that are nearly unique per row.  One row per column comes back.
+    Distinct counts are exact and taken only for columns named like a group, to
+    reject those that are nearly unique per row.  One row per column comes back.
     """
     aggs = [F.count("*").alias("__n")]
     for i, c in enumerate(df.columns):
@@ -43,7 +43,7 @@ def column_profile(df: DataFrame, group_words: Sequence[str] = GROUP_WORDS) -> D
             F.count(s).alias(f"__nn{i}"),
             F.count(first_number(s)).alias(f"__num{i}"),
             F.count(yes_no(s)).alias(f"__yn{i}"),
-            (F.approx_count_distinct(s, 0.01) if _named(c, group_words) else F.lit(0)).alias(
+            (F.count_distinct(s) if _named(c, group_words) else F.lit(0)).alias(
                 f"__nd{i}"
             ),
         ]

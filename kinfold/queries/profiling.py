@@ -85,16 +85,17 @@ def a8(spark, sf):
     return prof.value_counts(frame(spark, sf, UNKNOWNS), "kind")
 
 
-@query("a9_crosstab", """SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS "R", count(*) FILTER (l_returnflag = 'A') AS "A"
- FROM {lineitem} GROUP BY 1""")
+@query("a9_crosstab", """SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS "R", count(*) FILTER (l_returnflag = 'A') AS "A",
+ count(*) FILTER (l_returnflag = 'N') AS "N" FROM {lineitem} GROUP BY 1""")
 def a9(spark, sf):
-    return prof.crosstab(table(spark, sf, "lineitem"), "l_suppkey", "l_returnflag", ["R", "A"])
+    return prof.crosstab(table(spark, sf, "lineitem"), "l_suppkey", "l_returnflag", ["R", "A", "N"])
 
 
 @query("a10_crosstab_pct", f"""SELECT l_suppkey, {r('''100.0 * count(*) FILTER (l_returnflag = 'R') / count(*)''')} AS "R",
- {r('''100.0 * count(*) FILTER (l_returnflag = 'A') / count(*)''')} AS "A" FROM {{lineitem}} WHERE l_returnflag IN ('R', 'A') GROUP BY 1""")
+ {r('''100.0 * count(*) FILTER (l_returnflag = 'A') / count(*)''')} AS "A",
+ {r('''100.0 * count(*) FILTER (l_returnflag = 'N') / count(*)''')} AS "N" FROM {{lineitem}} GROUP BY 1""")
 def a10(spark, sf):
-    return rounded(prof.crosstab_pct(table(spark, sf, "lineitem"), "l_suppkey", "l_returnflag", ["R", "A"]))
+    return rounded(prof.crosstab_pct(table(spark, sf, "lineitem"), "l_suppkey", "l_returnflag", ["R", "A", "N"]))
 
 
 @query("a11_group_fraction", f"""WITH c AS ({UNKNOWNS}) SELECT user_id, {r('''avg(CASE WHEN kind = 'purchase' THEN 1.0 ELSE 0.0 END)''')} AS fraction FROM c GROUP BY 1""")

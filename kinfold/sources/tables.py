@@ -57,15 +57,18 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if test["not_cp1252"] else "windows-1252"
 
 
-def read_banner_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def read_banner_csv(
+    spark: SparkSession, path: str, encoding: str | None = None, splittable: bool = False,
+) -> DataFrame:
     """CSV whose first line is a banner and whose second line is the header; all text.
 
-    Every file of ``path`` may repeat both lines.
+    Every file of ``path`` may repeat both lines.  Quoted cells may hold line breaks; a caller who
+    knows that none does can ask for files to be read in splits.
     """
     encoding = encoding or detect_encoding(spark, path)
     # Spark reads no windows-1252: read one byte per character, then translate its own block
     western = encoding == "windows-1252"
-    opts = dict(encoding="ISO-8859-1" if western else encoding, quote='"', escape='"', multiLine=False)
+    opts = dict(encoding="ISO-8859-1" if western else encoding, quote='"', escape='"', multiLine=not splittable)
     two = spark.read.options(**opts).csv(path, header=False).head(2)
     names = unique_names([str(v) if v is not None else None for v in two[1]])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])

@@ -88,3 +88,9 @@ def test_clean_and_truncate(spark):
     df = spark.createDataFrame([("a  \r\n\x00b\r\n\r\n\r\n\r\nc ",)], "t string")
     assert df.select(docs.clean_markdown(F.col("t"))).first()[0] == "a\nb\n\nc\n"
     assert df.select(docs.truncate_context(F.lit(" abcdef "), 3)).first()[0] == "abc\n\n[TRUNCATED]\n"
+
+
+def test_quoted_line_breaks_stay_in_one_record(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Banner,,\nKey,Note,N\n1,"two\nlines",5\n2,plain,6\n')
+    rows = tab.read_banner_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [("1", "two\nlines", "5"), ("2", "plain", "6")]
