@@ -6,14 +6,13 @@ and survives a lost executor.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from kinfold.operators.ranking import pareto, quantile_bins
 from kinfold.plans.ordered import (
-    hash_key, hashed_positions, lookup, prefix_sums, quantiles,
+    dense_positions, hash_key, hashed_positions, lookup, prefix_sums, quantiles,
 )
 from kinfold.plans.session import cut_lineage
 
@@ -44,31 +43,62 @@ def _sharded(groups: DataFrame, group: str) -> DataFrame:
     return groups.withColumn("__shard", F.pmod(F.xxhash64(group), F.lit(shards)).cast("int"))
 
 
+def deal(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[int], list[list[int]]]]:
+    """How ``m`` groups of each size ``n`` go, one by one, onto the lightest of ``k`` folds.
+
+    For every (n, m), largest size first: (n, starts, orders).  From the group at ``starts[i]`` on,
+    the folds of ``orders[i]`` take turns; a fold joins when the others have reached its load.
+    """
+    loads, out = [0] * k, []
+    for n, m in sorted(sizes, reverse=True):
+        waiting = sorted((load, f) for f, load in enumerate(loads))
+        active, at, starts, orders = [], 0, [], []
+        while at < m:
+            active = sorted((loads[f], f) for f in [*(f for _, f in active), waiting.pop(0)[1]])
+            turns, left = [f for _, f in active], m - at
+            if waiting:
+                load, g = waiting[0]
+                left = min(left, sum(
+                    max(0, -(-(load - x) // n) + (load >= x and (load - x) % n == 0 and f < g)) for x, f in active))
+            if left:
+                starts.append(at)
+                orders.append(turns)
+                for i, f in enumerate(turns):
+                    loads[f] += n * (left // len(turns) + (i < left % len(turns)))
+            at += left
+            active = [(loads[f], f) for f in turns]
+        out.append((n, starts, orders))
+    return out
+
+
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """(group, n, fold): largest group first onto the lightest fold.
+    """(group, n, fold): largest group first onto the lightest fold, groups of one size by key.
 
-    The packing is sequential over the *group* table.  Up to 200k groups are one
-    pass (the exact greedy result); above that, hash shards are packed
-    independently, each balanced, so no task ever holds the whole group table.
+    One rule at every size.  Only the distinct group sizes (at most the square root of twice the
+    rows) are dealt in sequence; each group finds its fold from its position among its equals.
     """
     import pandas as pd
 
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+    ok = df.where(F.col(group).isNotNull())
+    sizes = ok.groupBy(group).agg(F.count("*").alias("__size"))
+    classes = sizes.groupBy("__size").agg(F.count("*").alias("__m")).withColumn("__all", F.lit(0))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", group], ascending=[False, True])
-        shift = int(pdf["__shard"].iloc[0])
-        loads = [(0, f) for f in range(k)]
-        folds = []
-        for n in pdf["n"]:
-            load, f = heapq.heappop(loads)
-            folds.append((f + shift) % k)
-            heapq.heappush(loads, (load + int(n), f))
-        return pdf.assign(fold=folds)[[group, "n", "fold"]]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = deal(list(zip(pdf["__size"].tolist(), pdf["__m"].tolist())), k)
+        return pd.DataFrame(rows, columns=["__size", "__starts", "__orders"])
 
-    schema = T.StructType([sizes.schema[group], T.StructField("n", T.LongType()),
-                           T.StructField("fold", T.IntegerType())])
-    return _sharded(sizes, group).groupBy("__shard").applyInPandas(pack, schema)
+    dealt = classes.groupBy("__all").applyInPandas(
+        run, "__size long, __starts array<long>, __orders array<array<int>>")
+    order = [group]
+    if isinstance(df.schema[group].dataType, T.StringType):  # its first bytes as a number, for the buckets
+        head = F.rpad(F.hex(F.substring(F.encode(group, "UTF-8"), 1, 7)), 14, "0")
+        sizes, order = sizes.withColumn("__head", F.conv(head, 16, 10).cast("bigint")), ["__head", group]
+    placed = lookup(dense_positions(sizes, order, ["__size"]), dealt, ["__size"], "inner", [group])
+    segment = F.size(F.filter("__starts", lambda s: s <= F.col("pos")))
+    turns = F.element_at("__orders", segment)
+    turn = (F.col("pos") - F.element_at("__starts", segment)) % F.size(turns)
+    return placed.select(
+        group, F.col("__size").alias("n"), F.element_at(turns, (turn + 1).cast("int")).alias("fold"))
 
 
 def group_kfold_snake(df: DataFrame, group: str, k: int = 5) -> DataFrame:
@@ -86,7 +116,8 @@ def stratified_group_kfold(
 
     Groups are taken in seeded order, most class-unbalanced first; each goes to
     the fold that leaves the class shares most even (fewest rows on a tie).
-    Sharded like ``group_kfold``.
+    The packing is sequential over the *group* table.  Up to 200k groups are one pass (the exact
+    greedy result); above that, hash shards are packed independently, each balanced.
     """
     import numpy as np
     import pandas as pd

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 _BUCKET = "__bucket"
 HASH_BITS = 32
@@ -35,15 +35,21 @@ def hash_key(seed, *cols: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def hash_bucket(key: Column | str, bits: int = 8) -> Column:
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_bucket(key: Column | str, bits: int | None = None) -> Column:
+    """The leading bits of a hash key: 256 buckets, or about 2 per shuffle task if that is more."""
+    if bits is None:
+        bits = min(HASH_BITS, max(8, (2 * _tasks(SparkSession.active()) - 1).bit_length()))
     return F.shiftright(F.col(key) if isinstance(key, str) else key, HASH_BITS - bits)
 
 
 def _grid(df: DataFrame) -> int:
     """Side of the bucket grid; there are side**2 buckets, about 2 per shuffle task."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = 4
-    while side * side < 2 * tasks and side < 64:
+    while side * side < 2 * _tasks(df.sparkSession):
         side += 2
     return side
 
@@ -255,19 +261,27 @@ def value_at_position(
 
 
 def lookup(
-    df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", salts: int = 8,
+    df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
+    salt_by: Sequence[str] | None = None, salts: int | None = None,
 ) -> DataFrame:
     """Equi-join of a fact table to a one-row-per-key table that may grow with the data.
 
     A hot key would land in one task, so the key is salted: the fact side
-    spreads every key over ``salts`` tasks and the table side is repeated.  The
-    repeat also gives the join fresh exchanges on both sides, which lets
-    adaptive execution split what is still skewed, or broadcast a small table.
+    spreads every key over ``salts`` tasks (the square root of the shuffle tasks, at least 8) and
+    the table side is repeated.  The repeat also gives the join fresh exchanges on both sides,
+    which lets adaptive execution split what is still skewed, or broadcast a small table.
     Keys match null-safely.
+
+    The salt is a hash of ``salt_by`` alone (best a row id; else the first two plain columns that
+    aren't keys), so filters and projections above the join reach the scan.
     """
     on = list(on)
-    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    mix = F.xxhash64(*hashable, F.spark_partition_id())  # same value when a task is retried
+    if salts is None:
+        salts = max(8, round(_tasks(df.sparkSession) ** 0.5))
+    if salt_by is None:
+        plain = (f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType))
+        salt_by = [c for c in plain if c not in on][:2]
+    mix = F.xxhash64(*[F.col(f"`{c}`") for c in salt_by or on])
     spread = df.withColumn("__salt", F.pmod(mix, F.lit(salts)).cast("int"))
     repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     renamed = repeated.select(

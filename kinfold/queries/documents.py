@@ -12,6 +12,11 @@ from kinfold.plans.session import table
 from kinfold.queries.base import frame, query, r, rounded
 from kinfold.sources.documents import parse_extractions
 
+# The references that the tables hold, as pairs for the SQL; ``&amp;`` last so nothing is decoded twice.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+)
+
 # Markdown with headings, captions, image markers and measurements around the real texts.
 MARKDOWN = """SELECT doc_id, source, '# ' || source || '\\n' ||
  CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '## Experimental setup\\n\\n' WHEN 1 THEN '## Results\\n' WHEN 2 THEN '### Test methods \\n\\n'
@@ -47,7 +52,7 @@ def chunk_sql() -> str:
     starts = lambda e, ws: "(" + " OR ".join(f"starts_with({e}, '{w}')" for w in ws) + ")"
     sec = docs.SETUP_SECTIONS
     unescape = "t"
-    for ent, ch in txt.ENTITIES:
+    for ent, ch in ENTITIES:
         unescape = f"replace({unescape}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
     space = "[\\s\\x{a0}\\x{85}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}]+"
     return f"""WITH c AS ({MARKDOWN_SQL}), ln AS (SELECT doc_id, unnest(regexp_split_to_array(md, '\\r\\n|\\r|\\n')) AS line,
@@ -94,13 +99,21 @@ def x5(spark, sf):
 
 
 ENTITY_SQL = "html"
-for _ent, _ch in txt.ENTITIES:
+for _ent, _ch in ENTITIES:
     ENTITY_SQL = f"replace({ENTITY_SQL}, '{_ent}', '{_ch.replace(chr(39), chr(39) * 2)}')"
+# References put after every page, and what each must become.
+REFERENCES = (
+    ("&deg;", "°"), ("&#176;", "°"), ("&#xB0;", "°"), ("&eacute;", "é"), ("&#233", "é"), ("&alpha;", "α"), ("&#x3b1;", "α"),
+    ("&le;", "≤"), ("&ne;", "≠"), ("&#8804;", "≤"), ("&copy 1", "© 1"), ("&notit;", "¬it;"), ("&notin;", "∉"), ("&amp;lt;", "&lt;"),
+    ("&#150;", "–"), ("&#0;", "�"), ("&#x1F525;", "🔥"), ("&NotEqualTilde;", "≂̸"), ("&unknown;", "&unknown;"), ("& b", "& b"),
+)
+ENTITY_SQL = f"{ENTITY_SQL} || ' {' '.join(c for _, c in REFERENCES)}'"
 
 
 @query("x6_normalize_text", f"SELECT page_id, md5(trim(regexp_replace({ENTITY_SQL}, '[\\s\\x{{a0}}\\x{{85}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{1c}}-\\x{{1f}}]+', ' ', 'g'))) AS digest FROM {{pages}}")
 def x6(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(txt.normalize_text(F.col("html"))).alias("digest"))
+    html = F.concat("html", F.lit(" " + " ".join(e for e, _ in REFERENCES)))
+    return table(spark, sf, "pages").select("page_id", F.md5(txt.normalize_text(html)).alias("digest"))
 
 
 @query("x7_unique_chunks", chunk_sql() + " SELECT doc_id, type, section, md5(text) AS digest, CAST(min(line_start) AS INT) AS line_start FROM z GROUP BY doc_id, type, section, text")

@@ -120,3 +120,13 @@ def test_focal_gradient(spark):
             for r in df.select("y", "m", g.alias("g"), h.alias("h")).collect():
                 p = 1 / (1 + math.exp(-r.m))
                 assert r.g == pytest.approx(p - r.y) and r.h == pytest.approx(p * (1 - p))
+
+
+def test_decode_entities_like_the_standard_library(spark):
+    import html
+    from html.entities import html5
+
+    numbers = [0, 1, 9, 11, 13, 31, 65, 127, 128, 129, 150, 159, 160, 0xD7FF, 0xD800, 0xE000, 0xFDD0, 0xFFFE, 0x1F525, 0x1FFFF, 0x10FFFF, 0x110000]
+    texts = [f"a&{n}b" for n in html5] + [f"&#{n};" for n in numbers] + [f"&#x{n:X}z" for n in numbers]
+    texts += ["", "&", "&&amp;", "&amp;lt;", "&notit;", "&notin", "&#", "&#x;", "&#00065;", "&#99999999999999999999;", "&unknown; &am", "no", None, "& &lt"]
+    same(evaluate(spark, txt.decode_entities, texts), [t if t is None else html.unescape(t) for t in texts])

@@ -239,3 +239,42 @@ def test_top_gaps_and_pareto(skewed):
     par = ranking.pareto(df, "g").toPandas().sort_values("position")
     assert par["position"].tolist() == list(range(1, len(par) + 1))
     assert par["cum_rows"].tolist() == par["n"].cumsum().tolist() and par["n"].is_monotonic_decreasing
+
+
+def test_group_kfold_equals_the_plain_greedy(spark):
+    import random
+
+    from kinfold.operators import splits
+
+    rng = random.Random(3)
+    for trial in range(300):
+        k = rng.randint(1, 6)
+        groups = [rng.choice([1, 1, 2, 3, rng.randint(1, 40)]) for _ in range(rng.randint(1, 60))]
+        loads, want = [0] * k, []
+        for n in sorted(groups, reverse=True):
+            f = min(range(k), key=lambda f: (loads[f], f))
+            loads[f] += n
+            want.append(f)
+        got = []
+        for n, starts, orders in splits.deal([(n, groups.count(n)) for n in set(groups)], k):
+            for pos in range(groups.count(n)):
+                i = sum(s <= pos for s in starts) - 1
+                got.append(orders[i][(pos - starts[i]) % len(orders[i])])
+        assert got == want, (k, groups)
+    names = {f"g{i}": rng.randint(1, 4) for i in range(60)}
+    df = spark.createDataFrame([(g,) for g, n in names.items() for _ in range(n)], "g string")
+    loads, want = [0] * 3, {}
+    for g, n in sorted(names.items(), key=lambda x: (-x[1], x[0])):
+        want[g] = min(range(3), key=lambda f: (loads[f], f))
+        loads[want[g]] += n
+    assert {r.g: r.fold for r in splits.group_kfold(df, "g", 3).collect()} == want
+
+
+def test_lookup_lets_filters_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    spark.range(100).selectExpr("id", "id % 3 AS g", "id * 2 AS q", "id AS a", "id AS b").write.parquet(path)
+    df = spark.read.parquet(path)
+    out = ordered.lookup(df, df.groupBy("g").agg(F.count("*").alias("n")), ["g"], salt_by=["id"]).where("q > 5").select("id", "n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(q,5)" in plan
+    assert "b#" not in plan and out.count() == 97
