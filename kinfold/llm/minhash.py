@@ -368,7 +368,8 @@ def link(nodes: DataFrame, payload: DataFrame, sets: Sets, percent: int, rows: i
     likely = stored(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
         partial(_likely, least), "a long, b long, strong boolean"), "likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    met = stored(payload.join(ends.hint("merge"), "key"), "payload")
+    # one row per node: repeats of a frequent one would come along with each of its pairs
+    met = stored(payload.join(ends.hint("merge"), "key").dropDuplicates(["key"]), "payload")
     comp = stored(components(_similar(likely.where("strong").select("a", "b"), met, sets, percent)), "comp")
     # second search: clusters of components that likely links join
     clusters = components(_relabel(likely.select("a", "b"), comp)).select(
@@ -383,7 +384,7 @@ def link(nodes: DataFrame, payload: DataFrame, sets: Sets, percent: int, rows: i
     ).select(
         "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"), "comp", "key",
-    ).join(met.dropDuplicates(["key"]), "key").select("cluster", "i", "j", "side", "comp", "key", "payload")
+    ).join(met, "key").select("cluster", "i", "j", "side", "comp", "key", "payload")
     across = stored(_sorted(cells, ["cluster", "i", "j"], ["cluster", "i", "j"]).mapInArrow(
         partial(_across, sets, percent), "a long, b long"), "across")
     joined = components(_relabel(across, comp)).select(F.col("key").alias("comp"), F.col("comp").alias("least"))
