@@ -293,19 +293,18 @@ def grouped_permutation_importance(
 
 def shapley_attribution(
     df: DataFrame, score: Callable[[DataFrame], DataFrame], cols: Sequence[str], row_id: str,
-    n_rows: int = 300, n_background: int = 8, orders: int = 2, seed: int = 42,
+    n_background: int = 8, orders: int = 2, seed: int = 42,
 ) -> DataFrame:
-    """(row, feature, contribution) by sampled permutations: the explained sample is the feature.
+    """(row, feature, contribution) of every row of ``df`` by sampled permutations.
 
-    For each explained row, order and background row the features switch one by
-    one from background to row values; consecutive score differences are the
+    For each row, order and background row (``n_background`` of them, drawn by hash) the features
+    switch one by one from background to row values; consecutive score differences are the
     contributions, so they sum to score - mean background score.
     """
     import random
 
-    pick = lambda n, s: df.orderBy(hash_key(s, row_id), row_id).limit(n)
-    rows = pick(n_rows, seed).select(row_id, F.struct(*cols).alias("x"))
-    back = pick(n_background, seed + 1).select(F.struct(*cols).alias("z"))
+    rows = df.select(row_id, F.struct(*cols).alias("x"))
+    back = df.orderBy(hash_key(seed + 1, row_id), row_id).limit(n_background).select(F.struct(*cols).alias("z"))
     ground = back.agg(F.collect_list("z").alias("zs")).scalar()  # n_background rows
     rng = random.Random(seed)
     plans = [rng.sample(list(cols), len(cols)) for _ in range(orders)]

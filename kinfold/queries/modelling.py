@@ -345,7 +345,7 @@ def au6(spark, sf):
 def au7(spark, sf):
     df = doc_rows(spark, sf)
     s = mod.fit(df, SPEC)
-    c = audit.shapley_attribution(df, s, ["n_chars", "n_spaces", "n_dots", "e_share", "lang"], "row_id", 300, 5, 2)
+    c = audit.shapley_attribution(df, s, ["n_chars", "n_spaces", "n_dots", "e_share", "lang"], "row_id", 5, 2)
     return rounded(audit.parent_attribution(audit.mean_abs_attribution(c)))
 
 
@@ -389,7 +389,7 @@ def au11(spark, sf):
 def au12(spark, sf):
     df = doc_rows(spark, sf)
     s = mod.fit(df, SPEC)
-    cols = ["n_chars", "lang"]
-    c = audit.shapley_attribution(df, s, ["n_chars", "n_spaces", "n_dots", "e_share", "lang"], "row_id", 100, 4, 1)
+    cols = ["n_chars", "n_spaces", "n_dots", "e_share", "lang"]
+    c = audit.shapley_attribution(df, s, cols, "row_id", 4, 1)
     imp = audit.grouped_permutation_importance(df, SPEC, cols, 2, 1)
     return rounded(audit.leakage_signature(audit.mean_abs_attribution(c), imp, 2))

@@ -207,7 +207,7 @@ def test_shapley_sums_to_difference(spark):
     rows = [(i, float(i % 5), float(i % 3)) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, a double, b double")
     score = lambda d: d.withColumn("score", 2 * F.col("a") + F.col("a") * F.col("b"))
-    c = audit.shapley_attribution(df, score, ["a", "b"], "id", 40, 40, 2).groupBy("id").agg(
+    c = audit.shapley_attribution(df, score, ["a", "b"], "id", 40, 2).groupBy("id").agg(
         F.sum("contribution").alias("s")).toPandas().set_index("id")["s"]
     own = {i: 2 * a + a * b for i, a, b in rows}
     mean = sum(own.values()) / len(own)
