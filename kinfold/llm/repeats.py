@@ -352,13 +352,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"))
     tied = text.groupBy("doc").count().where("count > 1").limit(1).count() > 0
     text = text.withColumn("tie", F.xxhash64("text") if tied else F.lit(0).cast("long"))
-    rows = text.select("doc", "tie", "text").mapInArrow(_anchor_rows, MARKED)
+    # repeated rows are one document: searched once, and what it loses goes back to each of them
+    once = text.select("doc", "tie", "text")
+    once = once.dropDuplicates(["doc", "tie"]) if tied else once
+    rows = once.mapInArrow(_anchor_rows, MARKED)
     marks = stored(_by_print(rows).mapInArrow(partial(_settle, WINDOW), MARKED), "marks")
     asks = marks.where(F.col("kind") == ASK)
     hot = asks.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     asks = asks.join(hot, "anchor", "left").groupBy("doc", "tie").agg(
         F.collect_list(F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "anchor", "pos")).alias("asks"))
-    found = text.select("doc", "tie", "text").join(asks, ["doc", "tie"]).select("doc", "tie", "text", "asks")
+    found = once.join(asks, ["doc", "tie"]).select("doc", "tie", "text", "asks")
     contexts = stored(found.mapInArrow(_contexts, CONTEXTS), "contexts")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = contexts.where("not hot").select("anchor", "doc", "tie", "lo", "bytes")

@@ -216,6 +216,29 @@ def test_repeats(spark, docs, hot, monkeypatch):
     assert repeats.remove_repeats(docs).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("hot", [0, 2000])
+def test_repeats_of_whole_rows(spark, docs, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    own = [" ".join(f"{c}{i * i}" for i in range(80)) for c in "pqrs"]
+    more = [(20, own[0]), (20, own[0]), (None, own[1]), (None, own[1]), (None, own[1] + own[0][:150]), (21, own[2] + own[1][50:250]),
+            (21, own[2] + own[1][50:250]), (21, own[3]), (22, own[3] + own[3]), (22, own[3] + own[3]), (None, None), (None, None)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    order = {(r.doc_id, r.text): (r.doc_id is not None, r.doc_id, r.tie)
+             for r in rows.select("doc_id", "text", repeats.F.xxhash64("text").alias("tie")).collect()}
+    seen, want = set(), {}
+    for key in sorted(order, key=lambda k: (order[k][0], order[k][1] or 0, order[k][2])):
+        raw = (key[1] or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for s in range(len(raw) - 99):
+            if raw[s:s + 100] in seen:
+                gone[s:s + 100] = True
+            seen.add(raw[s:s + 100])
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        want[key] = (key[0], len(raw), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(rows).collect())
+    assert got == collections.Counter(want[r.doc_id, r.text] for r in rows.collect())
+
+
 def test_longest_previous_factor():
     text = np.frombuffer(b"banana-bananas", np.uint8)
     view = np.lib.stride_tricks.sliding_window_view(text, 4)
