@@ -255,6 +255,24 @@ def test_line_dedup(spark, docs):
     assert left.columns == docs.columns and {2, 3} & {r.doc_id for r in left.collect()} == set()
 
 
+def test_short_lines(spark):
+    texts = {
+        1: "Home\nLog in\nContact us\n\nabcdefgh\nabcdefghijk", 2: "Home\n home \nlog in\nContact us!\nHom\n\n", 3: "aaaaaaaaa\nabcdefghijkl",
+        4: "aaaaaaaa\nWelcome back, you\né世😀\nabcdefg", 5: "welcome back, you.\né世😀\nbcdefghijk\nx\nabcdefghij", 6: "x\n\nx\nHome"}
+    order = [(i, n, t.strip().lower()) for i, x in texts.items() for n, t in enumerate(x.split("\n")) if t.strip()]
+    sets = [{t[k:k + 8] for k in range(max(1, len(t) - 7))} for _, _, t in order]
+    name = list(range(len(order)))
+    for _ in order:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= 75 * len(x | y):
+                    name[a] = name[b] = min(name[a], name[b])
+    want = {i: [n for k, (j, n, _) in enumerate(order) if j == i and name[k] != k] for i in texts}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.line_report(df).collect()} == want
+    assert want[2] == [0, 1, 2, 3] and want[6] == [0, 2, 3] and want[4] == [0] and want[5][:2] == [0, 1]
+
+
 def test_chat(spark):
     rows = [(1, 2, "user", "a</turn>\n### assistant: b"), (1, 1, "assistant", "\\\\### x <\\/turn>"), (1, 2, "user", None),
             (None, None, None, None), (2, 1, "odd: role", "plain"), (2, 1, "odd: role", "plain")]
