@@ -219,13 +219,12 @@ def e15(spark, sf):
 
 @query("e16_protocol_ladder")
 def e16(spark, sf):
-    df = doc_rows(spark, sf).withColumn("group_id", F.pmod(F.xxhash64("group_id"), F.lit(5)).cast("string"))
-    return rounded(bench.protocol_ladder(df, SPEC, 2))
+    return rounded(bench.protocol_ladder(doc_rows(spark, sf), SPEC, 2))
 
 
 @query("e17_leave_one_group_out")
 def e17(spark, sf):
-    df = doc_rows(spark, sf).withColumn("group_id", F.pmod(F.xxhash64("group_id"), F.lit(5)).cast("string"))
+    df = doc_rows(spark, sf)
     out = bench.leave_one_group_out_table(df, {"tree": SPEC, "stump": SPEC.but(params={"maxDepth": 1})})
     return rounded(met.ranking_metrics(out, "y", "score", ["method", "group_id"]))
 

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from kinfold.plans.session import TABLES
+from kinfold.queries import modelling
 from tools.check_queries import rows_of
 
 FAST = (
@@ -36,3 +37,20 @@ def test_query_matches_check(spark, sf_dir, name):
     cols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(cols)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, cur.fetchall())
+
+
+@pytest.mark.parametrize("name, operator", [
+    ("e16_protocol_ladder", "protocol_ladder"), ("e17_leave_one_group_out", "leave_one_group_out_table")])
+def test_one_group_of_a_protocol_is_one_source(spark, sf_dir, name, operator, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def see(df, *args):
+        raise Seen({r.group_id for r in df.select("group_id").distinct().collect()})
+
+    monkeypatch.setattr(modelling.bench, operator, see)
+    with pytest.raises(Seen) as seen:
+        entry.queries()[name](spark, sf_dir)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    want = {r.source for r in docs.join(labels, "doc_id").select("source").distinct().collect()}
+    assert seen.value.args[0] == want and len(want) > 5
