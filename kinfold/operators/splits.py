@@ -6,7 +6,7 @@ and survives a lost executor.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -16,8 +16,6 @@ from kinfold.plans.ordered import (
 )
 from kinfold.plans.session import cut_lineage
 
-GROUPS_PER_SHARD = 200_000
-
 
 def stratified_holdout(
     df: DataFrame, label: str, ids: Sequence[str], seed: int = 42, test_fraction: float = 0.2
@@ -36,13 +34,6 @@ def stratified_kfold(
     return p.select(*ids, label, (F.col("pos") % k).cast("int").alias("fold"))
 
 
-def _sharded(groups: DataFrame, group: str) -> DataFrame:
-    """Cut a group table into shards small enough for one greedy pass each."""
-    n = groups.count()
-    shards = max(1, -(-n // GROUPS_PER_SHARD))
-    return groups.withColumn("__shard", F.pmod(F.xxhash64(group), F.lit(shards)).cast("int"))
-
-
 def deal(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[int], list[list[int]]]]:
     """How ``m`` groups of each size ``n`` go, one by one, onto the lightest of ``k`` folds.
 
@@ -116,8 +107,8 @@ def stratified_group_kfold(
 
     Groups are taken in seeded order, most class-unbalanced first; each goes to
     the fold that leaves the class shares most even (fewest rows on a tie).
-    The packing is sequential over the *group* table.  Up to 200k groups are one pass (the exact
-    greedy result); above that, hash shards are packed independently, each balanced.
+    The packing is sequential over the *group* table, by one rule at every size: Spark sorts the
+    groups of a seed, and one task reads them as a stream and holds only the loads of the folds.
     """
     import numpy as np
     import pandas as pd
@@ -126,33 +117,36 @@ def stratified_group_kfold(
         F.sum((F.col(label) == 0).cast("long")).alias("n_neg"),
         F.sum((F.col(label) == 1).cast("long")).alias("n_pos"),
     )
-    runs = _sharded(counts, group).withColumn(
-        "seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds]))
-    ).withColumn("__h", hash_key(F.col("seed"), group))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__gap=(pdf["n_neg"] - pdf["n_pos"]).abs()).sort_values(
-            ["__gap", "__h", group], ascending=[False, True, True]
-        )
-        y = pdf[["n_neg", "n_pos"]].to_numpy(dtype=float)
-        total = np.maximum(y.sum(axis=0), 1.0)
-        held = np.zeros((k, 2))
-        shift, folds = int(pdf["__shard"].iloc[0]), []
-        for row in y:
-            trial = np.repeat(held[None, :, :], k, axis=0)
-            trial[np.arange(k), np.arange(k)] += row
-            spread = np.round((trial / total).std(axis=1).mean(axis=1), 12)
-            best = min(range(k), key=lambda f: (spread[f], held[f].sum(), f))
-            held[best] += row
-            folds.append((best + shift) % k)
-        return pdf.assign(fold=folds)[["seed", group, "n_neg", "n_pos", "fold"]]
+    totals = counts.agg(F.struct(F.sum("n_neg").alias("neg"), F.sum("n_pos").alias("pos")).alias("t")).scalar()
+    runs = counts.withColumn("__t", totals).select(
+        F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"), group, "n_neg", "n_pos",
+        F.col("__t.neg").alias("__neg"), F.col("__t.pos").alias("__pos"),
+    ).withColumn("__gap", F.abs(F.col("n_neg") - F.col("n_pos"))).withColumn("__h", hash_key(F.col("seed"), group))
+    ordered = runs.repartition(len(seeds), "seed").sortWithinPartitions("seed", F.desc("__gap"), "__h", group)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seed, held = None, np.zeros((k, 2))
+        for pdf in batches:
+            total, folds = np.ones(2), []
+            if len(pdf):
+                total = np.maximum(pdf[["__neg", "__pos"]].iloc[0].to_numpy(dtype=float), 1.0)
+            for s, row in zip(pdf["seed"].tolist(), pdf[["n_neg", "n_pos"]].to_numpy(dtype=float)):
+                if s != seed:
+                    seed, held = s, np.zeros((k, 2))
+                trial = np.repeat(held[None, :, :], k, axis=0)
+                trial[np.arange(k), np.arange(k)] += row
+                spread = np.round((trial / total).std(axis=1).mean(axis=1), 12)
+                best = min(range(k), key=lambda f: (spread[f], held[f].sum(), f))
+                held[best] += row
+                folds.append(best)
+            yield pdf.assign(fold=folds)[["seed", group, "n_neg", "n_pos", "fold"]]
 
     schema = T.StructType([
         T.StructField("seed", T.IntegerType()), counts.schema[group],
         T.StructField("n_neg", T.LongType()), T.StructField("n_pos", T.LongType()),
         T.StructField("fold", T.IntegerType()),
     ])
-    return runs.groupBy("seed", "__shard").applyInPandas(pack, schema)
+    return ordered.mapInPandas(pack, schema)
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:

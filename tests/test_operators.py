@@ -116,6 +116,23 @@ def test_splits_are_partitions(skewed):
     assert 0 < splits.shared_groups(df.withColumn("s", F.col("id") % 4), "g", "s").count()
 
 
+def test_stratified_group_folds_are_one_pass_at_every_size(spark):
+    n, k = 200_100, 5  # one group size after 200,000 used to change the rule
+    df = spark.range(n).select(F.col("id").alias("g"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    got = splits.stratified_group_kfold(df, "g", "y", k)
+    order = got.withColumn("h", ordered.hash_key(F.col("seed"), "g")).orderBy("h", "g").toPandas()  # all gaps are 1
+    y = order[["n_neg", "n_pos"]].to_numpy(dtype=float)
+    held, total, want = np.zeros((k, 2)), y.sum(axis=0), []
+    for row in y:
+        trial = np.repeat(held[None, :, :], k, axis=0)
+        trial[np.arange(k), np.arange(k)] += row
+        spread = np.round((trial / total).std(axis=1).mean(axis=1), 12)
+        best = min(range(k), key=lambda f: (spread[f], held[f].sum(), f))
+        held[best] += row
+        want.append(best)
+    assert len(order) == n and order["fold"].tolist() == want
+
+
 def test_weights_have_mean_one(skewed):
     _, df = skewed
     for s in weights.STRATEGIES:
