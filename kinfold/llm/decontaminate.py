@@ -73,6 +73,7 @@ def blocks(benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BY
     Items are dealt by hash, so an item lies in one block whole; null and wordless texts give nothing.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
+    items = items.distinct()  # repeated rows give the same windows and would lie in one block
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for k in range(n):

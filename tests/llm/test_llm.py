@@ -198,6 +198,16 @@ def test_decontamination(spark, docs, bench):
     assert clean.columns == docs.columns and decontaminate.report(clean, bench).where("contaminated").count() == 0
 
 
+def test_repeated_items_lie_in_no_block_twice(spark, docs, bench):
+    many = bench.unionByName(spark.createDataFrame([(9, "one row again and again")] * 50, bench.schema))
+    parts = list(decontaminate.blocks(many, block_bytes=40))
+    assert sorted(i for p in parts for i in p.ids if i == "9") == ["9"]
+    columns = ["doc_id", "__n_hit"]
+    once = decontaminate.scan(docs.select("doc_id", "text"), many.distinct()).select(*columns).collect()
+    again = decontaminate.scan(docs.select("doc_id", "text"), many).select(*columns).collect()
+    assert sorted(map(str, once)) == sorted(map(str, again))
+
+
 @pytest.mark.parametrize("hot", [0, 2000])
 def test_repeats(spark, docs, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
