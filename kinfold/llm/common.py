@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,34 @@ def to_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
+def numbered(df: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+    """``df`` in the order of ``within``, then ``order`` (nulls first), with group_no, group_n and pos from 0.
+
+    ``df`` should be a stored table.  Rows equal in all these columns take any order among them.
+    The sort cuts ranges, also between equal rows; positions come from a table of one row per group
+    and range, so no group meets in one task.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (*within, *order)]
+    rows = df.withColumn("row_", F.monotonically_increasing_id()).orderBy(*keys, "row_").drop("row_")
+    rows = stored(rows.withColumn("row_", F.monotonically_increasing_id()), "sorted").withColumn(
+        "part_", F.shiftright("row_", 33))
+    group = F.struct(F.lit(0).alias("all_"), *within)
+    cuts = stored(rows.groupBy(group.alias("group_"), "part_").agg(F.count("*").alias("n_"), F.min("row_").alias("lead_")), "cuts")
+    firsts = cuts.groupBy("group_").agg(F.sum("n_").alias("group_n"), F.min("lead_").alias("first_")).withColumn(
+        "home_", F.shiftright("first_", 33))
+    homes = firsts.groupBy("home_").count()  # one row per range: the running sums below are over ranges
+    earlier = Window.partitionBy(F.lit(0)).orderBy("home_").rowsBetween(Window.unboundedPreceding, -1)
+    homes = homes.select("home_", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("earlier_"))
+    firsts = firsts.withColumn("nth_", F.row_number().over(Window.partitionBy("home_").orderBy("first_"))).join(
+        homes, "home_").select("group_", "group_n", (F.col("earlier_") + F.col("nth_") - 1).alias("group_no"))
+    above = Window.partitionBy("group_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.withColumn("above_", F.coalesce(F.sum("n_").over(above), F.lit(0))).join(firsts, "group_").select(
+        F.col("group_").alias("cut_"), F.col("part_").alias("in_"), "group_n", "group_no",
+        (F.col("above_") - F.col("lead_")).alias("shift_"))
+    return rows.join(cuts, (group == F.col("cut_")) & (F.col("part_") == F.col("in_"))).select(
+        *df.columns, "group_no", "group_n", (F.col("row_") + F.col("shift_")).alias("pos"))
+
+
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 

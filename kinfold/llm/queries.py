@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kinfold.llm import (
-    chat, decontaminate, line_dedup, near_dedup, packing, quality, repeats, rules, token_output, tokens,
+    chat, decontaminate, line_dedup, merkle, near_dedup, packing, quality, repeats, rules, token_output, tokens,
 )
 from kinfold.llm.common import table
 
@@ -140,6 +140,60 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+OP12 = r"""
+WITH RECURSIVE l AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents),
+d AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || low, '-')) AS other FROM l),
+p AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY lang) AS n,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+bits AS (SELECT doc_id, unnest(range(8 * strlen(doc_id::VARCHAR))) AS b, doc_id::VARCHAR AS s FROM (SELECT DISTINCT doc_id FROM d)),
+crc(doc_id, s, k, c) AS (
+  SELECT DISTINCT doc_id, s, 0, 4294967295::BIGINT FROM bits
+  UNION ALL
+  SELECT doc_id, s, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM (
+    SELECT doc_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, ascii(s[k // 8 + 1])::BIGINT) ELSE c END AS x FROM crc WHERE k < 8 * strlen(s))),
+hit AS (SELECT doc_id FROM crc WHERE k = 8 * strlen(s) AND xor(c, 4294967295) % 3 = 0),
+runs(g, lvl, run, n, hs) AS (
+  SELECT g, 0, i // 8, n, list(leaf ORDER BY i) FROM p GROUP BY g, i // 8, n
+  UNION ALL
+  SELECT g, lvl + 1, run // 8, (n + 7) // 8, list(sha256(array_to_string(hs, '')) ORDER BY run) FROM runs
+  WHERE n > 8 GROUP BY g, lvl, run // 8, n),
+subs AS (SELECT g, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM runs WHERE n <= 8),
+tops(lvl, run, n, hs) AS (
+  SELECT 0, g // 8, (SELECT count(*) FROM subs), list(h ORDER BY g) FROM subs GROUP BY g // 8
+  UNION ALL
+  SELECT lvl + 1, run // 8, (n + 7) // 8, list(sha256(array_to_string(hs, '')) ORDER BY run) FROM tops
+  WHERE n > 8 GROUP BY lvl, run // 8, n),
+root AS (SELECT CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM tops WHERE n <= 8),
+walk(id, g, top, lvl, i, n, acc, sib) AS (
+  SELECT row_number() OVER (), g, false, 0, i, n, CASE WHEN doc_id IN (FROM hit) THEN other ELSE leaf END, '' FROM p
+  UNION ALL
+  SELECT id, g, top OR n = 1, CASE WHEN n = 1 THEN 0 ELSE lvl + 1 END, CASE WHEN n = 1 THEN g ELSE i // 8 END,
+    CASE WHEN n = 1 THEN trees ELSE (n + 7) // 8 END,
+    CASE WHEN n = 1 THEN acc ELSE sha256(array_to_string(hs[:i % 8], '') || acc || array_to_string(hs[i % 8 + 2:], '')) END,
+    CASE WHEN n = 1 THEN sib ELSE sib || array_to_string(hs[:i % 8], '') || array_to_string(hs[i % 8 + 2:], '') END
+  FROM (
+    SELECT w.*, coalesce(r.hs, t.hs) AS hs, (SELECT count(*) FROM subs) AS trees FROM walk w
+    LEFT JOIN runs r ON NOT top AND r.g = w.g AND r.lvl = w.lvl AND r.run = w.i // 8
+    LEFT JOIN tops t ON top AND t.lvl = w.lvl AND t.run = w.i // 8
+    WHERE w.n > 1 OR NOT top)),
+q AS (SELECT row_number() OVER () AS id, * FROM p)
+SELECT q.doc_id, q.leaf, s.h AS subroot, root.h AS root, sha256(w.sib) AS proof_sha256, CAST(strlen(w.sib) // 64 AS INT) AS n_siblings,
+  w.acc AS folded_root, w.acc = root.h AS verified
+FROM walk w JOIN q USING (id) JOIN subs s ON s.g = w.g, root WHERE w.top AND w.n = 1
+"""
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -148,6 +202,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "pipeline": (pipeline, None),
+    "op12_merkle_manifest": (op12_merkle_manifest, OP12),
     "op2_quality_classifier": (op2_quality_classifier, None),
     "op7_repeated_strings": (op7_repeated_strings, None),
     "op10_line_dedup": (op10_line_dedup, None),
