@@ -67,7 +67,7 @@ def to_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def numbered(df: DataFrame, within: list[str], order: list[str]) -> DataFrame:
     """``df`` in the order of ``within``, then ``order`` (nulls first), with group_no, group_n and pos from 0.
 
-    ``df`` should be a stored table.  Rows equal in all these columns take any order among them.
+    Rows equal in all these columns take any order among them.
     The sort cuts ranges, also between equal rows; positions come from a table of one row per group
     and range, so no group meets in one task.
     """
@@ -88,6 +88,7 @@ def numbered(df: DataFrame, within: list[str], order: list[str]) -> DataFrame:
     cuts = cuts.withColumn("above_", F.coalesce(F.sum("n_").over(above), F.lit(0))).join(firsts, "group_").select(
         F.col("group_").alias("cut_"), F.col("part_").alias("in_"), "group_n", "group_no",
         (F.col("above_") - F.col("lead_")).alias("shift_"))
+    cuts = stored(cuts, "cuts")  # its size is known then, and a small one is broadcast
     return rows.join(cuts, (group == F.col("cut_")) & (F.col("part_") == F.col("in_"))).select(
         *df.columns, "group_no", "group_n", (F.col("row_") + F.col("shift_")).alias("pos"))
 

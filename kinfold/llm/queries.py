@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kinfold.llm import (
-    chat, decontaminate, line_dedup, merkle, near_dedup, packing, quality, repeats, rules, token_output, tokens,
+    chat, decontaminate, fingerprint, line_dedup, merkle, near_dedup, packing, quality, repeats, rules, token_output, tokens,
 )
 from kinfold.llm.common import table
 
@@ -194,6 +194,10 @@ FROM walk w JOIN q USING (id) JOIN subs s ON s.g = w.g, root WHERE w.top AND w.n
 """
 
 
+def op13_document_fingerprints(spark, sf_dir):
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -203,6 +207,7 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "pipeline": (pipeline, None),
     "op12_merkle_manifest": (op12_merkle_manifest, OP12),
+    "op13_document_fingerprints": (op13_document_fingerprints, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
     "op7_repeated_strings": (op7_repeated_strings, None),
     "op10_line_dedup": (op10_line_dedup, None),
