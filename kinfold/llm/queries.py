@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kinfold.llm import (
-    chat, decontaminate, fingerprint, line_dedup, merkle, near_dedup, packing, quality, repeats, rules, token_output, tokens,
+    chat, decontaminate, fingerprint, line_dedup, merkle, near_dedup, packing, quality, repeats, rules, search, token_output, tokens,
 )
 from kinfold.llm.common import table
 
@@ -140,6 +140,35 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+i AS (
+  SELECT item_id, text, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+z AS (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0),
+p AS (
+  SELECT row, doc_id, m, term, count(*) AS tf FROM (
+    SELECT row, doc_id, 75 + (25 * len(ws) * z.n) // z.l AS m, unnest(ws) AS term FROM d, z WHERE len(ws) > 0) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * z.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY term, z.n),
+q AS (SELECT item_id, text, unnest(ws) AS term FROM i),
+s AS (
+  SELECT item_id, text, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) GROUP BY ALL),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.report(table(spark, sf_dir, "documents"))
 
@@ -206,6 +235,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "pipeline": (pipeline, None),
+    "op11_ranked_search": (op11_ranked_search, OP11),
     "op12_merkle_manifest": (op12_merkle_manifest, OP12),
     "op13_document_fingerprints": (op13_document_fingerprints, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
