@@ -27,7 +27,7 @@ from kinfold.llm.minhash import _sorted
 
 BLOCK = 128
 #: Postings of a shard (one document more at most), and documents scored at a time.
-SHARD_POSTINGS, STRETCH = 3_000_000, 2048
+SHARD_POSTINGS, STRETCH = 1_000_000, 2048
 #: Distinct terms, over all items, of a block of queries.
 QUERY_TERMS = 200_000
 #: Copies of a term's request, so that the lists of a frequent one are found by several tasks.
@@ -101,7 +101,7 @@ def _shard(part: int, shard: int, ids: np.ndarray, m: np.ndarray, doc: np.ndarra
     """Rows of a shard: its documents, then a row for each term.  ``doc`` ascends."""
     yield to_batch(_INDEX, [part], [shard], pa.nulls(1, pa.int64()), [len(ids)], [0], [ids.tobytes()], [m.tobytes()])
     order = np.argsort(term, kind="stable")
-    doc, term, tf = doc[order], term[order], tf[order]
+    doc, term, tf = doc[order].astype(np.int64), term[order], tf[order].astype(np.int64)
     score = weightless(tf, m[doc])
     lists = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
     n = np.diff(np.append(lists, len(doc)))
@@ -128,7 +128,7 @@ def _shard(part: int, shard: int, ids: np.ndarray, m: np.ndarray, doc: np.ndarra
                        top[lo:hi], _slices(raw, head_edge[lo:hi + 1]), _slices(data, data_edge[lo:hi + 1]))
 
 
-def _build(n_docs: int, n_terms: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build(n_docs: int, n_terms: int, shard_postings: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, shard, size, docs = TaskContext.get().partitionId(), 0, 0, 0
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -139,6 +139,7 @@ def _build(n_docs: int, n_terms: int, batches: Iterator[pa.RecordBatch]) -> Iter
         m = 75 + (25 * length * n_docs) // max(n_terms, 1)
         yield from _shard(part, shard, ids, m, doc, term, tf)
         shard, size, docs = shard + 1, 0, 0
+        A.trim()
 
     for batch in batches:
         ids = batch.column(0).fill_null(NO_ID).to_numpy()
@@ -147,23 +148,23 @@ def _build(n_docs: int, n_terms: int, batches: Iterator[pa.RecordBatch]) -> Iter
             some = np.flatnonzero(length)
             if not len(some):
                 continue
-            held.append((ids[lo:hi][some], length[some], np.searchsorted(some, rows) + docs, term, times))
+            held.append((ids[lo:hi][some], length[some], (np.searchsorted(some, rows) + docs).astype(np.int32), term, times.astype(np.int32)))
             size, docs = size + len(rows), docs + len(some)
-            if size >= SHARD_POSTINGS:
+            if size >= shard_postings:
                 yield from flush()
     if held:
         yield from flush()
     A.trim()
 
 
-def build_index(docs: DataFrame) -> tuple[DataFrame, int]:
+def build_index(docs: DataFrame, shard_postings: int = SHARD_POSTINGS) -> tuple[DataFrame, int]:
     """Stored index of all rows of ``docs`` (doc_id, text, ...), and the number of documents with a term.
 
     Rows (part, shard, term, n, top, head, data); one with a null term holds a shard's documents.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n, length = text.select("text").mapInArrow(_lengths, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
-    return stored(text.mapInArrow(partial(_build, n or 0, length or 0), INDEX), "index"), n or 0
+    return stored(text.mapInArrow(partial(_build, n or 0, length or 0, shard_postings), INDEX), "index"), n or 0
 
 
 class Postings:
@@ -280,7 +281,7 @@ def max_score(lists: list[tuple[int, Postings]], ids: np.ndarray, best: Best, st
             best.add(ids[doc[keep]], score[keep])
 
 
-def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(k: int, stretch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Best documents of every item over the shards of each (block, part); rows sorted by block, part,
     shard (requests first, as -1), documents before lists."""
     at: tuple | None = None
@@ -292,7 +293,7 @@ def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for terms, weights, best in items.values():
                 own = [(c, lists[t]) for t, c in zip(terms, weights) if t in lists]
                 if own:
-                    max_score(own, ids, best)
+                    max_score(own, ids, best, stretch)
         lists.clear()
 
     def results():
@@ -328,7 +329,7 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield to_batch(COUNTS, batch.column(0).to_numpy()[lo:hi][rows], term.view(np.int64), times)
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = TOP, shard_postings: int = SHARD_POSTINGS, stretch: int = STRETCH) -> DataFrame:
     """(item_id, rank, doc_id, score) of the ``k`` best rows of ``docs`` (doc_id, text, ...) for each item.
 
     ``items`` has item_id and text.  Repeated rows of it count once; texts that differ under one item_id,
@@ -337,7 +338,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     counted and such an item finds nothing, as does an empty table.  Texts count whole, whatever their
     length; the longest one bounds a task's memory.  Other columns aren't read.
     """
-    index, n_docs = build_index(docs)
+    index, n_docs = build_index(docs, shard_postings)
     asked = items.select(F.col("item_id"), F.col("text").cast("string").alias("text")).distinct()
     asked = stored(asked.withColumn("item", F.monotonically_increasing_id()), "items")
     terms = stored(asked.select("item", "text").mapInArrow(_item_terms, "item long, term long, times long"), "terms")
@@ -365,7 +366,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
             "block", every(parts).alias("part"), F.lit(-1).cast("long").alias("shard"),
             *[none(t, c) for t, c in (("long", "term"), ("int", "n"), ("int", "top"), ("binary", "head"), ("binary", "data"))],
             "item", F.col("own.term").alias("terms"), F.col("own.weight").alias("weights")))
-    found = _sorted(rows, ["block", "part"], ["block", "part", "shard", "term"]).mapInArrow(partial(_search, k), FOUND)
+    found = _sorted(rows, ["block", "part"], ["block", "part", "shard", "term"]).mapInArrow(partial(_search, k, stretch), FOUND)
     order = Window.partitionBy("item").orderBy(F.desc("score"), "doc")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.join(asked.select("item", "item_id"), "item").select(
