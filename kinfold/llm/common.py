@@ -57,6 +57,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread_join(rows: DataFrame, one: DataFrame, key: str, copies: int = 16) -> DataFrame:
+    """``rows`` with the columns of ``one`` (a row per ``key``); the rows of a frequent key go to several tasks."""
+    salt = free_name(rows, free_name(one, "salt"))
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(copies)).cast("int"))
+    return salted.join(one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))), [key, salt]).drop(salt)
+
+
 def to_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)],

@@ -204,3 +204,8 @@ def _keep(rules: list[Rule], at: int, batches):
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with all their columns; null texts fail."""
     return docs.mapInArrow(partial(_keep, order_rules(docs, rules), docs.columns.index("text")), docs.schema)
+
+
+def keep_passing(docs: DataFrame, rules: tuple[Rule, ...] = BASE) -> DataFrame:
+    """The rows of ``docs`` that pass ``rules`` taken as they stand, without a sample; all columns stay."""
+    return docs.mapInArrow(partial(_keep, list(rules), docs.columns.index("text")), docs.schema)

@@ -54,22 +54,56 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-def test_near_duplicates(spark, docs):
-    words = {r[0]: re.findall(r"[^\x20\x09-\x0D]+", lower(r[1])) for r in ROWS if r[0] is not None}
-    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
-    name = {i: i for i in sets}
-    for _ in sets:
-        for i, x in sets.items():
-            for j, y in sets.items():
-                if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                    name[i] = name[j] = min(name[i], name[j])
-    got = near_dedup.near_duplicates(docs).collect()
-    assert len(got) == len(ROWS)
-    for r in got:
-        if r.doc_id is None:
-            assert r.kept and r.component_id is None
-        else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), name[r.doc_id], name[r.doc_id] == r.doc_id)
+def groups(rows):
+    """Component (a set of row numbers) of every row with a word, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        sets.append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    own = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                same_id = rows[i][0] is not None and rows[i][0] == rows[j][0]
+                if x and y and (same_id or 100 * len(x & y) >= 75 * len(x | y)):
+                    own[i] = own[j] = min(own[i], own[j])
+    return sets, own
+
+
+OTHERS = [" ".join(f"{c}{i * i % 97}x{i}" for i in range(40)) for c in "efghij"]
+SHARED = [(1, OTHERS[0]), (2, OTHERS[1]), (5, OTHERS[0]), (5, OTHERS[1]), (5, OTHERS[2]), (9, OTHERS[2] + " more"), (7, OTHERS[3]),
+          (7, OTHERS[3]), (None, OTHERS[3]), (None, OTHERS[4]), (None, OTHERS[4]), (8, ""), (8, None), (5, " "), (11, OTHERS[5]), (11, OTHERS[5]),
+          (12, OTHERS[5]), (12, OTHERS[5]), (13, OTHERS[5] + " end")]
+
+
+@pytest.mark.parametrize("which", ["rows", "shared ids"])
+def test_near_duplicates(spark, docs, which):
+    rows = [(r[0], r[1]) for r in ROWS] if which == "rows" else SHARED
+    df = docs if which == "rows" else spark.createDataFrame(SHARED, "doc_id long, text string").withColumn("tie", near_dedup.F.lit(1))
+    sets, own = groups(rows)
+    want, stay = [], collections.Counter()
+    for i, (doc_id, text) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if own[j] == own[i] and rows[j][0] is not None]
+        name = doc_id if not sets[i] else min(ids, default=None)
+        want.append((doc_id, len(sets[i]), name, name is None or doc_id == name))
+        if not sets[i]:
+            stay[doc_id, text] += 1
+    got = [tuple(r) for r in near_dedup.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = near_dedup.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    kept = collections.Counter((r.doc_id, r.text) for r in left.collect())
+    for c in {own[i] for i in range(len(rows)) if sets[i]}:
+        members = [i for i in range(len(rows)) if own[i] == c]
+        first = min((rows[i][0] for i in members if rows[i][0] is not None), default=None)
+        mine = [k for k in kept.elements() if k in {rows[i] for i in members} and k not in stay]
+        assert len(mine) == 1 and mine[0][0] == first  # one row of each component, of its least id
+    assert all(kept[k] == n for k, n in stay.items())
+
+
+def test_copies_given_twice(spark):
+    rows = [(i, OTHERS[i]) for i in range(3)] * 2
+    assert near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
 
 
 def test_superminhash_estimates_similarity():
