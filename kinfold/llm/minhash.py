@@ -29,6 +29,8 @@ ELEMENT = 5
 BLOCK = 1024
 #: Payload bytes that a task works on at a time (one cell or pair at least).
 PART_BYTES = 1 << 19
+#: Buckets (as a power of two) in which a batch counts how often elements occur.
+RARITY_BITS = 18
 #: How far under ``least`` a likely link still joins components to a cluster.
 WEAKER = 0.2
 #: (offsets, elements) of the distinct elements of every payload of a column.
@@ -143,19 +145,21 @@ def _bucket_rows(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         held.clear()
         size = 0
         if len(b):
-            order = np.lexsort((k, b))
+            order = np.argsort(b)
             b, k = b[order], k[order]
             first = np.ones(len(b), bool)
             first[1:] = b[1:] != b[:-1]
-            lead = k[np.maximum.accumulate(np.where(first, np.arange(len(b)), 0))]
-            other = ~first & (lead != k)
+            start = np.flatnonzero(first)
+            least = np.minimum.reduceat(k, start)
+            lead = np.repeat(least, np.diff(np.append(start, len(b))))
+            other = lead != k
+            b = b[start]
             if other.any():
                 pairs = np.unique(np.stack([lead[other], k[other]], axis=1), axis=0)
                 own = mix(mix(pairs[:, 0].view(U)) + pairs[:, 1].view(U)).view(np.int64)
-                b = np.concatenate([b[first], own, own])
-                k = np.concatenate([k[first], pairs[:, 0], pairs[:, 1]])
+                b, k = np.concatenate([b, own, own]), np.concatenate([least, pairs[:, 0], pairs[:, 1]])
             else:
-                b, k = b[first], k[first]
+                k = least
         for lo in range(0, len(b), 200_000):
             yield to_batch(BUCKETS, b[lo:lo + 200_000], k[lo:lo + 200_000])
 
@@ -268,15 +272,16 @@ def _across(sets: Sets, percent: int, batches: Iterator[pa.RecordBatch]) -> Iter
         new = np.append(True, (cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
         cell = np.cumsum(new) - 1
         own = np.repeat(np.arange(len(key)), size)
-        _, inverse, count = np.unique((cell[own].astype(U) << U(40)) | elements, return_inverse=True, return_counts=True)
-        count = count[inverse]
-        # sort each set by (count up to 255, element): any one order serves a prefix filter
-        order = np.argsort((own.astype(U) << U(48)) | (np.minimum(count, 255).astype(U) << U(40)) | elements)
+        # an element's rarity in its cell, by its bucket's count: any one order serves a prefix filter
+        bucket = (A.mix(elements + cell[own].astype(U) * _GOLD) >> U(64 - RARITY_BITS)).astype(np.int64)
+        count = np.bincount(bucket, minlength=1 << RARITY_BITS)[bucket]
         rank = np.arange(len(own)) - np.repeat(off[:-1], size)
-        prefix = rank < np.repeat(size - -(-percent * size // 100) + 1, size)
-        take = order[prefix & (count[order] > 1)]
-        take = take[np.argsort(inverse[take], kind="stable")]
-        doc, group = own[take], inverse[take]
+        first = np.sort((own.astype(U) << U(48)) | (np.minimum(count, 255).astype(U) << U(40)) | elements)
+        several = (first >> U(40)) & U(255) > U(1)
+        first = first[several & (rank < np.repeat(size - -(-percent * size // 100) + 1, size))]
+        first = np.sort((first & U((1 << 40) - 1)) << U(16) | (first >> U(48)))  # rows of a cell stand together
+        doc = (first & U(0xFFFF)).astype(np.int64)
+        group = np.cumsum(np.append(0, (np.diff(first >> U(16)) != 0) | (np.diff(cell[doc]) != 0))) if len(doc) else doc
         parent: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -361,15 +366,16 @@ def link(nodes: DataFrame, payload: DataFrame, sets: Sets, percent: int, rows: i
     stars = _sorted(buckets, ["bucket"], ["bucket", "key"]).mapInArrow(_stars, "a long, b long").distinct()
     stars = stored(stars, "stars")
     ends = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    # joins that move texts or signatures are the same at every size: no table is small enough to switch
-    sig = stored(nodes.select("key", "sig").join(ends.hint("merge"), "key").dropDuplicates(["key"]), "met")
+    # joins that move texts or signatures are the same at every size: no table is small enough to
+    # switch; the wanted keys are the side that is hashed, so the other isn't sorted
+    sig = stored(nodes.select("key", "sig").join(ends.hint("shuffle_hash"), "key").dropDuplicates(["key"]), "met")
     x = sig.select(F.col("key").alias("a"), F.col("sig").alias("x"))
     y = sig.select(F.col("key").alias("b"), F.col("sig").alias("y"))
     likely = stored(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
         partial(_likely, least), "a long, b long, strong boolean"), "likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # one row per node: repeats of a frequent one would come along with each of its pairs
-    met = stored(payload.join(ends.hint("merge"), "key").dropDuplicates(["key"]), "payload")
+    met = stored(payload.join(ends.hint("shuffle_hash"), "key").dropDuplicates(["key"]), "payload")
     comp = stored(components(_similar(likely.where("strong").select("a", "b"), met, sets, percent)), "comp")
     # second search: clusters of components that likely links join
     clusters = components(_relabel(likely.select("a", "b"), comp)).select(
