@@ -14,8 +14,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of lines; n_chars follows the text."""
-    return with_n_chars(line_dedup.drop_duplicate_lines(docs))
+    """Documents without later copies of lines; n_chars follows the text.
+
+    What is left of a document must pass the base rules again, so no fragment goes on.
+    """
+    return rules.keep_passing(with_n_chars(line_dedup.drop_duplicate_lines(docs)), rules.BASE)
 
 
 def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
