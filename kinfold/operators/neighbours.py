@@ -1,26 +1,50 @@
-"""Exact k-nearest-neighbour join by pivots.
-
-No cross join: rows are assigned to the nearest of a fixed number of pivots, a
-distance bound per query cell follows from the triangle inequality, and a
-reference row only travels to the cells whose bound it can meet.  A crowded
-cell is cut into blocks of bounded size on both sides, so no task holds a whole
-cell.  Copies of one vector beyond the k smallest ids can never be chosen and
-are dropped before the join.
+"""k-nearest-neighbour join: an exact way and an index, both over the same cells.
+
+Reference rows lie in the cell of their nearest pivot; there are about as many pivots as the square
+root of the rows.  Cells near each other form *regions* of about ``BLOCK_ROWS`` rows, the units that queries
+travel to.
+
+*Exact* (the default): a query first meets its own cell, which gives it a radius of its own.  It then
+visits only cells whose ring of distances to their pivot that radius meets (and that are not wholly on
+the far side of the half-way plane), and is compared only with the rows inside the ring.
+*Index* (``probes``): a query visits its ``probes`` nearest cells, whatever its radius; ``recall`` measures what
+that misses.  Vectors of many dimensions need it, since there a radius meets every ring.
+
+No cross join, and no task holds a whole crowded region: both sides are cut into blocks.  Copies of one vector
+beyond the k smallest ids can never be chosen and are dropped before the join.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-PIVOTS, BLOCK_ROWS, CHUNK = 16, 2048, 64
+from kinfold.plans.session import cut_lineage
+
+BLOCK_ROWS = 1024
+#: Bytes of the pivots on the driver and in each task; with more rows the cells get larger instead.
+PIVOT_BYTES = 1 << 25
+#: Distances (times dimensions) that are worked out at once.
+AT_ONCE = 1 << 22
+#: Queries from which the number of probes is set.
+SAMPLE_QUERIES = 256
+#: Pivots from whose nearest rows a query's first radius comes.
+NEAREST_PIVOTS = 4
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """All distances by direct differences (equal vectors give exactly equal values)."""
-    d = a[:, None, :] - b[None, :, :]
-    return np.abs(d).sum(axis=2) if metric == "l1" else np.sqrt((d * d).sum(axis=2))
+    out = np.empty((len(a), len(b)))
+    step = max(1, AT_ONCE // max(1, b.size))
+    for i in range(0, len(a), step):
+        d = a[i:i + step, None, :] - b[None, :, :]
+        out[i:i + step] = np.abs(d).sum(axis=2) if metric == "l1" else np.sqrt((d * d).sum(axis=2))
+    return out
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_list()).astype(float)
 
 
 def _smallest(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
@@ -32,111 +56,246 @@ def _smallest(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFra
     return cut.withColumn("__r", F.row_number().over(final)).where(F.col("__r") <= k).drop("__salt")
 
 
+class Cells:
+    """Pivots, and what is known of the reference rows in their cells."""
+
+    def __init__(self, pivots: np.ndarray, metric: str, regions: int):
+        self.pivots, self.metric = pivots, metric
+        self.between = _distances(pivots, pivots, metric)
+        self.region = self.between[:, :max(1, regions)].argmin(axis=1)  # a region is named by one of the first pivots
+        self.low, self.high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+        self.near = np.full((len(pivots), 1), np.inf)
+
+    def know(self, facts: list, nearest: list, want: int) -> None:
+        for r in facts:
+            self.low[r["cell"]], self.high[r["cell"]] = r["low"], r["high"]
+        self.near = np.full((len(self.pivots), want), np.inf)
+        filled: dict[int, int] = {}
+        for r in nearest:
+            at = filled[r["cell"]] = filled.get(r["cell"], -1) + 1
+            self.near[r["cell"], at] = r["pd"]
+
+    def to(self, v: np.ndarray) -> np.ndarray:
+        return _distances(v, self.pivots, self.metric)
+
+    def first_radius(self, d: np.ndarray, want: int) -> np.ndarray:
+        """An upper bound of the distance of each row's ``want``-th neighbour, from its nearest pivots."""
+        few = min(NEAREST_PIVOTS, d.shape[1])
+        at = np.argpartition(d, few - 1, axis=1)[:, :few]
+        reach = (np.take_along_axis(d, at, 1)[:, :, None] + self.near[at]).reshape(len(d), -1)
+        return np.partition(reach, want - 1, axis=1)[:, want - 1]
+
+    def meets(self, d: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Whether a row nearer than ``radius`` can lie in each cell."""
+        slack = 1e-9 * (1 + d)
+        r = radius[:, None] + slack
+        ring = (d - r <= self.high) & (d + r >= self.low)
+        return ring & (d - d.min(axis=1)[:, None] <= 2 * r)
+
+
+def _compared(a: pd.DataFrame, b: pd.DataFrame, query_id: str, metric: str, want: int, counter) -> pd.DataFrame:
+    """The ``want`` nearest of ``b`` for each row of ``a``, among the cells and rings it asks for."""
+    if a.empty or b.empty:
+        return pd.DataFrame({query_id: [], "ref_id": [], "ref_label": [], "dist": []})
+    b = b.sort_values(["cell", "pd"], kind="stable")
+    ref_v, ring, cell = _vectors(b["v"]), b["pd"].to_numpy(), b["cell"].to_numpy()
+    ids, labels = b["ref_id"].to_numpy(), b["ref_label"].to_numpy()
+    order_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    query_v, radius = _vectors(a["v"]), a["radius"].to_numpy(dtype=float)
+    n_asked = a["cells"].map(len).to_numpy()
+    row = np.repeat(np.arange(len(a)), n_asked)
+    asked, dq = np.concatenate(a["cells"].to_list()), np.concatenate(a["dqs"].to_list())
+    q_rows, r_rows, dists, compared = [], [], [], 0
+    for c in np.unique(asked):
+        lo, hi = np.searchsorted(cell, (c, c + 1))
+        if lo == hi:
+            continue
+        at = np.flatnonzero(asked == c)
+        at = at[np.argsort(dq[at], kind="stable")]
+        reach = radius[row[at]] * (1 + 1e-9) + 1e-9 * (1 + dq[at])
+        first, last = (lo + np.searchsorted(ring[lo:hi], x, side) for x, side in
+                       ((dq[at] - reach, "left"), (dq[at] + reach, "right")))
+        step = max(1, AT_ONCE // max(1, (hi - lo) * query_v.shape[1]))
+        for i in range(0, len(at), min(step, 64)):
+            part = slice(i, i + min(step, 64))
+            x, y = int(first[part].min()), int(last[part].max())
+            if x >= y:
+                continue
+            q = row[at[part]]
+            d = _distances(query_v[q], ref_v[x:y], metric)
+            compared += d.size
+            good = d <= reach[part, None]
+            if y - x > want:
+                good &= d <= np.partition(d, want - 1, axis=1)[:, want - 1:want]
+            i_, j_ = np.nonzero(good)
+            q_rows.append(q[i_])
+            r_rows.append(j_ + x)
+            dists.append(d[i_, j_])
+    if counter is not None:
+        counter.add(compared)
+    if not q_rows:
+        return pd.DataFrame({query_id: [], "ref_id": [], "ref_label": [], "dist": []})
+    q, r, d = np.concatenate(q_rows), np.concatenate(r_rows), np.concatenate(dists)
+    order = np.lexsort((order_id[r], d, q))
+    q, r, d = q[order], r[order], d[order]
+    new = np.append(True, q[1:] != q[:-1])
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+    q, r, d = q[place < want], r[place < want], d[place < want]
+    return pd.DataFrame({query_id: a[query_id].to_numpy()[q], "ref_id": ids[r], "ref_label": labels[r], "dist": d})
+
+
+def _meet(visits: DataFrame, query: DataFrame, placed: DataFrame, cells: Cells, query_id: str, want: int, counter) -> DataFrame:
+    """(query_id, ref_id, ref_label, dist) for ``visits`` (query_id, region, cells, dqs, radius)."""
+    loads = lambda df: {r["region"]: -(-r["n"] // BLOCK_ROWS) for r in  # noqa: E731  one number per region
+                        df.groupBy("region").agg(F.count("*").alias("n")).collect()}
+    q_blocks, s_blocks = loads(visits), loads(placed)
+    spark = visits.sparkSession
+    blocks = spark.createDataFrame(
+        [(int(g), q_blocks[g], s_blocks[g]) for g in q_blocks if g in s_blocks], "region int, qn int, sn int")
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["region", "qb", "sb"]
+    left = visits.join(F.broadcast(blocks), "region").select(
+        query_id, "region", "cells", "dqs", "radius", deal(query_id, "qn").alias("qb"), every("sn").alias("sb"))
+    left = left.join(query.select(query_id, "v"), query_id)
+    right = placed.join(F.broadcast(blocks), "region").withColumn("sb", deal("ref_id", "sn")).withColumn("qb", every("qn")).drop("qn", "sn")
+    schema = T.StructType([query.schema[query_id], placed.schema["ref_id"], placed.schema["ref_label"],
+                           T.StructField("dist", T.DoubleType())])
+    metric = cells.metric
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        lambda a, b: _compared(a, b, query_id, metric, want, counter), schema)
+
+
+def _cells(ref: DataFrame, n: int, width: int, metric: str) -> Cells:
+    count = max(1, min(int(np.ceil(np.sqrt(n))), PIVOT_BYTES // (8 * max(1, width))))
+    rows = ref.select("v").orderBy(F.xxhash64("v")).limit(count).collect()
+    return Cells(np.array([r["v"] for r in rows], dtype=float), metric, -(-n // BLOCK_ROWS))
+
+
+def _distinct_refs(ref: DataFrame, vec: str, want: int) -> DataFrame:
+    ref = ref.select("ref_id", F.col(vec).alias("v"), "ref_label").where("v is not null")
+    return _smallest(ref, ["v"], ["ref_id"], want).drop("__r")
+
+
+def probes_for(
+    query: DataFrame, ref: DataFrame, query_id: str, vec: str, k: int, metric: str = "l2",
+    exclude_self: bool = False, target: float = 0.9, sample: int = SAMPLE_QUERIES,
+) -> int:
+    """Probes with which the index finds ``target`` of the neighbours of ``sample`` queries.
+
+    The sample (the least ids by hash) only sets this number; every reference row is indexed.
+    """
+    some = query.orderBy(F.xxhash64(query_id), query_id).limit(sample)
+    kept = _distinct_refs(ref, vec, k + exclude_self)
+    n, width = kept.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
+        return 1
+    cells = _cells(kept, n, width, metric)
+    near = knn_join(some, ref, query_id, vec, k, metric, exclude_self).select(query_id, "ref_id")
+    pairs = near.join(some.select(query_id, F.col(vec).alias("q")), query_id).join(
+        ref.select("ref_id", F.col(vec).alias("v")), "ref_id").select("q", "v")
+
+    def places(frames):
+        for pdf in frames:
+            if len(pdf):
+                home, d = cells.to(_vectors(pdf["v"])).argmin(axis=1), cells.to(_vectors(pdf["q"]))
+                yield pd.DataFrame({"place": (d < d[np.arange(len(d)), home][:, None]).sum(axis=1) + 1})
+
+    # at most ``sample`` times k numbers
+    at = [r["place"] for r in pairs.mapInPandas(places, "place long").collect()]
+    return int(np.sort(at)[min(len(at) - 1, int(np.ceil(target * len(at))))]) if at else 1
+
+
 def knn_join(
     query: DataFrame, ref: DataFrame, query_id: str, vec: str, k: int, metric: str = "l2",
-    exclude_self: bool = False,
+    exclude_self: bool = False, probes: int | None = None, counter=None,
 ) -> DataFrame:
     """(query_id, ref_id, ref_label, dist, rank): the k nearest rows of ``ref(ref_id, vec, ref_label)``.
 
-    Equal distances are ordered by ``ref_id``.  With ``exclude_self`` a row is not
-    its own neighbour.
+    ``query_id`` names each query once.  Equal distances are ordered by ``ref_id``; null vectors have
+    no neighbours and are none.  With ``exclude_self`` a row is not its own neighbour.  Without
+    ``probes`` the answer is exact; with it only the ``probes`` nearest cells are searched.
+    ``counter`` (an accumulator) gets the number of pairs that were compared.
     """
     want = k + 1 if exclude_self else k
-    ref = ref.select("ref_id", F.col(vec).alias("v"), "ref_label")
-    ref = _smallest(ref, ["v"], ["ref_id"], want).drop("__r")
-    query = query.select(query_id, F.col(vec).alias("v"))
-    # fixed number of pivots, whatever the size of the data
-    rows = ref.select("v").orderBy(F.xxhash64("v")).limit(PIVOTS).collect()
-    pivots = np.array([r["v"] for r in rows], dtype=float)
+    ref = _distinct_refs(ref, vec, want)
+    query = query.select(query_id, F.col(vec).alias("v")).where("v is not null")
+    n, width = ref.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
+        return query.join(ref, F.lit(False)).select(
+            query_id, "ref_id", "ref_label", F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+    cells = _cells(ref, n, width, metric)
 
     def place(frames):
         for pdf in frames:
-            d = _chunked(np.stack(pdf["v"].to_list()).astype(float), pivots, metric)
+            d = cells.to(_vectors(pdf["v"])) if len(pdf) else np.zeros((0, len(cells.pivots)))
             cell = d.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), pd=d[np.arange(len(cell)), cell])
-
-    def placed(df: DataFrame) -> DataFrame:
-        from pyspark.sql import types as T
-
-        schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()),
-                               T.StructField("pd", T.DoubleType())])
-        return df.mapInPandas(place, schema)
-
-    q, s = placed(query), placed(ref)
-    # per-cell facts: at most PIVOTS * k numbers reach the driver
-    q_far = {r["cell"]: (r["far"], r["n"]) for r in
-             q.groupBy("cell").agg(F.max("pd").alias("far"), F.count("*").alias("n")).collect()}
-    near = [(r["cell"], r["pd"]) for r in
-            _smallest(s.select("cell", "pd", "ref_id"), ["cell"], ["pd", "ref_id"], want)
-            .select("cell", "pd").collect()]
-    between = _distances(pivots, pivots, metric)
-    limit = {}
-    for cell, (far, _) in q_far.items():
-        reach = np.sort([far + between[cell, j] + d for j, d in near])
-        bound = reach[want - 1] if len(reach) >= want else np.inf
-        limit[cell] = far + bound + 1e-9 * (1 + abs(far))
-    cells = sorted(limit)
-
-    def travel(frames):
+            yield pdf.assign(cell=cell.astype("int32"), region=cells.region[cell].astype("int32"), pd=d[np.arange(len(cell)), cell])
+
+    extra = [T.StructField("cell", T.IntegerType()), T.StructField("region", T.IntegerType()), T.StructField("pd", T.DoubleType())]
+    placed = cut_lineage(ref.mapInPandas(place, T.StructType([*ref.schema.fields, *extra])))
+    # per cell: two bounds and at most ``want`` distances
+    cells.know(placed.groupBy("cell").agg(F.min("pd").alias("low"), F.max("pd").alias("high")).collect(),
+               _smallest(placed.select("cell", "pd", "ref_id"), ["cell"], ["pd", "ref_id"], want).select("cell", "pd").collect(), want)
+
+    def grouped(pdf: pd.DataFrame, q: np.ndarray, c: np.ndarray, d: np.ndarray, radius: np.ndarray) -> pd.DataFrame:
+        """One visit for each query and region of the asked (query, cell) pairs."""
+        g = cells.region[c]
+        order = np.lexsort((c, g, q))
+        q, c, g = q[order], c[order], g[order]
+        start = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (g[1:] != g[:-1]))) if len(q) else np.zeros(0, int)
+        cut = lambda x: np.split(x, start[1:]) if len(start) else []
+        return pd.DataFrame({
+            query_id: pdf[query_id].to_numpy()[q[start]], "region": g[start].astype("int32"), "cells": cut(c.astype("int32")),
+            "dqs": cut(d[q, c]), "radius": radius[q[start]]})
+
+    visit = T.StructType([
+        query.schema[query_id], T.StructField("region", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType())),
+        T.StructField("dqs", T.ArrayType(T.DoubleType())), T.StructField("radius", T.DoubleType())])
+
+    def own_cell(frames):
         for pdf in frames:
-            d = _chunked(np.stack(pdf["v"].to_list()).astype(float), pivots, metric)
-            for c in cells:
-                hit = pdf[d[:, c] <= limit[c]]
-                if len(hit):
-                    yield hit.assign(cell=np.int32(c))
-
-    from pyspark.sql import types as T
-
-    moved_schema = T.StructType([*ref.schema.fields, T.StructField("cell", T.IntegerType())])
-    moved = ref.mapInPandas(travel, moved_schema)
-    loads = {r["cell"]: r["n"] for r in moved.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = lambda n: max(1, -(-int(n) // BLOCK_ROWS))
-    q_blocks = {c: blocks(q_far[c][1]) for c in cells}
-    s_blocks = {c: blocks(loads.get(c, 0)) for c in cells}
-    of = lambda m: F.element_at(
-        F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(m[c]))]), F.col("cell"))
-    spread = lambda n: F.sequence(F.lit(0), of(n) - 1)
-    left = (
-        q.withColumn("qb", F.pmod(F.xxhash64(query_id), of(q_blocks)).cast("int"))
-        .withColumn("sb", F.explode(spread(s_blocks))).select(query_id, "v", "cell", "qb", "sb")
-    )
-    right = (
-        moved.withColumn("sb", F.pmod(F.xxhash64("ref_id"), of(s_blocks)).cast("int"))
-        .withColumn("qb", F.explode(spread(q_blocks))).select("ref_id", "v", "ref_label", "cell", "qb", "sb")
-    )
+            if len(pdf):
+                d = cells.to(_vectors(pdf["v"]))
+                if probes is None:
+                    q, c, r = np.arange(len(d)), d.argmin(axis=1), cells.first_radius(d, want)
+                else:
+                    few = min(probes, d.shape[1])
+                    c = np.argpartition(d, few - 1, axis=1)[:, :few].ravel()
+                    q, r = np.repeat(np.arange(len(d)), few), np.full(len(d), np.inf)
+                yield grouped(pdf, q, c, d, r)
+
+    def other_cells(frames):
+        for pdf in frames:
+            if len(pdf):
+                d, r = cells.to(_vectors(pdf["v"])), pdf["radius"].to_numpy(dtype=float)
+                open_ = cells.meets(d, r)
+                open_[np.arange(len(d)), d.argmin(axis=1)] = False
+                yield grouped(pdf, *np.nonzero(open_), d, r)
 
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({query_id: [], "ref_id": [], "ref_label": [], "dist": []})
-        b = b.sort_values("ref_id")
-        ids, labels = b["ref_id"].to_numpy(), b["ref_label"].to_numpy()
-        ref_v, parts = np.stack(b["v"].to_list()).astype(float), []
-        qid, query_v = a[query_id].to_numpy(), np.stack(a["v"].to_list()).astype(float)
-        for i in range(0, len(qid), CHUNK):
-            d = _distances(query_v[i:i + CHUNK], ref_v, metric)
-            pick = np.argsort(d, axis=1, kind="stable")[:, :want]
-            parts.append(pd.DataFrame({
-                query_id: np.repeat(qid[i:i + CHUNK], pick.shape[1]), "ref_id": ids[pick].ravel(),
-                "ref_label": labels[pick].ravel(), "dist": np.take_along_axis(d, pick, 1).ravel(),
-            }))
-        return pd.concat(parts)
-
-    schema = T.StructType([
-        query.schema[query_id], ref.schema["ref_id"], ref.schema["ref_label"],
-        T.StructField("dist", T.DoubleType()),
-    ])
-    keys = ["cell", "qb", "sb"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
+    visits = cut_lineage(query.mapInPandas(own_cell, visit))
+    near = _meet(visits, query, placed, cells, query_id, want, counter)
+    if probes is None:
+        near = cut_lineage(_smallest(near, [query_id], ["dist", "ref_id"], want))
+        radius = near.where(F.col("__r") == want).select(query_id, F.col("dist").alias("own"))
+        first = visits.select(query_id, "radius").join(radius, query_id, "left").select(
+            query_id, F.least("radius", F.coalesce("own", "radius")).alias("radius"))
+        asked = query.join(first, query_id)
+        visits = cut_lineage(asked.mapInPandas(other_cells, visit))
+        near = near.drop("__r").unionByName(_meet(visits, query, placed, cells, query_id, want, counter))
     if exclude_self:
-        local = local.where(F.col(query_id) != F.col("ref_id"))
-    best = _smallest(local, [query_id], ["dist", "ref_id"], k)
-    return best.withColumnRenamed("__r", "rank")
+        near = near.where(F.col(query_id) != F.col("ref_id"))
+    return _smallest(near, [query_id], ["dist", "ref_id"], k).withColumnRenamed("__r", "rank")
 
 
-def _chunked(v: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
-    return np.concatenate([
-        _distances(v[i:i + 4096], pivots, metric) for i in range(0, len(v), 4096)
-    ]) if len(v) else np.zeros((0, len(pivots)))
+def recall(found: DataFrame, exact: DataFrame, query_id: str) -> DataFrame:
+    """One row: share of the exact neighbours that are found at no greater distance (ties count)."""
+    worst = exact.groupBy(query_id).agg(F.max("dist").alias("__far"), F.count("*").alias("__k"))
+    hits = found.join(worst, query_id).groupBy(query_id, "__k").agg(
+        F.sum((F.col("dist") <= F.col("__far") * (1 + 1e-9)).cast("long")).alias("__hit"))
+    every = worst.select(query_id, "__k").join(hits.select(query_id, "__hit"), query_id, "left")
+    return every.agg(
+        (F.sum(F.least(F.coalesce("__hit", F.lit(0)), F.col("__k"))) / F.sum("__k")).alias("recall"), F.count("*").alias("queries"))
 
 
 def knn_vote(near: DataFrame, query_id: str, weights: str = "uniform") -> DataFrame:

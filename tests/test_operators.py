@@ -184,6 +184,35 @@ def test_knn_is_exact(spark):
         assert got[got["qid"] == i].sort_values("rank")["ref_id"].tolist() == want
 
 
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+def test_knn_prunes_clustered_rows(spark, metric):
+    """Exact over several regions and blocks, with far fewer comparisons than pairs."""
+    rng = np.random.default_rng(8)
+    base = np.concatenate([c + 0.01 * rng.normal(size=(75, 3)) for c in rng.normal(size=(40, 3)) * 10])
+    rows = [(i, [float(x) for x in v], int(i % 3)) for i, v in enumerate(base)]
+    rows += [(-1, None, 0)]
+    df = spark.createDataFrame(rows, "ref_id long, v array<double>, ref_label int")
+    q = df.select(F.col("ref_id").alias("qid"), "v")
+    old, neighbours.BLOCK_ROWS = neighbours.BLOCK_ROWS, 100
+    pairs, probed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    try:
+        got = neighbours.knn_join(q, df, "qid", "v", 3, metric, exclude_self=True, counter=pairs).toPandas()
+        probes = neighbours.probes_for(q, df, "qid", "v", 3, metric, exclude_self=True, target=0.95, sample=64)
+        near = neighbours.knn_join(q, df, "qid", "v", 3, metric, exclude_self=True, probes=probes, counter=probed)
+        found = neighbours.recall(near, spark.createDataFrame(got), "qid").first()
+    finally:
+        neighbours.BLOCK_ROWS = old
+    n = len(base)
+    assert len(got) == 3 * n and set(got["qid"]) == set(range(n))
+    for i in range(0, n, 7):
+        diff = np.abs(base[i] - base)
+        d = diff.sum(axis=1) if metric == "l1" else np.sqrt((diff ** 2).sum(axis=1))
+        want = sorted((j for j in range(n) if j != i), key=lambda j: (d[j], j))[:3]
+        assert got[got["qid"] == i].sort_values("rank")["ref_id"].tolist() == want
+    assert pairs.value < n * n / 20 and probed.value < n * n / 10
+    assert found["recall"] >= 0.9 and found["queries"] == n
+
+
 def test_leave_out_quantiles(skewed):
     pdf, df = skewed
     got = audit.leave_out_quantiles(df, "g", ["v", "p"]).toPandas()
