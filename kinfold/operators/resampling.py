@@ -8,11 +8,15 @@ statistic needs their order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from kinfold.operators.metrics import ranking_metrics
-from kinfold.plans.ordered import hash_bucket, hash_key, hashed_positions, lookup, prefix_sums
+from kinfold.plans.ordered import hash_bucket, hash_key, hashed_positions, lookup, prefix_sums, with_value_bucket
+from kinfold.plans.session import cut_lineage
 
 
 def bootstrap_augment(
@@ -122,44 +126,179 @@ def fold_intervals(
     )
 
 
+#: Bytes of the weight matrix that a task works on at a time.
+MATRIX_BYTES = 1 << 24
+_PICKS = "__group string, __m binary"
+_SUMS = "__k long, __a binary, __b binary"
+
+
+def _dense(replicates: int, batches):
+    """(group, 16-bit counts of every replicate) from (group, replicate numbers, counts)."""
+    for batch in batches:
+        out = []
+        for reps, times in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
+            row = np.zeros(replicates, np.int16)
+            row[reps] = times
+            out.append(row.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["__group", "__m"])
+
+
+def _chunks(batch: pa.RecordBatch, column: int, replicates: int):
+    """(first row, counts of rows x replicates) in parts of bounded size."""
+    step = max(1, MATRIX_BYTES // (8 * replicates))
+    for lo in range(0, batch.num_rows, step):
+        part = batch.column(column).slice(lo, step).to_pylist()
+        yield lo, np.frombuffer(b"".join(part), np.int16).reshape(len(part), replicates).astype(np.int64)
+
+
+def _sums(held: dict) -> pa.RecordBatch:
+    keys = list(held)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int64()), *[pa.array([held[k][i].tobytes() for k in keys], pa.binary()) for i in (0, 1)]],
+        names=["__k", "__a", "__b"])
+
+
+def _weighted(replicates: int, batches):
+    """(bucket, positives, negatives of every replicate) of the task's rows (k, p, n, m)."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        k, p, n = (batch.column(i).to_numpy() for i in range(3))
+        for lo, w in _chunks(batch, 3, replicates):
+            own = k[lo:lo + len(w)]
+            for key in np.unique(own).tolist():
+                at = np.flatnonzero(own == key)
+                v = np.stack([p[lo + at] @ w[at], n[lo + at] @ w[at]])
+                held[key] = held[key] + v if key in held else v
+        if len(held) * replicates * 16 > MATRIX_BYTES:
+            yield _sums(held)
+            held.clear()
+    if held:
+        yield _sums(held)
+
+
+def _added(batches):
+    """Sums of equal keys (rows sorted by key)."""
+    key, total = None, None
+    for batch in batches:
+        for k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            v = np.stack([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)])
+            if k != key and key is not None:
+                yield _sums({key: total})
+                total = None
+            key, total = k, v if total is None else total + v
+    if key is not None:
+        yield _sums({key: total})
+
+
+def _areas(replicates: int, batches):
+    """(bucket, ROC area, precision sum of every replicate); rows (k, kind, score, p, n, m, a, b) sorted by
+    k, kind and falling score, where kind 0 holds what lies above the bucket."""
+    key, last, open_ = None, None, None
+    above = areas = None
+
+    def take(wp: np.ndarray, wn: np.ndarray) -> None:
+        """Add distinct scores, one a row."""
+        tp, fp = above[0] + np.cumsum(wp, axis=0), above[1] + np.cumsum(wn, axis=0)
+        areas[0] += (wn * (tp - wp / 2)).sum(axis=0)
+        areas[1] += (wp * tp / np.maximum(tp + fp, 1)).sum(axis=0)
+        above[0], above[1] = tp[-1], fp[-1]
+
+    def close():
+        if open_ is not None:
+            take(*(x[None] for x in open_))
+        if key is not None:
+            yield _sums({key: areas})
+
+    for batch in batches:
+        k, kind, score, p, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        cuts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (kind[1:] != kind[:-1])))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(k)]):
+            if k[lo] != key:
+                yield from close()
+                key, last, open_ = int(k[lo]), None, None
+                above, areas = np.zeros((2, replicates), np.int64), np.zeros((2, replicates))
+            if kind[lo] == 0:
+                above = np.stack([np.frombuffer(batch.column(i)[lo].as_py(), np.int64) for i in (6, 7)])
+                continue
+            for at, w in _chunks(batch.slice(lo, hi - lo), 5, replicates):
+                rows = slice(lo + at, lo + at + len(w))
+                x = score[rows]
+                first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                wp, wn = (np.add.reduceat(w * c[rows, None].astype(np.int64), first, axis=0) for c in (p, n))
+                if open_ is not None and x[0] == last:
+                    wp[0] += open_[0]
+                    wn[0] += open_[1]
+                elif open_ is not None:
+                    take(*(v[None] for v in open_))
+                if len(first) > 1:
+                    take(wp[:-1], wn[:-1])
+                last, open_ = x[-1], (wp[-1], wn[-1])
+    yield from close()
+
+
 def pooled_ranking_intervals(
     df: DataFrame, group: str, label: str, score: str, by: Sequence[str] = (),
     replicates: int = 2000, seed: int = 42,
 ) -> DataFrame:
     """Cluster-bootstrap interval of pooled ROC-AUC and average precision.
 
-    Rows collapse to (group, score) counts first; a replicate then is a weighted
-    score table.  One-class replicates are skipped and counted.
+    Rows collapse to (group, score) counts, and each carries its group's multiplicities as one array.
+    Cells are sorted once, in buckets of score; running sums are vectors over the replicates, and start
+    from what the higher buckets hold.  So no row is repeated for a replicate.  One-class replicates
+    are skipped and counted.
     """
     by = list(by)
-    cells = df.groupBy(*by, group, score).agg(
+    cells = df.where(F.col(group).isNotNull() & F.col(score).isNotNull()).groupBy(*by, group, score).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("__p"),
         F.sum((F.col(label) == 0).cast("long")).alias("__n"),
     )
-    m = group_multiplicities(df, group, replicates, seed)
-    picks = m.groupBy(group).agg(
-        F.collect_list(F.struct("replicate", "times")).alias("__m")  # at most one per replicate
-    )
-    w = lookup(cells, picks, [group], "inner").select(*by, score, "__p", "__n", F.inline("__m"))
-    per = w.groupBy(*by, "replicate", score).agg(
-        F.sum(F.col("__p") * F.col("times")).alias("__wp"),
-        F.sum(F.col("__n") * F.col("times")).alias("__wn"),
-    )
-    rows = per.select(*by, "replicate", score, F.inline(F.array(
-        F.struct(F.lit(1).alias("__y"), F.col("__wp").alias("__w")),
-        F.struct(F.lit(0).alias("__y"), F.col("__wn").alias("__w")),
-    )))
-    draws = ranking_metrics(rows, "__y", score, [*by, "replicate"], "__w").select(
-        *by, F.inline(F.array(
-            F.struct(F.lit("pooled_roc_auc").alias("metric"), F.col("roc_auc").alias("v")),
-            F.struct(F.lit("pooled_pr_auc").alias("metric"), F.col("pr_auc").alias("v")),
-        )),
-    )
+    keyed = with_value_bucket(cells, score)
+    keyed = cut_lineage(keyed.withColumn("__k", F.xxhash64(*by, "__bucket")).withColumn("__group", F.col(group).cast("string")))
+    m = group_multiplicities(df, group, replicates, seed).groupBy(F.col(group).cast("string").alias("__group")).agg(
+        F.collect_list(F.struct("replicate", "times")).alias("__l"))  # at most one per replicate
+    picks = cut_lineage(m.select("__group", "__l.replicate", "__l.times").mapInArrow(partial(_dense, replicates), _PICKS))
+    # totals of each bucket, then what lies above it
+    parts = keyed.groupBy("__k", "__group").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
+    sums = lookup(parts, picks, ["__group"], "inner").select("__k", "__p", "__n", "__m").mapInArrow(partial(_weighted, replicates), _SUMS)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = sums.repartition(tasks, "__k").sortWithinPartitions("__k").mapInArrow(_added, _SUMS)
+    names = keyed.select(*by, "__bucket", "__k").distinct()
+    sums = cut_lineage(sums.join(names, "__k"))
+
+    def stacked(pdf: pd.DataFrame, column: str, kind=np.int64) -> np.ndarray:
+        return np.stack([np.frombuffer(x, kind) for x in pdf[column]])
+
+    def offsets(pdf: pd.DataFrame) -> pd.DataFrame:  # a row per bucket
+        pdf = pdf.sort_values("__bucket", ascending=False)
+        return pd.DataFrame({"__k": pdf["__k"], **{c: [x.tobytes() for x in np.cumsum(v, axis=0) - v]
+                                                   for c in ("__a", "__b") for v in [stacked(pdf, c)]}})
+
+    key = by or [F.lit(0).alias("__all")]
+    above = sums.groupBy(*key).applyInPandas(offsets, _SUMS)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = lookup(keyed.select("__k", "__group", F.col(score).cast("double").alias("__s"), "__p", "__n"), picks, ["__group"], "inner").select(
+        "__k", F.lit(1).alias("__kind"), "__s", "__p", "__n", "__m", none("binary", "__a"), none("binary", "__b"))
+    rows = rows.unionByName(above.select(
+        "__k", F.lit(0).alias("__kind"), none("double", "__s"), F.lit(0).cast("long").alias("__p"), F.lit(0).cast("long").alias("__n"),
+        none("binary", "__m"), "__a", "__b"))
+    areas = rows.repartition(tasks, "__k").sortWithinPartitions("__k", "__kind", F.desc("__s")).mapInArrow(
+        partial(_areas, replicates), _SUMS).withColumnsRenamed({"__a": "__roc", "__b": "__pr"})
+
+    def intervals(pdf: pd.DataFrame) -> pd.DataFrame:  # a row per bucket
+        p, n = stacked(pdf, "__a").sum(axis=0), stacked(pdf, "__b").sum(axis=0)
+        good = (p > 0) & (n > 0)
+        p, n = p[good], n[good]
+        out = []
+        for metric, column, scale in (("pooled_roc_auc", "__roc", p * n), ("pooled_pr_auc", "__pr", p)):
+            v = stacked(pdf, column, np.float64).sum(axis=0)[good] / scale
+            out.append((metric, v.mean(), *np.quantile(v, [0.025, 0.975]), len(v)) if len(v) else (metric, None, None, None, 0))
+        found = pd.DataFrame(out, columns=["metric", "mean", "ci_low", "ci_high", "valid_iterations"])
+        return found.assign(**{c: [pdf[c].iloc[0]] * 2 for c in by})
+
+    schema = T.StructType([
+        T.StructField("metric", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("mean", "ci_low", "ci_high")],
+        T.StructField("valid_iterations", T.LongType()), *[keyed.schema[c] for c in by]])
+    found = sums.join(areas, "__k").groupBy(*key).applyInPandas(intervals, schema)
     groups = df.agg(F.count_distinct(group).alias("g")).scalar()
-    return draws.groupBy(*by, "metric").agg(
-        F.avg("v").alias("mean"), F.percentile("v", [0.025, 0.975]).alias("q"),
-        F.count("v").alias("valid_iterations"),
-    ).select(
-        *by, "metric", "mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"),
-        groups.alias("n"), F.lit(replicates).alias("bootstrap_iterations"), "valid_iterations",
-    )
+    return found.select(
+        *by, "metric", "mean", "ci_low", "ci_high", groups.alias("n"), F.lit(replicates).alias("bootstrap_iterations"), "valid_iterations")

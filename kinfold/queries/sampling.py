@@ -90,7 +90,7 @@ def r7(spark, sf):
 
 @query("r8_pooled_ranking_intervals", f"""WITH c AS ({LINES}), g AS (SELECT DISTINCT l_suppkey FROM c), p AS (SELECT l_suppkey,
  row_number() OVER (ORDER BY {sql_hash(42, 'l_suppkey')}, l_suppkey) - 1 AS pos, count(*) OVER () AS n FROM g),
- d AS (SELECT rep, {sql_hash(43, 'rep', 'pos')} % n AS pos FROM p, range(20) t(rep)), m AS (SELECT rep, l_suppkey, count(*) AS times
+ d AS (SELECT rep, {sql_hash(43, 'rep', 'pos')} % n AS pos FROM p, range(1000) t(rep)), m AS (SELECT rep, l_suppkey, count(*) AS times
  FROM d JOIN p USING (pos) GROUP BY ALL), s AS (SELECT rep, p AS score, CAST(sum(y * times) AS BIGINT) AS pos, CAST(sum((1 - y) * times) AS BIGINT) AS neg
  FROM c JOIN m USING (l_suppkey) GROUP BY ALL), k AS (SELECT *, sum(neg) OVER (PARTITION BY rep ORDER BY score ROWS UNBOUNDED PRECEDING) - neg AS nb,
  sum(pos) OVER (PARTITION BY rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(neg) OVER (PARTITION BY rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp,
@@ -98,10 +98,10 @@ def r7(spark, sf):
  a AS (SELECT rep, sum(pos * (nb + neg / 2.0)) / (max(pp) * max(nn)) AS auc, sum(pos / pp * tp / (tp + fp)) AS ap FROM k GROUP BY 1),
  l AS (SELECT 'pooled_roc_auc' AS metric, auc AS v FROM a UNION ALL SELECT 'pooled_pr_auc', ap FROM a)
  SELECT metric, {r('avg(v)')} AS mean, {r('quantile_cont(v, 0.025)')} AS ci_low, {r('quantile_cont(v, 0.975)')} AS ci_high,
- (SELECT count(*) FROM g) AS n, 20 AS bootstrap_iterations, count(v) AS valid_iterations FROM l GROUP BY 1""")
+ (SELECT count(*) FROM g) AS n, 1000 AS bootstrap_iterations, count(v) AS valid_iterations FROM l GROUP BY 1""")
 def r8(spark, sf):
     df = frame(spark, sf, LINES).select("l_suppkey", "y", "p")
-    return rounded(res.pooled_ranking_intervals(df, "l_suppkey", "y", "p", replicates=20))
+    return rounded(res.pooled_ranking_intervals(df, "l_suppkey", "y", "p", replicates=1000))
 
 
 # ---- splitters ----------------------------------------------------------------
