@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from kinfold.operators.candidates import balanced_group_candidates
 from kinfold.operators.ranking import pareto, quantile_bins
 from kinfold.plans.ordered import (
     dense_positions, hash_key, hashed_positions, lookup, prefix_sums, quantiles,
@@ -173,83 +174,6 @@ def attach_groups(df: DataFrame, table: DataFrame, group: str, how: str = "left"
     return lookup(df, table, [group], how)
 
 
-def balanced_group_candidates(
-    df: DataFrame, group: str, y: str, seed: int = 42, candidates: int = 50,
-    test_fraction: float = 0.2, bins: int = 6,
-) -> tuple[DataFrame, DataFrame]:
-    """Score many seeded group hold-outs at once.
-
-    Returns (scores per candidate, group sides per candidate).  The score adds
-    the differences of mean, median and deviation between the sides (in units of
-    the overall deviation), the miss of the test share, and 2.5 x the L1
-    distance of the group-mean bins; lower is better.
-    """
-    ok = df.where(F.col(group).isNotNull() & F.col(y).isNotNull())
-    full_std = ok.agg(F.stddev_pop(y).alias("s")).scalar()
-    per = ok.groupBy(group).agg(
-        F.avg(y).alias("g_mean"), F.count("*").alias("g_n"), F.sum(y).alias("g_sum"),
-        F.sum(F.col(y) * F.col(y)).alias("g_sq"),
-    )
-    binned = quantile_bins(per, "g_mean", bins, "g_bin")
-    runs = binned.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
-    pos = hashed_positions(
-        runs, F.lit(seed).cast("long") + 1000 * F.col("candidate"), [group], ["candidate"],
-        ["g_n", "g_sum", "g_sq", "g_bin"],
-    )
-    # small (candidates x groups) and read five times: computed once, in the shared folder
-    sides = cut_lineage(
-        pos.withColumn("is_test", F.col("pos") < F.ceil(F.col("n") * test_fraction)).drop("__h")
-    )
-
-    moments = sides.groupBy("candidate", "is_test").agg(
-        F.sum("g_n").alias("n_rows"), F.sum("g_sum").alias("s"), F.sum("g_sq").alias("sq"),
-        F.count("*").alias("n_groups"),
-    ).select(
-        "candidate", "is_test", "n_rows", "n_groups", (F.col("s") / F.col("n_rows")).alias("mean"),
-        F.sqrt(F.greatest(
-            F.lit(0.0), F.col("sq") / F.col("n_rows") - F.pow(F.col("s") / F.col("n_rows"), 2)
-        )).alias("std"),
-    )
-    # medians of the rows: equal (group, y) collapse before the candidates multiply them
-    cells = ok.groupBy(group, y).agg(F.count("*").alias("__w"))
-    rows = lookup(cells, sides.groupBy(group).agg(
-        F.collect_list(F.struct("candidate", "is_test")).alias("__sides")  # one entry per candidate
-    ), [group]).select(y, "__w", F.inline("__sides"))
-    med = quantiles(rows, y, {"median": 0.5}, ["candidate", "is_test"], F.col("__w"))
-    stats = moments.join(med, ["candidate", "is_test"])
-    side = lambda c, t: F.max(F.when(F.col("is_test") == F.lit(t), F.col(c)))
-    wide = stats.groupBy("candidate").agg(*[
-        side(c, t).alias(f"{c}_{'test' if t else 'train'}")
-        for c in ("n_rows", "n_groups", "mean", "median", "std") for t in (True, False)
-    ])
-    hist = sides.where(F.col("g_bin").isNotNull()).groupBy("candidate", "g_bin").agg(
-        F.sum(F.col("is_test").cast("long")).alias("te"),
-        F.sum((~F.col("is_test")).cast("long")).alias("tr"),
-    )
-    hist_tot = hist.groupBy("candidate").agg(
-        F.greatest(F.sum("te"), F.lit(1e-12)).alias("te_n"),
-        F.greatest(F.sum("tr"), F.lit(1e-12)).alias("tr_n"),
-    )
-    dist = hist.join(hist_tot, "candidate").groupBy("candidate").agg(
-        (0.5 * F.sum(F.abs(F.col("tr") / F.col("tr_n") - F.col("te") / F.col("te_n")))).alias(
-            "bin_distance")
-    )
-    out = wide.join(dist, "candidate", "left").withColumn("__s", full_std).withColumn(
-        "__s", F.when(F.col("__s") > 1e-12, F.col("__s")).otherwise(F.lit(1.0))
-    )
-    diff = lambda c: F.abs(F.col(f"{c}_train") - F.col(f"{c}_test")) / F.col("__s")
-    share = F.col("n_rows_test") / (F.col("n_rows_test") + F.col("n_rows_train"))
-    bin_part = F.coalesce(F.col("bin_distance"), F.lit(0.0))
-    score = (
-        diff("mean") + 0.5 * diff("median") + 0.25 * diff("std")
-        + 2.0 * F.abs(share - test_fraction) + 2.5 * bin_part
-    )
-    return (
-        out.withColumn("bin_distance", bin_part).withColumn("balance_score", score).drop("__s"),
-        sides.select("candidate", group, "is_test"),
-    )
-
-
 def balanced_group_holdout(df: DataFrame, group: str, y: str, seed: int = 42, **kw) -> DataFrame:
     """(group, is_test) of the best-balanced candidate (first on a tie)."""
     scores, sides = balanced_group_candidates(df, group, y, seed, **kw)

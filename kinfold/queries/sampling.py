@@ -166,7 +166,7 @@ K7_SQL = f"""g AS (SELECT o_custkey, avg(o_totalprice) AS gm FROM {{orders}} GRO
  e AS (SELECT [quantile_cont(gm, 1/6.0), quantile_cont(gm, 2/6.0), quantile_cont(gm, 0.5), quantile_cont(gm, 4/6.0), quantile_cont(gm, 5/6.0)] AS ed FROM g),
  b AS (SELECT o_custkey, len(list_filter(ed, lambda x: x < gm)) AS bin FROM g, e),
  s AS (SELECT c AS candidate, o_custkey, bin, row_number() OVER (PARTITION BY c ORDER BY {sql_hash('42 + 1000 * c', 'o_custkey')}, o_custkey)
-   <= ceil(0.2 * count(*) OVER (PARTITION BY c)) AS is_test FROM b, range(6) t(c)),
+   <= ceil(0.2 * count(*) OVER (PARTITION BY c)) AS is_test FROM b, range(50) t(c)),
  m AS (SELECT candidate, is_test, count(*) AS n, avg(o_totalprice) AS a, median(o_totalprice) AS d, stddev_pop(o_totalprice) AS v,
    count(DISTINCT o_custkey) AS k FROM s JOIN {{orders}} USING (o_custkey) GROUP BY ALL),
  h AS (SELECT candidate, bin, count(*) FILTER (is_test) AS te, count(*) FILTER (NOT is_test) AS tr FROM s GROUP BY ALL),
@@ -181,13 +181,13 @@ K7_SQL = f"""g AS (SELECT o_custkey, avg(o_totalprice) AS gm FROM {{orders}} GRO
 @query("k7_balanced_candidates", f"""WITH {K7_SQL} SELECT CAST(candidate AS INT) AS candidate, n_rows_test, n_rows_train, n_groups_test,
  {r('dist')} AS bin_distance, {r('score')} AS balance_score FROM w""")
 def k7(spark, sf):
-    scores, _ = splits.balanced_group_candidates(table(spark, sf, "orders"), "o_custkey", "o_totalprice", candidates=6)
+    scores, _ = splits.balanced_group_candidates(table(spark, sf, "orders"), "o_custkey", "o_totalprice", candidates=50)
     return rounded(scores.select("candidate", "n_rows_test", "n_rows_train", "n_groups_test", "bin_distance", "balance_score"))
 
 
 @query("k7_balanced_holdout", f"""WITH {K7_SQL} SELECT o_custkey, is_test FROM s WHERE candidate = (SELECT arg_min(candidate, score) FROM w)""")
 def k7b(spark, sf):
-    return splits.balanced_group_holdout(table(spark, sf, "orders"), "o_custkey", "o_totalprice", candidates=6)
+    return splits.balanced_group_holdout(table(spark, sf, "orders"), "o_custkey", "o_totalprice", candidates=50)
 
 
 K8_SQL = f"""e AS (SELECT [quantile_cont(o_totalprice, 1/6.0), quantile_cont(o_totalprice, 2/6.0), quantile_cont(o_totalprice, 0.5),
@@ -205,5 +205,5 @@ def k8(spark, sf):
  SELECT 1 AS repeat, 42 AS seed, CASE WHEN is_test THEN 'test' ELSE 'train' END AS side, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_groups,
  {r('avg(o_totalprice)', 4)} AS y_mean, {r('stddev_pop(o_totalprice)', 4)} AS y_std FROM {{orders}} JOIN t USING (o_custkey) GROUP BY ALL""")
 def k9(spark, sf):
-    s = splits.holdout_pair(table(spark, sf, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], 1, candidates=6)
+    s = splits.holdout_pair(table(spark, sf, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], 1, candidates=50)
     return rounded(splits.split_diagnostics(s, "o_custkey", "o_totalprice"), 4)
