@@ -20,7 +20,9 @@ from kinfold.llm import arrays as A
 from kinfold.llm.arrays import U, mix
 from kinfold.llm.common import components, stored, to_batch
 
-BUCKETS = pa.schema([("bucket", pa.int64()), ("key", pa.int64())])
+PACKED = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
+#: Parts of the buckets that a shuffle partition takes one after the other.
+PARTS_PER_TASK = 16
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _GOLD = U(0x9E3779B97F4A7C15)
 #: Bytes of one element in a packed set.
@@ -132,9 +134,11 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(x + np.arange(1, bands + 1, dtype=U) * _GOLD).view(np.int64)
 
 
-def _bucket_rows(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, key) rows of (key, sig).  A bucket that several nodes of the task share sends only
-    its least node on; the others form buckets of two with that node."""
+def _bucket_rows(rows: int, n_parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, key) pairs of (key, sig), many to a row: one row for each part of the buckets.
+
+    A bucket that several nodes of the task share sends only its least node on; the others form
+    buckets of two with that node."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -160,8 +164,12 @@ def _bucket_rows(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
                 b, k = np.concatenate([b, own, own]), np.concatenate([least, pairs[:, 0], pairs[:, 1]])
             else:
                 k = least
-        for lo in range(0, len(b), 200_000):
-            yield to_batch(BUCKETS, b[lo:lo + 200_000], k[lo:lo + 200_000])
+        if len(b):
+            part = (b.view(U) % U(n_parts)).astype(np.int32)
+            order = np.argsort(part)
+            pairs = np.stack([b[order], k[order]], axis=1)
+            names, start = np.unique(part[order], return_index=True)
+            yield to_batch(PACKED, names, [pairs[i:j].tobytes() for i, j in zip(start, np.append(start[1:], len(b)))])
 
     for batch in batches:
         keys = batch.column(0).to_numpy()
@@ -212,21 +220,27 @@ def parts(batch: pa.RecordBatch, n_keys: int, column: int) -> Iterator[pa.Record
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from the first node of every bucket (rows sorted by bucket, key) to its others."""
-    bucket, lead = None, 0
-    for batch in batches:
-        b, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(b):
-            continue
-        first = np.ones(len(b), bool)
-        first[1:] = b[1:] != b[:-1]
-        first[0] = bucket is None or b[0] != bucket
-        at = np.maximum.accumulate(np.where(first, np.arange(len(b)), -1))
-        leads = np.where(at >= 0, k[np.maximum(at, 0)], lead)
-        keep = leads != k
-        bucket, lead = b[-1], leads[-1]
+    """Links from the least node of every bucket to its others; rows of a part stand together."""
+    def links(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        b, k = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2).T
+        order = np.argsort(b)
+        b, k = b[order], k[order]
+        start = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+        lead = np.repeat(np.minimum.reduceat(k, start), np.diff(np.append(start, len(b))))
+        keep = lead != k
         if keep.any():
-            yield to_batch(PAIRS, leads[keep], k[keep])
+            yield to_batch(PAIRS, lead[keep], k[keep])
+
+    part, held = None, []
+    for batch in batches:
+        for p, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if p != part:
+                if held:
+                    yield from links(held)
+                part, held = p, []
+            held.append(rows)
+    if held:
+        yield from links(held)
 
 
 SCORED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("strong", pa.bool_())])
@@ -362,8 +376,9 @@ def link(nodes: DataFrame, payload: DataFrame, sets: Sets, percent: int, rows: i
     * union.  ``rows`` is the number of slots of a band, ``least`` the share of equal slots below
     which a star pair isn't verified (several standard errors under the similarity asked for).
     """
-    buckets = nodes.select("key", "sig").mapInArrow(partial(_bucket_rows, rows), "bucket long, key long")
-    stars = _sorted(buckets, ["bucket"], ["bucket", "key"]).mapInArrow(_stars, "a long, b long").distinct()
+    parts = PARTS_PER_TASK * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = nodes.select("key", "sig").mapInArrow(partial(_bucket_rows, rows, parts), "part int, rows binary")
+    stars = _sorted(buckets, ["part"], ["part"]).mapInArrow(_stars, "a long, b long").distinct()
     stars = stored(stars, "stars")
     ends = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # joins that move texts or signatures are the same at every size: no table is small enough to
