@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold.operators import metrics as met
 from kinfold.operators.models import ModelSpec, fit
-from kinfold.operators.profiling import _long, rank_correlation_matrix
+from kinfold.operators.profiling import _long, encoded_features, rank_correlation_matrix
 from kinfold.operators.splits import stratified_kfold
 from kinfold.plans.ordered import (
     hash_key, hashed_positions, lookup, prefix_sums, quantiles, value_at_position,
@@ -363,11 +363,13 @@ def average_linkage(names: Sequence[str], dist: np.ndarray, cut: float) -> dict[
     return {names[i]: n for n, c in enumerate(order) for i in clusters[c]}
 
 
-def redundancy_groups(df: DataFrame, cols: Sequence[str], cut: float = 0.3) -> DataFrame:
+def redundancy_groups(df: DataFrame, cols: Sequence[str], cut: float = 0.3, categorical: Sequence[str] = ()) -> DataFrame:
     """(feature, cluster): features linked by 1 - |rank correlation| below ``cut``.
 
-    The correlations are a Spark job; only the features x features matrix is local.
+    Categories count as codes and missing numbers as the median.  The correlations are a Spark
+    job; only the features x features matrix is local.
     """
+    df, cols = encoded_features(df, cols, categorical), [*cols, *categorical]
     index = {c: i for i, c in enumerate(cols)}
     dist = np.ones((len(cols), len(cols)))
     np.fill_diagonal(dist, 0.0)

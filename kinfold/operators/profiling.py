@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold.functions.special import student_t_two_sided
-from kinfold.plans.ordered import average_ranks, quantiles
+from kinfold.plans.ordered import average_ranks, lookup, prefix_sums, quantiles
+from kinfold.plans.session import cut_lineage
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -230,14 +235,90 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> D
     )
 
 
+def _null_classes(df: DataFrame, cols: Sequence[str], row: str) -> tuple[list[int], list[str]]:
+    """Class of every column, where columns of one class are null in the same rows, and one column of each."""
+    facts = df.agg(*[
+        F.struct(F.count(F.when(F.col(c).isNull(), 1)), F.bit_xor(F.when(F.col(c).isNull(), F.xxhash64(row))).alias("x")).alias(f"c{i}")
+        for i, c in enumerate(cols)]).first()
+    seen: dict[tuple, int] = {}
+    of = [seen.setdefault(tuple(f), len(seen)) for f in facts]
+    return of, [cols[of.index(c)] for c in range(len(seen))]
+
+
+def _gram(classes: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, j, sum) of the products of centred ranks over the task's rows; a row is an array of (column, ranks)."""
+    k, n = len(classes), max(classes) + 1
+    of = np.array(classes)
+    total, some = np.zeros((k, k)), False
+    for batch in batches:
+        lists = batch.column(0)
+        for lo in range(0, len(lists), 4096):
+            part = lists.slice(lo, 4096)
+            row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy())
+            flat = part.flatten()
+            ranks = flat.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            grid = np.zeros((n, len(part), k))  # ranks of each column among the rows where a class is present
+            grid[:, row, flat.field(0).to_numpy()] = ranks.T
+            for p in range(n):
+                for q in range(p, n):
+                    x, y = np.flatnonzero(of == p), np.flatnonzero(of == q)
+                    block = grid[q][:, x].T @ grid[p][:, y]
+                    total[np.ix_(x, y)] += block
+                    if p != q:
+                        total[np.ix_(y, x)] += block.T
+            some = True
+    if some:
+        i, j = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "v"])
+
+
 def rank_correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Spearman matrix (upper triangle, long form), one job for all pairs."""
-    pairs = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in combinations(cols, 2)
-    ])
-    return rank_correlation(df.select(F.inline(pairs)), "x", "y", ["a", "b"])
+    """Pairwise-complete Spearman matrix (upper triangle, long form).
+
+    Every column is ranked once, by its distinct values, for each distinct pattern of nulls that
+    other columns have.  A row gets its ranks back (rows x columns, not x pairs), and
+    all pair sums are one Gram matrix of blocks, added up in each task.
+    """
+    cols = list(cols)
+    held = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]).withColumn(
+        "row", F.monotonically_increasing_id()))
+    names = [f"v{i}" for i in range(len(cols))]
+    of, firsts = _null_classes(held, names, "row")
+    present = F.array(*[F.col(c).isNotNull().cast("long") for c in firsts])
+    long = held.select("row", F.posexplode(F.array(*names)).alias("i", "v"), present.alias("in_")).where("v is not null")
+    counts = {f"n{c}": F.col(f"n{c}") for c in range(len(firsts))}
+    values = long.groupBy("i", "v").agg(*[F.sum(F.col("in_")[c]).alias(f"n{c}") for c in range(len(firsts))])
+    sums = prefix_sums(values, "v", counts, ["i"])
+    centred = lambda c: F.col(f"n{c}_before") + (F.col(f"n{c}") + 1) / 2 - (F.col(f"n{c}_total") + 1) / 2
+    ranks = cut_lineage(sums.select(
+        "i", "v", F.array(*[centred(c).cast("double") for c in range(len(firsts))]).alias("r"),
+        F.array(*[F.col(f"n{c}") for c in range(len(firsts))]).alias("n")))
+    # a column's own sums among the rows where a class is present: columns x classes numbers
+    own = ranks.select("i", F.posexplode(F.zip_with("r", "n", lambda x, m: F.struct((x * x * m).alias("s"), m.alias("m")))).alias("c", "t")).groupBy(
+        "i", "c").agg(F.sum("t.s").alias("s"), F.sum("t.m").alias("n"))
+    rows = lookup(long.select("row", "i", "v"), ranks.select("i", "v", "r"), ["i", "v"], "inner", ["row"]).groupBy("row").agg(
+        F.collect_list(F.struct("i", "r")).alias("l"))  # at most one per column
+    gram = rows.select("l").mapInArrow(partial(_gram, of), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("cov"))
+    pairs = df.sparkSession.createDataFrame(
+        [(i, j, a, b, of[i], of[j]) for (i, a), (j, b) in combinations(enumerate(cols), 2)],
+        "i int, j int, a string, b string, ci int, cj int")
+    at = lambda i, c, s, n: own.select(F.col("i").alias(i), F.col("c").alias(c), F.col("s").alias(s), F.col("n").alias(n))
+    full = pairs.join(gram, ["i", "j"], "left").join(at("i", "cj", "sa", "n"), ["i", "cj"], "left").join(
+        at("j", "ci", "sb", "m"), ["j", "ci"], "left")
+    return full.where("n > 0").select("a", "b", "n", F.try_divide("cov", F.sqrt(F.col("sa") * F.col("sb"))).alias("rho"))
+
+
+def encoded_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """Every feature as a number without nulls: categories as codes in their order (-1 for null), missing numbers at the median."""
+    out = df.select(*[F.col(c).cast("double").alias(c) for c in numeric], *categorical)
+    for c in categorical:
+        codes = prefix_sums(out.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("__v")).distinct(), "__v",
+                            {"__one": F.lit(1).cast("long")}, bucket=F.ascii("__v")).select("__v", F.col("__one_before").alias("__code"))
+        out = lookup(out.withColumn("__v", F.col(c).cast("string")), codes, ["__v"]).drop("__v", c).withColumn(
+            c, F.coalesce("__code", F.lit(-1)).cast("double")).drop("__code")
+    for c in numeric:
+        out = out.withColumn(c, F.coalesce(c, quantiles(df.select(F.col(c).cast("double").alias(c)), c, {"m": 0.5}).select("m").scalar()))
+    return out.select(*numeric, *categorical)
 
 
 def correlation_p_value(df: DataFrame, rho: str = "rho", n: str = "n") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from kinfold.operators import audit
@@ -14,6 +16,7 @@ from kinfold.operators.models import ModelSpec
 from kinfold.operators.neighbours import knn_class, knn_join, knn_vote, probes_for, recall
 from kinfold.plans.session import cut_lineage, table
 from kinfold.queries.base import LINES, frame, query, r, rounded
+from kinfold.queries.profiling import sql_spearman
 
 # Labelled documents: quality flag, text counts, source as the cluster.
 DOCS = """SELECT d.doc_id AS row_id, d.source AS group_id, quality AS y, CAST(n_chars AS DOUBLE) AS n_chars,
@@ -23,7 +26,8 @@ DOCS = """SELECT d.doc_id AS row_id, d.source AS group_id, quality AS y, CAST(n_
 # Orders as a regression problem: price from date parts and priority, customer nation as cluster.
 PRICES = """SELECT o_orderkey AS row_id, c_nationkey AS group_id, o_totalprice / 1000 AS y, CAST(month(o_orderdate) AS DOUBLE) AS m,
  CAST(year(o_orderdate) AS DOUBLE) AS yr, c_acctbal AS bal, o_orderpriority AS prio FROM {orders} JOIN {customer} ON c_custkey = o_custkey"""
-SPEC = ModelSpec("tree", ("n_chars", "n_spaces", "n_dots", "e_share"), ("lang",), params={"maxDepth": 4})
+NUMERIC = ("n_chars", "n_spaces", "n_dots", "e_share")
+SPEC = ModelSpec("tree", NUMERIC, ("lang",), params={"maxDepth": 4})
 REG = ModelSpec("tree_reg", ("m", "yr", "bal"), ("prio",), params={"maxDepth": 4})
 
 
@@ -371,7 +375,16 @@ def au7b(spark, sf):
 
 @query("au8_redundancy_groups")
 def au8(spark, sf):
-    return audit.redundancy_groups(frame(spark, sf, DOCS), ["n_chars", "n_spaces", "n_dots", "e_share"])
+    return audit.redundancy_groups(frame(spark, sf, DOCS), NUMERIC, categorical=["lang"])
+
+
+@query("au8_encoded_correlations", f"""WITH d AS ({DOCS}), k AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS code FROM (SELECT DISTINCT lang FROM d WHERE lang IS NOT NULL)),
+ c AS (SELECT n_chars, n_spaces, n_dots, coalesce(e_share, (SELECT median(e_share) FROM d)) AS e_share, coalesce(code, -1) AS lang FROM d LEFT JOIN k USING (lang)) """
+ + " UNION ALL ".join(sql_spearman("c", a, b) for a, b in combinations(("n_chars", "n_spaces", "n_dots", "e_share", "lang"), 2)))
+def au8b(spark, sf):
+    from kinfold.operators.profiling import encoded_features, rank_correlation_matrix
+    rows = encoded_features(frame(spark, sf, DOCS), NUMERIC, ["lang"])
+    return rounded(rank_correlation_matrix(rows, [*NUMERIC, "lang"]))
 
 
 @query("au9_grouping_report", f"""WITH c AS (SELECT o_orderkey, o_custkey, o_custkey % 700 AS ent, CAST(o_custkey % 5 AS INT) AS fold FROM {{orders}}), e AS (SELECT ent, count(*) AS n, count(DISTINCT fold) AS k FROM c GROUP BY 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from kinfold.operators import combining as comb
@@ -152,11 +154,12 @@ def sql_spearman(src: str, a: str, b: str) -> str:
             f"{avg_rank(b)} AS rb FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
 
 
-@query("a18_rank_correlation_matrix", f"WITH c AS ({SPARSE}) " + " UNION ALL ".join(
-    sql_spearman("c", a, b) for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "d"), ("l_quantity", "t"),
-                                        ("l_extendedprice", "d"), ("l_extendedprice", "t"), ("d", "t"))))
+NUMBERS = ("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "d", "t", "y")
+
+
+@query("a18_rank_correlation_matrix", f"WITH c AS ({SPARSE}) " + " UNION ALL ".join(sql_spearman("c", a, b) for a, b in combinations(NUMBERS, 2)))
 def a18(spark, sf):
-    return rounded(prof.rank_correlation_matrix(frame(spark, sf, SPARSE), ["l_quantity", "l_extendedprice", "d", "t"]))
+    return rounded(prof.rank_correlation_matrix(frame(spark, sf, SPARSE), NUMBERS))
 
 
 PER_GROUP = "SELECT o_custkey, avg(o_totalprice) AS mean_price, count(*) AS n_orders FROM {orders} GROUP BY 1"
