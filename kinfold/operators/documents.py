@@ -16,7 +16,6 @@ from kinfold.functions.numeric import NO_OUTCOME, YES_OUTCOME
 from kinfold.functions.text import (
     MISSING_FIELDS, contains_any, count_hits, first_or_null, let, normalize_text, starts_with_any,
 )
-from kinfold.plans.session import spread
 
 # Section, keyword and phrase lists of the excerpt selection.
 SETUP_SECTIONS = (
@@ -152,34 +151,35 @@ def paragraph_chunks(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Paragraphs with their section and line span, classed and numbered by line.
 
     A blank line or a heading ends a paragraph; image markers are skipped without
-    ending it; the section is the last heading above.
+    ending it; the section is the last heading above.  A document is cut inside its row, first at
+    its headings, then at blank lines, so nothing is shuffled.
     """
-    lines = document_lines(spread(df.select(doc, text)), doc, text)
-    running = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = heading(F.col("line"))
-    stop = head.isNotNull() | (F.trim(F.regexp_replace("line", r"(?U)\s", "")) == "")
-    image = F.ltrim(F.col("line")).startswith("<!-- image")
-    marked = lines.select(
-        doc, "pos", "line", (stop & ~image).alias("stop"), image.alias("image"), head.alias("head")
-    ).select(
-        "*", F.sum(F.col("stop").cast("int")).over(running).alias("para"),
-        F.last("head", ignorenulls=True).over(running).alias("section"),
-    )
-    body = ~F.col("stop") & ~F.col("image")
-    parts = marked.groupBy(doc, "para").agg(
-        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
-        F.min(F.when(body, F.col("pos"))).alias("start"), F.max("section").alias("section"),
-        F.array_sort(F.collect_list(F.when(body, F.struct("pos", "line")))).alias("body"),
-    )
-    by_para = Window.partitionBy(doc).orderBy("para")
-    spans = parts.withColumn("next_pos", F.lead("first_pos").over(by_para)).where(
-        F.col("start").isNotNull()
-    )
+    head = lambda x: heading(x["line"])
+    image = lambda x: F.ltrim(x["line"]).startswith("<!-- image")
+    blank = lambda x: (F.trim(F.regexp_replace(x["line"], r"(?U)\s", "")) == "") & ~image(x)
+    numbered = F.transform(F.split(F.col(text), "\r\n|\r|\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+
+    def between(array: str, stops: Column, end: Column) -> Column:
+        """Rows (at, next, inside): what lies in ``array`` after each of ``stops`` up to the next one, first from before all."""
+        edges = F.concat(F.array(F.get(array, F.lit(0))["pos"] - 1), stops, F.array(end))
+        return let(edges, lambda e: F.transform(F.slice(e, 1, F.size(e) - 1), lambda at, i: F.struct(
+            at.alias("at"), F.get(e, i + 1).alias("next"),
+            F.slice(array, at - F.get(e, F.lit(0)) + 1, F.get(e, i + 1) - at - 1).alias("inside"))))
+
+    stops_of = lambda rule: F.transform(F.filter("lines", rule), lambda x: x["pos"])
+    docs = df.select(doc, numbered.alias("lines")).withColumn(
+        "marks", stops_of(lambda x: head(x).isNotNull() & ~image(x)))
+    parts = docs.select(doc, F.col("lines"), F.explode(between("lines", F.col("marks"), F.size("lines"))).alias("s")).select(
+        doc, head(F.get("lines", F.greatest(F.col("s.at"), F.lit(0)))).alias("first"), "s.at", "s.next", F.col("s.inside").alias("lines"))
+    parts = parts.where(F.size("lines") > 0).select(
+        doc, F.when(F.col("at") >= 0, F.col("first")).alias("section"), "next", "lines",
+        stops_of(blank).alias("marks"))
+    paragraphs = parts.select(doc, "section", F.explode(between("lines", F.col("marks"), F.col("next"))).alias("p")).select(
+        doc, "section", F.col("p.next").alias("line_end"), F.filter("p.inside", lambda x: ~image(x)).alias("body"))
     joined = F.array_join(F.transform("body", lambda b: b["line"]), "\n")
-    chunks = spans.select(
-        doc, "section", (F.col("start") + 1).alias("line_start"),
-        F.coalesce(F.col("next_pos"), F.col("last_pos") + 1).alias("line_end"),
-        normalize_text(joined).alias("text"), F.try_element_at("body", F.lit(1))["line"].alias("first_line"),
+    chunks = paragraphs.where(F.size("body") > 0).select(
+        doc, "section", (F.get("body", F.lit(0))["pos"] + 1).alias("line_start"), "line_end",
+        normalize_text(joined).alias("text"), F.get("body", F.lit(0))["line"].alias("first_line"),
     ).where(F.col("text") != "")
     kind = (
         F.when(is_caption(F.col("first_line")), "caption_context")
