@@ -244,30 +244,37 @@ def identifiability_probe(
 
 # ---- importance and attribution -----------------------------------------------------------
 
-def permuted(df: DataFrame, col: str, row_id: str, seed: int) -> DataFrame:
-    """``df`` with one column shuffled: two hash orders of the rows joined on position."""
-    own = hashed_positions(df.select(row_id), 0, [row_id]).select(row_id, "pos")
-    donor = hashed_positions(df.select(row_id), seed, [row_id]).select(F.col(row_id).alias("__donor"), "pos")
-    vals = df.select(F.col(row_id).alias("__donor"), F.col(col).alias("__v"))
-    swap = own.join(donor, "pos").join(vals, "__donor").select(row_id, "__v")
-    return df.join(swap, row_id).withColumn(col, F.col("__v")).drop("__v")
+def permuted_rows(df: DataFrame, cols: Sequence[str], row_id: str, repeats: int, seed: int = 42) -> DataFrame:
+    """Every row as it is (feature "", repeat 0), and for each repeat and column with that value of another row.
+
+    A repeat has one donor for each row, by two hash orders joined on position, whose values serve all columns.
+    """
+    rows = df.select(row_id)
+    own = hashed_positions(rows, 0, [row_id]).select(row_id, "pos")
+    each = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    donor = hashed_positions(each, F.lit(seed).cast("long") + F.col("repeat"), [row_id], ["repeat"]).select(
+        "repeat", "pos", F.col(row_id).alias("__donor"))
+    values = df.select(F.col(row_id).alias("__donor"), F.struct(*cols).alias("__v"))
+    swap = own.join(donor, "pos").join(values, "__donor").select(row_id, "repeat", "__v")
+    rest = [c for c in df.columns if c not in cols]
+    variants = F.array(*[
+        F.struct(F.lit(c).alias("feature"), *[(F.col("__v")[x] if x == c else F.col(x)).alias(x) for x in cols]) for c in cols])
+    swapped = df.join(swap, row_id).select(*rest, "repeat", F.inline(variants))
+    return df.select("*", F.lit(0).alias("repeat"), F.lit("").alias("feature")).unionByName(swapped)
 
 
 def permutation_importance(
     df: DataFrame, score: Callable[[DataFrame], DataFrame], spec: ModelSpec, cols: Sequence[str],
     repeats: int = 10, seed: int = 42,
 ) -> DataFrame:
-    """(feature, repeat, importance): AUC lost when a column of the held-out rows is shuffled."""
-    from kinfold.operators.combining import stack_results
+    """(feature, repeat, importance): AUC lost when a column of the held-out rows is shuffled.
 
-    runs = [score(df).select(F.lit(None).cast("string").alias("feature"), F.lit(0).alias("repeat"),
-                             spec.label, "score")]
-    for i, c in enumerate(cols):
-        for r in range(repeats):
-            runs.append(score(permuted(df, c, spec.row_id, seed + 1000 * i + r)).select(
-                F.lit(c).alias("feature"), F.lit(r).alias("repeat"), spec.label, "score"))
-    every = stack_results(runs).withColumn("feature", F.coalesce("feature", F.lit("")))
-    auc = met.ranking_metrics(every, spec.label, "score", ["feature", "repeat"])
+    All columns and repeats are scored in one plan; only counts per score go on from there.
+    """
+    rows = permuted_rows(df, cols, spec.row_id, repeats, seed)
+    kind = df.schema[spec.row_id].dataType
+    rows = rows.withColumn(spec.row_id, F.xxhash64(spec.row_id, "feature", "repeat").cast(kind))  # one name for each variant
+    auc = cut_lineage(met.ranking_metrics(score(rows), spec.label, "score", ["feature", "repeat"]))
     base = auc.where(F.col("feature") == "").select("roc_auc").scalar()
     return auc.where(F.col("feature") != "").select(
         "feature", "repeat", (base - F.col("roc_auc")).alias("importance"))

