@@ -47,17 +47,19 @@ def leave_out_quantiles(
         own.groupBy("feature", group).agg(F.max("__g_total").alias("g_n")), ["feature", group], "left"
     ).withColumn("rest", F.col("__t_total") - F.coalesce("g_n", F.lit(0))).where(F.col("rest") > 0)
     at = lambda q: F.lit(float(q)) * (F.col("rest") - 1)
-    asks = shell.select("feature", group, "__t_total", F.inline(F.array(*[
-        F.struct(F.lit(f"q{i}").alias("q"), F.lit(side).alias("side"), f(at(q)).cast("bigint").alias("k"),
-                 (at(q) - F.floor(at(q))).alias("part"))
-        for i, q in enumerate(probs) for side, f in (("lo", F.floor), ("hi", F.ceil))
-    ])))
+    wanted = [(f"q{i}", side, f, q) for i, q in enumerate(probs) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    shell = shell.withColumn("__k", F.array(*[f(at(q)).cast("bigint") for _, _, f, q in wanted]))
+    # own values under each wanted rank of the rest: one conditional sum a rank, combined before the shuffle
     rest_below = F.col("__t_before") - F.col("__g_before")
-    shift = asks.join(
-        below.select("feature", group, "__g", rest_below.alias("__r")), ["feature", group], "left"
-    ).groupBy("feature", group, "__t_total", "q", "side", "k", "part").agg(
-        F.coalesce(F.sum(F.when(F.col("__r") <= F.col("k"), F.col("__g"))), F.lit(0)).alias("c")
-    ).select("feature", group, "__t_total", "q", "side", "part", (F.col("k") + F.col("c")).alias("pos"))
+    ranked = lookup(below.select("feature", group, "value", "__g", rest_below.alias("__r")),
+                    shell.select("feature", group, "__k"), ["feature", group], "inner", ["value"])
+    counts = ranked.groupBy("feature", group).agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col("__r") <= F.col("__k")[i], F.col("__g"))), F.lit(0)) for i in range(len(wanted))]).alias("__c"))
+    placed = shell.join(counts, ["feature", group], "left")
+    place = lambda i: F.col("__k")[i] + F.coalesce(F.col("__c")[i], F.lit(0))
+    shift = placed.select("feature", group, "__t_total", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), (at(q) - F.floor(at(q))).alias("part"), place(i).alias("pos"))
+        for i, (name, side, _, q) in enumerate(wanted)])))
     found = value_at_position(shift, total, ["feature"], "pos", "__t_before", "value", "__t_total")
     wide = found.groupBy("feature", group, "q").agg(
         F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("lo"),
