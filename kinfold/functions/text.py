@@ -9,7 +9,6 @@ from pyspark.sql import Column, functions as F
 
 # Cell contents that mean "missing".
 MISSING_CELLS = ("", "-", "n/a", "na", "nan", "none")
-MISSING_CELLS_WIDE = ("", "-", "--", "n/a", "na", "nan", "none")
 # Placeholders in extracted rows.
 MISSING_FIELDS = (
     "", "n/a", "na", "none", "null", "unknown", "not provided", "not available", "not stated",

@@ -41,14 +41,6 @@ def bootstrap_augment(
     return base.unionByName(extra)
 
 
-def poisson_augment(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Same idea without numbering the rows: Poisson draws in one narrow pass."""
-    extra = df.sample(withReplacement=True, fraction=fraction, seed=seed)
-    return df.withColumn("is_extra", F.lit(False)).unionByName(
-        extra.withColumn("is_extra", F.lit(True))
-    )
-
-
 def group_multiplicities(
     df: DataFrame, group: str, replicates: int, seed: int = 42
 ) -> DataFrame:

@@ -99,6 +99,22 @@ def s11(spark, sf):
     return sinks.report_rows(s, "method", [sinks.mean_std("roc_auc"), sinks.mean_std("mcc")])
 
 
+CELL = "printf('%.3f [%.3f, %.3f]', avg({0}), min({0}), max({0}))"
+
+
+@query("s11_interval_report", f"""WITH f AS ({FOLDS}) SELECT '| ' || method || ' | ' || {CELL.format('roc_auc')} || ' | ' || {CELL.format('mcc')} || ' | n/a |' AS line
+ FROM f GROUP BY method""")
+def s11b(spark, sf):
+    """Mean and range of each method's folds as report lines, written and read back; a metric that nobody has is n/a."""
+    folds = frame(spark, sf, FOLDS).withColumn("method", F.col("method").cast("string"))
+    long = folds.select("method", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in ("roc_auc", "mcc")])))
+    spans = long.groupBy("method", "metric").agg(F.avg("v").alias("mean"), F.min("v").alias("ci_low"), F.max("v").alias("ci_high"))
+    path = sinks.shared_folder(spark)
+    sinks.write_report(sinks.interval_report(spans, "method", ["roc_auc", "mcc", "brier"]), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("s12_prediction_folders", "SELECT l_orderkey, l_partkey, l_linestatus AS strategy, CAST(l_linenumber AS INT) AS repeat, l_returnflag AS model FROM {lineitem} WHERE l_linestatus = 'O' AND l_linenumber = 2")
 def s12(spark, sf):
     path = sinks.shared_folder(spark)

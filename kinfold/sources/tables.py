@@ -34,10 +34,6 @@ EXPERIMENT_COLUMNS = {
     "ignition": "Ignition (Yes/No)",
 }
 EXPERIMENT_FALLBACKS = {"article": ("article (mla)", "article"), "authors": ("authors",)}
-OUTCOME_COLUMNS = (
-    "Flame Length", "FSR (Flame Spread Rate)", "HRR (Heat release rate)",
-    "Smoke/ Areosols (yes/no)",
-)
 # the five bytes windows-1252 leaves undefined, and the others of the 0x80-0x9f block
 _C1 = [chr(i) for i in range(0x80, 0xA0)]
 _C1_MEANING = [c.encode("latin-1").decode("cp1252", errors="ignore") for c in _C1]
