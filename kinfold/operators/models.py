@@ -31,7 +31,7 @@ from kinfold.operators.resampling import cluster_resample
 from kinfold.operators.splits import stratified_kfold
 from kinfold.operators.weights import combined_weights
 from kinfold.plans.ordered import hash_key, lookup
-from kinfold.plans.session import cut_lineage
+from kinfold.plans.session import cut_lineage, free, written
 
 MISSING = -1.0e9  # below every real value, so one split isolates missing rows
 Scorer = Callable[[DataFrame], DataFrame]
@@ -283,35 +283,47 @@ def focal_gradient(y: Column, margin: Column, gamma: float) -> tuple[Column, Col
     return sign * slope, F.greatest(curve, F.lit(1e-16))
 
 
+#: Rounds of boosting after which margins are written down anew.
+MARGIN_ROUNDS = 10
+
+
 def fit_focal(train: DataFrame, spec: ModelSpec) -> Scorer:
     """Newton boosting of the focal loss with weighted regression trees.
 
-    Each round's margins are cut to the shared folder so the plan stays short.
+    Features are written once, with each row's margin beside them.  A round adds the last few trees
+    to that margin as it reads; every ``MARGIN_ROUNDS`` rounds the table is renewed and the old one
+    freed, so one copy stands at a time and no plan has more trees than that.
     """
     p = {"gamma": 1.0, "rounds": 10, "depth": 3, "rate": 0.3, **spec.params}
+    spark = train.sparkSession
     pre = preprocessor(spec).fit(train)
-    data = cut_lineage(with_weight(pre.transform(train), spec).select(
+    data, path = written(with_weight(pre.transform(train), spec).select(
         spec.label, "features", "__weight").withColumn("__margin", F.lit(0.0)))
-    trees = []
     tree = DecisionTreeRegressor(featuresCol="features", labelCol="__t", weightCol="__h",
                                  maxDepth=p["depth"], predictionCol="__step")
+
+    def added(df: DataFrame, models: list) -> DataFrame:
+        for m in models:
+            df = m.transform(df).withColumn("__margin", F.col("__margin") + p["rate"] * F.col("__step")).drop("__step")
+        return df
+
+    trees, since = [], []
     for _ in range(p["rounds"]):
+        if len(since) == MARGIN_ROUNDS:
+            old, (data, path), since = path, written(added(data, since)), []
+            free(spark, old)
         grad, hess = focal_gradient(F.col(spec.label), F.col("__margin"), p["gamma"])
-        target = data.withColumn("__h", hess * F.col("__weight")).withColumn("__t", -grad / hess)
+        target = added(data, since).withColumn("__h", hess * F.col("__weight")).withColumn("__t", -grad / hess)
         target = target.withColumn("__t", F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("__t"))))
-        model = tree.fit(target)
-        trees.append(model)
-        step = model.transform(data).withColumn(
-            "__margin", F.col("__margin") + p["rate"] * F.col("__step")).drop("__step")
-        data = cut_lineage(step)
+        since.append(tree.fit(target))
+        trees.append(since[-1])
+    free(spark, path)
 
     def score(df: DataFrame) -> DataFrame:
-        out = pre.transform(df).withColumn("__margin", F.lit(0.0))
-        for m in trees:
-            out = m.transform(out).withColumn(
-                "__margin", F.col("__margin") + p["rate"] * F.col("__step")).drop("__step")
+        out = added(pre.transform(df).withColumn("__margin", F.lit(0.0)), trees)
         return out.withColumn("score", 1 / (1 + F.exp(-F.col("__margin")))).select(*df.columns, "score")
 
+    score.trees = trees
     return score
 
 

@@ -65,9 +65,20 @@ def _local_folder() -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder (a checkpoint would work it out twice)."""
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path for ``free``."""
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def free(spark: SparkSession, path: str) -> None:
+    """Delete a written table whose last reader is done."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

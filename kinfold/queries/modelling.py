@@ -193,6 +193,22 @@ def m9b(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(kind="focal", params={"gamma": 1.0, "rounds": 3}))
 
 
+SPLIT_SRC = f"SELECT l_suppkey AS group_id, y, CAST(l_linenumber AS DOUBLE) AS line, CAST(l_suppkey % 7 AS DOUBLE) AS seven, CAST(l_suppkey % 4 AS DOUBLE) AS four FROM ({LINES})"
+
+
+# In the first round all margins are 0, so the best split is the one that parts the classes best.
+@query("m9_focal_first_split", f"""WITH c AS ({SPLIT_SRC}), l AS (SELECT * FROM (SELECT y, unnest([0, 1, 2]) AS feature, unnest([line, seven, four]) AS x FROM c)),
+ v AS (SELECT feature, x, count(*)::DOUBLE AS w, sum(2 * y - 1)::DOUBLE AS s FROM l GROUP BY ALL),
+ k AS (SELECT feature, x, sum(w) OVER o AS wl, sum(s) OVER o AS sl, sum(w) OVER p AS wa, sum(s) OVER p AS sa, lead(x) OVER (PARTITION BY feature ORDER BY x) AS nx
+ FROM v WINDOW o AS (PARTITION BY feature ORDER BY x), p AS (PARTITION BY feature))
+ SELECT CAST(arg_max(feature, sl * sl / wl + pow(sa - sl, 2) / (wa - wl)) AS INT) AS feature,
+ arg_max((x + nx) / 2, sl * sl / wl + pow(sa - sl, 2) / (wa - wl)) AS threshold FROM k WHERE nx IS NOT NULL""")
+def m9c(spark, sf):
+    spec = mod.ModelSpec("focal", ("line", "seven", "four"), (), params={"gamma": 1.0, "rounds": 1, "depth": 1})
+    root = mod.fit_focal(frame(spark, sf, SPLIT_SRC), spec).trees[0]._java_obj.rootNode()
+    return spark.createDataFrame([(root.split().featureIndex(), float(root.split().threshold()))], "feature int, threshold double")
+
+
 @query("m10_bagged_groups", FITTED)
 def m10(spark, sf):
     return fitted_summary(spark, sf, SPEC.but(kind="bagged", params={"n_models": 2, "base": "tree", "maxDepth": 4}))
