@@ -333,6 +333,70 @@ def shapley_attribution(
     return delta.groupBy(row_id, "feature").agg(F.avg("d").alias("contribution"))
 
 
+def leaf_paths(fitted) -> tuple[list[tuple[int, int, int, float]], float]:
+    """(tree, leaf, slot, contribution) of a fitted tree or forest, and the score of its roots.
+
+    On the way to a leaf, each step changes the node's value; the change belongs to the slot the step asked for.
+    A forest's trees count with their share, and boosted trees with their weight (on the margin, not the score).  As many
+    rows as the model has leaves, times their depth at most.
+    """
+    java = fitted.model._java_obj
+    trees = list(java.trees()) if hasattr(fitted.model, "trees") else [java]
+    weights = [float(w) for w in java.treeWeights()] if hasattr(fitted.model, "trees") else [1.0]
+    if not hasattr(fitted.model, "trees") or "boosted" not in fitted.spec.kind:
+        weights = [w / sum(weights) for w in weights]
+    probable = not fitted.spec.kind.endswith("_reg") and "boosted" not in fitted.spec.kind
+    rows, base = [], 0.0
+
+    def value(node) -> float:
+        if not probable:
+            return float(node.prediction())
+        stats = [float(x) for x in node.impurityStats().stats()]
+        return stats[1] / sum(stats) if sum(stats) else 0.0
+
+    for t, (tree, weight) in enumerate(zip(trees, weights)):
+        leaf, todo = 0, [(tree.rootNode(), {})]
+        base += weight * value(tree.rootNode())
+        while todo:
+            node, path = todo.pop()
+            if node.getClass().getSimpleName() == "LeafNode":
+                rows += [(t, leaf, slot, v) for slot, v in path.items()]
+                leaf += 1
+                continue
+            slot, here = int(node.split().featureIndex()), value(node)
+            for child in (node.rightChild(), node.leftChild()):  # the left one is taken first, as leaves are numbered
+                step = weight * (value(child) - here)
+                todo.append((child, {**path, slot: path.get(slot, 0.0) + step}))
+    return rows, base
+
+
+def path_attribution(df: DataFrame, fitted, row_id: str) -> tuple[DataFrame, float]:
+    """(row, feature, contribution) for every row and *encoded* feature, and the base score.
+
+    A row's contributions add up to its score (boosted: margin) less the base.  Spark says in which leaf
+    of each tree a row ends; the paths are a small table that is joined to these.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    from kinfold.operators.models import encoded_names
+
+    paths, base = leaf_paths(fitted)
+    names = encoded_names(fitted.pre, fitted.spec)
+    spark = df.sparkSession
+    model = fitted.model.copy()
+    model.setLeafCol("__leaf")
+    at = model.transform(fitted.pre.transform(df))
+    leaves = vector_to_array("__leaf") if hasattr(fitted.model, "trees") else F.array("__leaf")
+    at = at.select(row_id, F.posexplode(leaves).alias("__t", "__l"))
+    table = spark.createDataFrame(paths, "__t int, __l int, __slot int, v double")
+    slots = spark.createDataFrame(list(enumerate(names)), "__slot int, feature string")
+    hit = at.join(F.broadcast(table), (at["__t"] == table["__t"]) & (at["__l"].cast("int") == table["__l"])).select(
+        row_id, "__slot", "v")
+    none = df.select(row_id, F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("__slot"), F.lit(0.0).alias("v"))
+    out = hit.unionByName(none).groupBy(row_id, "__slot").agg(F.sum("v").alias("contribution"))
+    return out.join(F.broadcast(slots), "__slot").select(row_id, "feature", "contribution"), base
+
+
 def mean_abs_attribution(contrib: DataFrame) -> DataFrame:
     return contrib.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
 

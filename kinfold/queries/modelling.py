@@ -436,6 +436,26 @@ def au7(spark, sf):
     return t.agg(F.count_distinct("feature").cast("int").alias("features"), within(0, 1, "mean_abs").alias("in_range"))
 
 
+@query("au7_path_attribution", f"""WITH c AS ({DOCS}) SELECT kind, count(*) AS rows, (SELECT CAST(4 + count(DISTINCT coalesce(lang, 'Unknown')) AS INT) FROM c) AS features, 5 AS parents,
+ CASE kind WHEN 'tree' THEN {r('avg(y)')} END AS base, true AS adds_up FROM c, (VALUES ('tree'), ('forest')) k(kind) GROUP BY kind""")
+def au7c(spark, sf):
+    """Contributions per encoded feature add up to score less base; an unweighted tree's base is the mean label."""
+    df, out = doc_rows(spark, sf), None
+    for spec in (SPEC, SPEC.but(kind="forest", params={"numTrees": 10, "maxDepth": 4})):
+        s = mod.fit(df, spec)
+        c, base = audit.path_attribution(df, s, "row_id")
+        c = cut_lineage(c)
+        total = c.groupBy("row_id").agg(F.sum("contribution").alias("c"), F.count("*").cast("int").alias("k"))
+        rolled = audit.parent_attribution(audit.mean_abs_attribution(c)).agg(F.count("*").cast("int").alias("n")).scalar()
+        one = s(df).select("row_id", "score").join(total, "row_id").agg(
+            F.count("*").alias("rows"), F.max("k").alias("features"),
+            (F.max(F.abs(F.col("score") - F.lit(base) - F.col("c"))) < 1e-6).alias("adds_up"))
+        one = one.select(F.lit(spec.kind).alias("kind"), "rows", "features", rolled.alias("parents"),
+                         F.lit(base if spec.kind == "tree" else None).cast("double").alias("base"), "adds_up")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @query("au7_parent_attribution", f"SELECT split_part(l_returnflag || '=' || l_linestatus, '=', 1) AS feature, {r('sum(m)', 5)} AS mean_abs FROM (SELECT l_returnflag, l_linestatus, avg(abs(l_tax - 0.04)) AS m FROM {{lineitem}} GROUP BY 1, 2) GROUP BY 1")
 def au7b(spark, sf):
     df = table(spark, sf, "lineitem").select(F.concat_ws("=", "l_returnflag", "l_linestatus").alias("feature"), (F.col("l_tax") - 0.04).alias("contribution"))
