@@ -48,10 +48,12 @@ def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def group_rare(df: DataFrame, col: str, min_count: int = 10, label: str = "Other / Rare") -> DataFrame:
-    """Categories seen fewer than ``min_count`` times get one label; NULL counts as a category."""
+def group_rare(
+    df: DataFrame, col: str, min_count: int = 10, label: str = "Other / Rare", among: DataFrame | None = None
+) -> DataFrame:
+    """Categories seen fewer than ``min_count`` times (in ``among``, else in ``df``) get one label; NULL counts as a category."""
     kept = (
-        df.groupBy(col).count().where(F.col("count") >= min_count)
+        (df if among is None else among).groupBy(col).count().where(F.col("count") >= min_count)
         .select(col, F.lit(True).alias("__kept"))
     )
     out = lookup(df, kept, [col])

@@ -45,14 +45,13 @@ def clean_experiments(raw: DataFrame, dedupe: bool = True, keep: tuple[str, ...]
     """Typed features, 0/1 label and identity columns from the 18 logical text columns.
 
     Rows without a label go first, so nothing is parsed for them; the length
-    arrays are built once and reused.
+    arrays are built once and reused.  Materials are counted over all rows, by themselves; the
+    parsed columns, not the texts, go through the join that marks rare ones.
     """
     raw = spread(raw)
     cells = raw.select(*keep, *[clean_cell(F.col(c)).alias(c) for c in raw.columns if c not in keep])
     cells = cells.withColumn("label", num.yes_no(F.col("ignition")))
-    cells = group_rare(cells.withColumn(
-        "material_grouped", F.coalesce("material", F.lit("Unknown"))
-    ), "material_grouped")
+    cells = cells.withColumn("material_grouped", F.coalesce("material", F.lit("Unknown")))
     lab = cells.where(F.col("label").isNotNull()).select(
         "*",
         num.oxygen_fraction(F.col("o2")).alias("oxygen_fraction"),
@@ -91,6 +90,7 @@ def clean_experiments(raw: DataFrame, dedupe: bool = True, keep: tuple[str, ...]
         short_label(F.col("article"), F.col("entity_id")).alias("entity_label"),
         F.col("article").alias("raw_citation"), F.col("rig").alias("rig_name"),
     ).drop("internal_dim_min_mm", "internal_dim_max_mm")
+    out = group_rare(out, "material_grouped", among=cells.select("material_grouped"))
     if not dedupe:
         return out
     keys = [*NUMERIC_ROLES, *CATEGORY_ROLES, "ignition_binary", "entity_id"]
