@@ -265,6 +265,11 @@ def permuted_rows(df: DataFrame, cols: Sequence[str], row_id: str, repeats: int,
     return df.select("*", F.lit(0).alias("repeat"), F.lit("").alias("feature")).unionByName(swapped)
 
 
+def permuted(df: DataFrame, col: str, row_id: str, seed: int) -> DataFrame:
+    """``df`` with one column shuffled."""
+    return permuted_rows(df, [col], row_id, 1, seed).where(F.col("feature") == col).select(*df.columns)
+
+
 def permutation_importance(
     df: DataFrame, score: Callable[[DataFrame], DataFrame], spec: ModelSpec, cols: Sequence[str],
     repeats: int = 10, seed: int = 42,

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import audit, metrics, neighbours, ranking, resampling, splits, stattests, weights
+from kinfold.operators import audit, metrics, neighbours, profiling, ranking, resampling, splits, stattests, weights
 from kinfold.operators import identity as ids
 from kinfold.plans import ordered
 
@@ -324,3 +324,76 @@ def test_lookup_lets_filters_and_columns_reach_the_scan(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(q,5)" in plan
     assert "b#" not in plan and out.count() == 97
+
+
+def test_rank_matrix_with_nulls(spark):
+    """Pairwise-complete Spearman over columns with different, equal and no nulls, against pandas."""
+    rng = np.random.default_rng(11)
+    n = 400
+    base = pd.DataFrame({c: rng.integers(0, 12, n).astype(float) for c in "abcd"})
+    base["c"] += base["a"]
+    base["e"] = base["b"] * 2 + rng.normal(size=n)
+    base.loc[base.index % 3 == 0, "a"] = np.nan
+    base.loc[base.index % 3 == 0, "b"] = np.nan
+    base.loc[base.index % 5 == 0, "d"] = np.nan
+    base["f"] = 1.0
+    df = spark.createDataFrame(base.astype(object).where(base.notna(), None).values.tolist(), ", ".join(f"{c} double" for c in base))
+    got = {(r["a"], r["b"]): (r["n"], r["rho"]) for r in profiling.rank_correlation_matrix(df, list(base.columns)).collect()}
+    assert len(got) == 15
+    for (a, b), (m, rho) in got.items():
+        both = base[[a, b]].dropna()
+        assert m == len(both)
+        if "f" in (a, b):
+            assert rho is None
+        else:
+            assert rho == pytest.approx(both[a].rank().corr(both[b].rank()), abs=1e-9)
+
+
+def test_encoded_features_have_no_nulls(spark):
+    df = spark.createDataFrame([(1.0, "b"), (None, "a"), (5.0, None), (9.0, "b")], "x double, c string")
+    got = sorted(tuple(r) for r in profiling.encoded_features(df, ["x"], ["c"]).collect())
+    assert got == [(1.0, 1.0), (5.0, -1.0), (5.0, 0.0), (9.0, 1.0)]
+
+
+def test_side_medians(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v)) for g in range(60) for v in rng.integers(0, 500, rng.integers(1, 40))]
+    df = spark.createDataFrame(rows, "g long, y double")
+    scores, sides = splits.balanced_group_candidates(df, "g", "y", candidates=7, test_fraction=0.25)
+    side = {}
+    for r in sides.collect():
+        side.setdefault(r["candidate"], {})[r["g"]] = r["is_test"]
+    got = {r["candidate"]: r for r in scores.collect()}
+    assert len(got) == 7
+    for c, of in side.items():
+        assert sum(of.values()) == 15
+        for flag, name in ((True, "test"), (False, "train")):
+            own = [v for g, v in rows if of[g] == flag]
+            assert got[c][f"median_{name}"] == pytest.approx(np.median(own)) and got[c][f"n_rows_{name}"] == len(own)
+            assert got[c][f"mean_{name}"] == pytest.approx(np.mean(own)) and got[c][f"std_{name}"] == pytest.approx(np.std(own))
+
+
+def test_pooled_intervals_match_plain_resampling(spark):
+    """Vector prefix sums over cells against one metric computation per replicate."""
+    rng = np.random.default_rng(6)
+    rows = [(int(g), int(rng.random() < 0.2 + 0.05 * (g % 8)), round(float(rng.random()), 1)) for g in range(12) for _ in range(30)]
+    df = spark.createDataFrame(rows, "g long, y int, p double")
+    got = {r["metric"]: r for r in resampling.pooled_ranking_intervals(df, "g", "y", "p", replicates=40).collect()}
+    times = {}
+    for r in resampling.group_multiplicities(df, "g", 40).collect():
+        times.setdefault(r["replicate"], {})[r["g"]] = r["times"]
+    auc, ap = [], []
+    for t in times.values():
+        flat = [(p, y) for g, y, p in rows for _ in range(t.get(g, 0))]
+        pos, neg = [p for p, y in flat if y], [p for p, y in flat if not y]
+        auc.append(np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]))
+        tp = fp = area = 0
+        for s in sorted({p for p, _ in flat}, reverse=True):
+            k = sum(p == s for p in pos)
+            tp, fp = tp + k, fp + sum(p == s for p in neg)
+            area += k / len(pos) * tp / (tp + fp)
+        ap.append(area)
+    for name, v in (("pooled_roc_auc", auc), ("pooled_pr_auc", ap)):
+        r = got[name]
+        assert r["valid_iterations"] == 40 and r["mean"] == pytest.approx(np.mean(v))
+        assert (r["ci_low"], r["ci_high"]) == pytest.approx(tuple(np.quantile(v, [0.025, 0.975])))
