@@ -61,8 +61,9 @@ class Cells:
 
     def __init__(self, pivots: np.ndarray, metric: str, regions: int):
         self.pivots, self.metric = pivots, metric
-        self.between = _distances(pivots, pivots, metric)
-        self.region = self.between[:, :max(1, regions)].argmin(axis=1)  # a region is named by one of the first pivots
+        # a region is named by one of the first pivots; with as many regions as pivots each is its own
+        self.region = np.arange(len(pivots)) if regions >= len(pivots) else np.concatenate([
+            _distances(pivots[i:i + 1024], pivots[:regions], metric).argmin(axis=1) for i in range(0, len(pivots), 1024)])
         self.low, self.high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
         self.near = np.full((len(pivots), 1), np.inf)
 
@@ -78,6 +79,13 @@ class Cells:
     def to(self, v: np.ndarray) -> np.ndarray:
         return _distances(v, self.pivots, self.metric)
 
+    def pieces(self, frames):
+        """The frames in parts whose distances to all pivots fit ``AT_ONCE``."""
+        step = max(1, AT_ONCE // len(self.pivots))
+        for pdf in frames:
+            for lo in range(0, len(pdf), step):
+                yield pdf.iloc[lo:lo + step]
+
     def first_radius(self, d: np.ndarray, want: int) -> np.ndarray:
         """An upper bound of the distance of each row's ``want``-th neighbour, from its nearest pivots."""
         few = min(NEAREST_PIVOTS, d.shape[1])
@@ -196,10 +204,9 @@ def probes_for(
         ref.select("ref_id", F.col(vec).alias("v")), "ref_id").select("q", "v")
 
     def places(frames):
-        for pdf in frames:
-            if len(pdf):
-                home, d = cells.to(_vectors(pdf["v"])).argmin(axis=1), cells.to(_vectors(pdf["q"]))
-                yield pd.DataFrame({"place": (d < d[np.arange(len(d)), home][:, None]).sum(axis=1) + 1})
+        for pdf in cells.pieces(frames):
+            home, d = cells.to(_vectors(pdf["v"])).argmin(axis=1), cells.to(_vectors(pdf["q"]))
+            yield pd.DataFrame({"place": (d < d[np.arange(len(d)), home][:, None]).sum(axis=1) + 1})
 
     # at most ``sample`` times k numbers
     at = [r["place"] for r in pairs.mapInPandas(places, "place long").collect()]
@@ -227,8 +234,8 @@ def knn_join(
     cells = _cells(ref, n, width, metric)
 
     def place(frames):
-        for pdf in frames:
-            d = cells.to(_vectors(pdf["v"])) if len(pdf) else np.zeros((0, len(cells.pivots)))
+        for pdf in cells.pieces(frames):
+            d = cells.to(_vectors(pdf["v"]))
             cell = d.argmin(axis=1)
             yield pdf.assign(cell=cell.astype("int32"), region=cells.region[cell].astype("int32"), pd=d[np.arange(len(cell)), cell])
 
@@ -254,24 +261,22 @@ def knn_join(
         T.StructField("dqs", T.ArrayType(T.DoubleType())), T.StructField("radius", T.DoubleType())])
 
     def own_cell(frames):
-        for pdf in frames:
-            if len(pdf):
-                d = cells.to(_vectors(pdf["v"]))
-                if probes is None:
-                    q, c, r = np.arange(len(d)), d.argmin(axis=1), cells.first_radius(d, want)
-                else:
-                    few = min(probes, d.shape[1])
-                    c = np.argpartition(d, few - 1, axis=1)[:, :few].ravel()
-                    q, r = np.repeat(np.arange(len(d)), few), np.full(len(d), np.inf)
-                yield grouped(pdf, q, c, d, r)
+        for pdf in cells.pieces(frames):
+            d = cells.to(_vectors(pdf["v"]))
+            if probes is None:
+                q, c, r = np.arange(len(d)), d.argmin(axis=1), cells.first_radius(d, want)
+            else:
+                few = min(probes, d.shape[1])
+                c = np.argpartition(d, few - 1, axis=1)[:, :few].ravel()
+                q, r = np.repeat(np.arange(len(d)), few), np.full(len(d), np.inf)
+            yield grouped(pdf, q, c, d, r)
 
     def other_cells(frames):
-        for pdf in frames:
-            if len(pdf):
-                d, r = cells.to(_vectors(pdf["v"])), pdf["radius"].to_numpy(dtype=float)
-                open_ = cells.meets(d, r)
-                open_[np.arange(len(d)), d.argmin(axis=1)] = False
-                yield grouped(pdf, *np.nonzero(open_), d, r)
+        for pdf in cells.pieces(frames):
+            d, r = cells.to(_vectors(pdf["v"])), pdf["radius"].to_numpy(dtype=float)
+            open_ = cells.meets(d, r)
+            open_[np.arange(len(d)), d.argmin(axis=1)] = False
+            yield grouped(pdf, *np.nonzero(open_), d, r)
 
     visits = cut_lineage(query.mapInPandas(own_cell, visit))
     near = _meet(visits, query, placed, cells, query_id, want, counter)

@@ -249,11 +249,11 @@ def _gram(classes: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     """(i, j, sum) of the products of centred ranks over the task's rows; a row is an array of (column, ranks)."""
     k, n = len(classes), max(classes) + 1
     of = np.array(classes)
-    total, some = np.zeros((k, k)), False
+    total, some, step = np.zeros((k, k)), False, max(1, (1 << 22) // (k * n))
     for batch in batches:
         lists = batch.column(0)
-        for lo in range(0, len(lists), 4096):
-            part = lists.slice(lo, 4096)
+        for lo in range(0, len(lists), step):
+            part = lists.slice(lo, step)
             row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy())
             flat = part.flatten()
             ranks = flat.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
