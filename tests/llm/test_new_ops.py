@@ -233,3 +233,20 @@ def test_sketch_estimates(spark, sf_dir):
     r = two.select(near.alias("near"), fingerprint.containment(F.col("b"), F.col("a"), near).alias("whole"),
                    fingerprint.containment(F.col("a"), F.col("b"), near).alias("part"), F.size(fingerprint.merged(F.col("a"), F.col("b"))).alias("n")).first()
     assert abs(r.near - 2 / 3) < 0.1 and r.whole > 0.85 and abs(r.part - 2 / 3) < 0.1 and r.n == 256
+
+
+def test_stages_without_rows(spark, empty, sf_dir):
+    """Empty documents, benchmark and conversations go through the stages and queries that had no such test."""
+    from kinfold.llm import chat, decontaminate
+    import corpus_pipeline
+
+    items = spark.createDataFrame([], "item_id long, text string")
+    some = spark.createDataFrame([(1, "a few words of a text")], "doc_id long, text string")
+    r = decontaminate.report(some, items).first()
+    assert (r.n_hit, r.n_items, r.contaminated) == (0, 0, False)
+    talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.chat_report(talks).count() == 0
+    docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.count() == 0
