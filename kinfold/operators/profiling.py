@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold.functions.special import student_t_two_sided
-from kinfold.plans.ordered import average_ranks, lookup, prefix_sums, quantiles
+from kinfold.plans.ordered import lookup, prefix_sums, quantiles
 from kinfold.plans.session import cut_lineage
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -219,12 +219,17 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> D
     """Spearman correlation over rows where both are present.
 
     Equal (a, b) pairs are collapsed first and the ranks come from two bucketed
-    sorts, so no task sees a whole column.
+    sorts, so no task sees a whole column.  The pairs are stored: ranks find their
+    rows by value, and a mean worked out again may differ in its last bit.
     """
-    ok = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    pairs = ok.groupBy(*by, a, b).agg(F.count("*").alias("w"))
-    ra = average_ranks(ok, a, by).select(*by, a, F.col("rank").alias("ra"))
-    rb = average_ranks(ok, b, by).select(*by, b, F.col("rank").alias("rb"))
+    by = list(by)
+    pairs = cut_lineage(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count("*").alias("w")))
+
+    def ranked(c: str, name: str) -> DataFrame:
+        sums = prefix_sums(pairs, c, {"__n": F.col("w")}, by)
+        return sums.select(*by, c, (F.col("__n_before") + (F.col("__n") + 1) / 2).alias(name))
+
+    ra, rb = ranked(a, "ra"), ranked(b, "rb")
     j = pairs.join(ra, [*by, a]).join(rb, [*by, b])
     w, x, y = F.col("w"), F.col("ra"), F.col("rb")
     mid = (F.sum(w) + 1) / 2  # mean rank

@@ -162,7 +162,9 @@ def a18(spark, sf):
     return rounded(prof.rank_correlation_matrix(frame(spark, sf, SPARSE), NUMBERS))
 
 
-PER_GROUP = "SELECT o_custkey, avg(o_totalprice) AS mean_price, count(*) AS n_orders FROM {orders} GROUP BY 1"
+# Prices are whole cents: a sum of integers gives equal means to groups of equal orders, whatever the order of adding.
+PER_GROUP = """SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (100 * count(o_totalprice)) AS mean_price,
+ count(*) AS n_orders FROM {orders} GROUP BY 1"""
 
 
 @query("a19_rank_correlation", f"WITH g AS ({PER_GROUP}) SELECT n, rho FROM ({sql_spearman('g', 'mean_price', 'n_orders')})")
