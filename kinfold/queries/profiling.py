@@ -183,7 +183,9 @@ def a19p(spark, sf):
     return rounded(prof.correlation_p_value(rho))
 
 
-SCORED_GROUPS = "SELECT l_suppkey, avg(l_tax) * 12 AS v, count(*) AS w FROM {lineitem} WHERE l_suppkey % 4 <> 0 GROUP BY 1 " \
+# Taxes are whole hundredths: their integer sum tells a mean of exactly the limit from one below it.
+SCORED_GROUPS = "SELECT l_suppkey, CAST(12 * sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / (100 * count(l_tax)) AS v, " \
+    "count(*) AS w FROM {lineitem} WHERE l_suppkey % 4 <> 0 GROUP BY 1 " \
     "UNION ALL SELECT l_suppkey, NULL, count(*) FROM {lineitem} WHERE l_suppkey % 4 = 0 GROUP BY 1"
 
 
