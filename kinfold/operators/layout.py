@@ -39,6 +39,8 @@ METADATA_WORDS = (
 HEADER_MARGIN, FOOTER_MARGIN, WIDE_BLOCK, TOP_BAND = 0.14, 0.15, 0.65, 0.25
 MIN_IOU, MIN_OVERLAP = 0.02, 0.20
 GRID = 16
+# Up to so many blocks a page is matched without the grid.
+PAGE_BLOCKS = 64
 
 
 def _overlap(p: str, q: str) -> Column:
@@ -53,13 +55,13 @@ def _area(p: str = "") -> Column:
     )
 
 
-def _cells(df: DataFrame, width: float, height: float) -> DataFrame:
-    """One row per grid cell a box touches."""
+def _cells(df: DataFrame, width: float, height: float, p: str = "") -> DataFrame:
+    """One row per grid cell a box (its columns begin with ``p``) touches."""
     at = lambda c, size: F.greatest(F.lit(0), F.least(
         F.lit(GRID - 1), F.floor(F.col(c) * GRID / size).cast("int")))
     return df.withColumn(
-        "__cx", F.explode(F.sequence(at("x0", width), at("x1", width)))
-    ).withColumn("__cy", F.explode(F.sequence(at("y0", height), at("y1", height))))
+        "__cx", F.explode(F.sequence(at(f"{p}x0", width), at(f"{p}x1", width)))
+    ).withColumn("__cy", F.explode(F.sequence(at(f"{p}y0", height), at(f"{p}y1", height))))
 
 
 def match_regions(
@@ -67,15 +69,22 @@ def match_regions(
 ) -> DataFrame:
     """Each block with its best region (IoU, then overlap share, then centre inside), if good enough.
 
-    Only boxes that share a grid cell of the page can overlap, so the join key is
-    (doc, page, cell) and far-apart pairs are never formed.
+    A page of few blocks (``PAGE_BLOCKS``) is matched as a whole, with one row per block and region.  On
+    fuller pages the join key is (doc, page, cell) of a grid, because only boxes that share a cell can
+    overlap; rows per cell outgrow every size estimate, so that join is told not to broadcast.
     """
-    b = _cells(blocks.select("doc", "page", "block_id", "x0", "y0", "x1", "y1"), width, height)
-    r = _cells(regions, width, height).select(
-        "doc", "page", "__cx", "__cy", "region_id", "label", "score",
-        *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")],
-    )
-    pair = b.join(r, ["doc", "page", "__cx", "__cy"])
+    keys = ["doc", "page", "block_id"]
+    b = blocks.select(*keys, "x0", "y0", "x1", "y1")
+    r = regions.select(
+        "doc", "page", "region_id", "label", "score", *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
+    pages = b.groupBy("doc", "page").agg(F.count("*").alias("n"))
+    full = pages.where(F.col("n") > PAGE_BLOCKS).drop("n")
+    pair = b.join(pages.where(F.col("n") <= PAGE_BLOCKS).drop("n"), ["doc", "page"]).join(r.hint("merge"), ["doc", "page"])
+    if not full.isEmpty():
+        cell = ["doc", "page", "__cx", "__cy"]
+        placed = _cells(r.join(full, ["doc", "page"], "left_semi"), width, height, "r")
+        crowded = _cells(b.join(full, ["doc", "page"], "left_semi"), width, height)
+        pair = pair.unionByName(crowded.join(placed.hint("merge"), cell).drop("__cx", "__cy"))
     inter = _overlap("", "r")
     iou = F.coalesce(F.try_divide(inter, _area() + _area("r") - inter), F.lit(0.0))
     share = F.coalesce(F.try_divide(inter, _area()), F.lit(0.0))
@@ -85,13 +94,13 @@ def match_regions(
         iou.alias("iou"), share.alias("share"), inside.cast("int").alias("inside"),
         (-F.col("region_id")).alias("first"),
     )
-    best = pair.groupBy("doc", "page", "block_id").agg(
+    # a pair that doesn't touch is below every limit and below every pair that does
+    best = pair.where((iou > 0) | (share > 0) | inside).groupBy(*keys).agg(
         F.max(F.struct(rank.alias("k"), F.col("label"), F.col("score"))).alias("m")
     ).where(
         (F.col("m.k.iou") >= MIN_IOU) | (F.col("m.k.share") >= MIN_OVERLAP)
         | (F.col("m.k.inside") == 1)
     )
-    keys = ["doc", "page", "block_id"]
     return blocks.join(best, keys, "left").select(
         *blocks.columns, F.col("m.label").alias("region_label"),
         F.col("m.score").alias("region_score"), F.col("m.k.iou").alias("iou"),
