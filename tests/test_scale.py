@@ -4,7 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from kinfold.operators import layout
+from kinfold.plans.ordered import lookup
+from kinfold.plans.session import cut_lineage
 
 
 def test_match_regions_on_sparse_and_full_pages(spark):
@@ -32,3 +35,18 @@ def test_match_regions_on_sparse_and_full_pages(spark):
     assert got == {k[:3]: best(k) for k in blocks}
     sparse = layout.match_regions(b.where("doc = 2"), r, 600.0, 800.0)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in sparse
+
+
+def test_a_lookup_table_that_grows_is_not_broadcast(spark):
+    table = cut_lineage(spark.range(1000).select("id", F.array_repeat(F.lit(True), 50).alias("sides")))
+    out = lookup(spark.range(5000).select((F.col("id") % 1200).alias("id"), F.col("id").alias("row")), table, ["id"], grows=True)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("sides is not null").count() == 1000 * 4 + 200
+
+
+def test_markdown_files_are_read_once(spark, sf_dir):
+    out = entry.queries()["s8_markdown_lines"](spark, sf_dir)
+    assert "Format: Text" not in out._jdf.queryExecution().toString()  # the files were read before, into one table
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = docs.select("doc_id", F.size(F.split("text", "\r\n|\r|\n")).cast("long").alias("n_lines"), F.md5("text").alias("digest"))
+    assert sorted(out.select("doc_id", "n_lines", "digest").collect()) == sorted(want.collect())
