@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kinfold.operators import layout
+from kinfold.operators import layout, neighbours
 from kinfold.plans.ordered import lookup
 from kinfold.plans.session import cut_lineage
 
@@ -50,3 +52,31 @@ def test_markdown_files_are_read_once(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = docs.select("doc_id", F.size(F.split("text", "\r\n|\r|\n")).cast("long").alias("n_lines"), F.md5("text").alias("digest"))
     assert sorted(out.select("doc_id", "n_lines", "digest").collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+def test_neighbours_of_many_dimensions_are_screened_without_loss(spark, metric):
+    """Vectors far from the origin, near copies, ties and a huge outlier; visits carry no list of cells."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 24)) + 1e4
+    base[100:130] = base[7]
+    base[130:160] = base[8] + 1e-7 * rng.normal(size=(30, 24))
+    base[160:200] = np.round(base[160:200])
+    base[399] = 1e12
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(base)], "ref_id long, v array<double>, ref_label int")
+    near = neighbours.knn_join(df.select(F.col("ref_id").alias("qid"), "v"), df, "qid", "v", 5, metric, exclude_self=True)
+    assert "dqs" not in near._jdf.queryExecution().toString()
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = r["ref_id"]
+    d = neighbours._distances(base, base, metric)
+    for i in range(400):
+        want = sorted((j for j in range(400) if j != i), key=lambda j: (d[i, j], j))[:5]
+        assert [got[i][k] for k in range(1, 6)] == want
+
+
+def test_blocks_of_neighbours_grow_with_the_rows(spark):
+    """Each vector travels to rows / block others, so a fixed block would send the square of the rows."""
+    small, large = neighbours._block(2_000, spark), neighbours._block(10**8, spark)
+    assert small == neighbours.BLOCK_ROWS and large == neighbours.MOST_ROWS
+    assert small < neighbours._block(20_000, spark) < large
