@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kinfold.operators import layout, neighbours
+from kinfold.operators import layout, neighbours, resampling
 from kinfold.plans.ordered import lookup
 from kinfold.plans.session import cut_lineage
 
@@ -80,3 +80,31 @@ def test_blocks_of_neighbours_grow_with_the_rows(spark):
     small, large = neighbours._block(2_000, spark), neighbours._block(10**8, spark)
     assert small == neighbours.BLOCK_ROWS and large == neighbours.MOST_ROWS
     assert small < neighbours._block(20_000, spark) < large
+
+
+@pytest.mark.parametrize("groups, few", [(60, True), (60, False)])
+def test_pooled_intervals_add_groups_up_to_few_scores(spark, monkeypatch, groups, few):
+    """Both ways give the same intervals; with few scores no cell carries its group's replicates."""
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(rng.random() < 0.3 + 0.01 * g), int(rng.integers(0, 6)) / 8) for g in range(groups) for _ in range(40)]
+    rows += [(0, int(rng.random() < 0.5), s / 8) for s in range(6) for _ in range(50)]  # a large group
+    df = spark.createDataFrame([*rows, (None, 1, 0.5)], "g long, y int, p double")
+    carried = []
+    plain = resampling.lookup
+    monkeypatch.setattr(resampling, "lookup", lambda *a, **k: carried.append(1) or plain(*a, **k))
+    if not few:
+        monkeypatch.setattr(resampling, "HELD_BYTES", 0)
+    got = {r["metric"]: r for r in resampling.pooled_ranking_intervals(df, "g", "y", "p", replicates=25).collect()}
+    assert bool(carried) is not few
+    times = np.zeros((25, groups), int)
+    for r in resampling.group_multiplicities(df, "g", 25).collect():
+        times[r["replicate"], r["g"]] = r["times"]
+    g, y, p = (np.array(c) for c in zip(*rows))
+    auc = []
+    for t in times:
+        w, levels = t[g], np.unique(p)
+        pos, neg = (np.array([w[(p == s) & (y == c)].sum() for s in levels]) for c in (1, 0))
+        auc.append((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
+    r = got["pooled_roc_auc"]
+    assert r["valid_iterations"] == 25 and r["n"] == groups and r["mean"] == pytest.approx(np.mean(auc))
+    assert (r["ci_low"], r["ci_high"]) == pytest.approx(tuple(np.quantile(auc, [0.025, 0.975])))
