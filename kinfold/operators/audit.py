@@ -30,13 +30,15 @@ def leave_out_quantiles(
     group's own values that lie below are those with at most k rest values under
     them; adding their count to k gives the position in the full order, which one
     as-of sweep turns into the value.  No group is ever scanned against the rest.
+
+    A quantile of the rest lies between the k-th value of all rows and the (k + group size)-th.  Own values before the
+    least of these places over all groups count, those after the greatest don't; only the rows between them, about twice the
+    largest group and its ties, are sorted by group.
     """
     long = _long(df.where(F.col(group).isNotNull()), cols, [group]).where(F.col("value").isNotNull())
     one = F.lit(1).cast("bigint")
     # each is read several times below: sorted once, kept in the shared folder
     total = cut_lineage(prefix_sums(long, "value", {"__t": one}, ["feature"]))
-    own = cut_lineage(prefix_sums(long, "value", {"__g": one}, ["feature", group]))
-    below = own.join(total.select("feature", "value", "__t_before", "__t_total"), ["feature", "value"])
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
     sizes = total.groupBy("feature").agg(F.max("__t_total").alias("__t_total"))
     names = F.array(*[F.lit(c) for c in cols])
@@ -44,19 +46,35 @@ def leave_out_quantiles(
     shell = groups.select(group, F.explode(names).alias("feature")).join(
         F.broadcast(sizes), "feature"  # one row per feature
     ).join(
-        own.groupBy("feature", group).agg(F.max("__g_total").alias("g_n")), ["feature", group], "left"
+        long.groupBy("feature", group).agg(F.count("*").alias("g_n")), ["feature", group], "left"
     ).withColumn("rest", F.col("__t_total") - F.coalesce("g_n", F.lit(0))).where(F.col("rest") > 0)
     at = lambda q: F.lit(float(q)) * (F.col("rest") - 1)
     wanted = [(f"q{i}", side, f, q) for i, q in enumerate(probs) for side, f in (("lo", F.floor), ("hi", F.ceil))]
-    shell = shell.withColumn("__k", F.array(*[f(at(q)).cast("bigint") for _, _, f, q in wanted]))
+    shell = cut_lineage(shell.withColumn("__k", F.array(*[f(at(q)).cast("bigint") for _, _, f, q in wanted])))
+    # the first and last value in question, one row per feature
+    ends = shell.groupBy("feature").agg(*[
+        F.struct(F.min(F.col("__k")[2 * i]).alias("lo"), F.max(F.col("__k")[2 * i + 1] + F.coalesce("g_n", F.lit(0))).alias("hi")).alias(f"e{i}")
+        for i in range(len(probs))])
+    ends = cut_lineage(total.join(F.broadcast(ends), "feature").groupBy("feature").agg(F.array(*[
+        F.struct(*[F.max(F.when(F.col("__t_before") <= F.col(f"e{i}.{x}"), F.col("value"))).alias(x) for x in ("lo", "hi")])
+        for i in range(len(probs))]).alias("__e")))
+    marked = long.join(F.broadcast(ends), "feature")
+    sure = marked.groupBy("feature", group).agg(F.array(*[
+        F.sum((F.col("value") < F.col("__e")[i]["lo"]).cast("long")) for i in range(len(probs))]).alias("__sure"))
+    shell = shell.join(sure, ["feature", group], "left")
+    between = marked.select("feature", group, "value", F.posexplode("__e").alias("__q", "e")).where(
+        "value >= e.lo and value <= e.hi").select("feature", group, "value", "__q")
+    own = cut_lineage(prefix_sums(between, "value", {"__g": one}, ["feature", group, "__q"]))
+    below = own.join(total.select("feature", "value", "__t_before"), ["feature", "value"])
     # own values under each wanted rank of the rest: one conditional sum a rank, combined before the shuffle
-    rest_below = F.col("__t_before") - F.col("__g_before")
-    ranked = lookup(below.select("feature", group, "value", "__g", rest_below.alias("__r")),
-                    shell.select("feature", group, "__k"), ["feature", group], "inner", ["value"])
-    counts = ranked.groupBy("feature", group).agg(F.array(*[
-        F.coalesce(F.sum(F.when(F.col("__r") <= F.col("__k")[i], F.col("__g"))), F.lit(0)) for i in range(len(wanted))]).alias("__c"))
+    rest_below = F.col("__t_before") - F.col("__g_before") - F.col("__sure")[F.col("__q")]
+    ranked = lookup(below.select("feature", group, "value", "__q", "__g", "__t_before", "__g_before"),
+                    shell.select("feature", group, "__k", "__sure"), ["feature", group], "inner", ["value"])
+    counts = ranked.withColumn("__r", rest_below).groupBy("feature", group).agg(F.array(*[
+        F.coalesce(F.sum(F.when((F.col("__q") == i // 2) & (F.col("__r") <= F.col("__k")[i]), F.col("__g"))), F.lit(0))
+        for i in range(len(wanted))]).alias("__c"))
     placed = shell.join(counts, ["feature", group], "left")
-    place = lambda i: F.col("__k")[i] + F.coalesce(F.col("__c")[i], F.lit(0))
+    place = lambda i: F.col("__k")[i] + F.coalesce(F.col("__sure")[i // 2], F.lit(0)) + F.coalesce(F.col("__c")[i], F.lit(0))
     shift = placed.select("feature", group, "__t_total", F.inline(F.array(*[
         F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), (at(q) - F.floor(at(q))).alias("part"), place(i).alias("pos"))
         for i, (name, side, _, q) in enumerate(wanted)])))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kinfold.operators import layout, neighbours, resampling
+from kinfold.operators import audit, layout, neighbours, resampling
 from kinfold.plans.ordered import lookup
 from kinfold.plans.session import cut_lineage
 
@@ -108,3 +108,25 @@ def test_pooled_intervals_add_groups_up_to_few_scores(spark, monkeypatch, groups
     r = got["pooled_roc_auc"]
     assert r["valid_iterations"] == 25 and r["n"] == groups and r["mean"] == pytest.approx(np.mean(auc))
     assert (r["ci_low"], r["ci_high"]) == pytest.approx(tuple(np.quantile(auc, [0.025, 0.975])))
+
+
+def test_leave_out_quantiles_sort_only_the_values_in_question(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(v), int(v) % 5 if g % 3 else None) for g in range(80) for v in rng.integers(0, 4000, 50)]
+    rows += [(3, None, 1), (81, None, None)]
+    df = spark.createDataFrame(rows, "g long, v double, few int")
+    sorted_by_group = []
+    plain = audit.prefix_sums
+
+    def counted(d, order, sums, by=(), *rest):
+        if "g" in by:
+            sorted_by_group.append(d.count())
+        return plain(d, order, sums, by, *rest)
+
+    monkeypatch.setattr(audit, "prefix_sums", counted)
+    got = {(r["feature"], r["g"]): (r["q0"], r["q1"], r["q2"]) for r in audit.leave_out_quantiles(df, "g", ["v", "few"]).collect()}
+    assert sum(sorted_by_group) < len(rows)  # of twice as many values
+    for i, c in ((1, "v"), (2, "few")):
+        for g in {r[0] for r in rows}:
+            rest = [r[i] for r in rows if r[0] != g and r[i] is not None]
+            assert got[c, g] == pytest.approx(tuple(np.quantile(rest, [0.25, 0.5, 0.75])))
