@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold.functions.identity import canonical_citation, canonical_doi
 from kinfold.plans.ordered import lookup
+from kinfold.plans.session import cut_lineage
 
 UNKNOWN_GROUP = "UNKNOWN_PAPER"
+#: Keys that are sent to every task as one table; more are joined by a shuffle.
+FEW_KEYS = 20_000
 
 
 def fill_group(df: DataFrame, group: str, label: str = UNKNOWN_GROUP) -> DataFrame:
@@ -65,22 +68,27 @@ def group_rare(
 def resolve_aliases(
     df: DataFrame, key: str, doi: str, citation: str, row_id: str, out: str = "entity"
 ) -> DataFrame:
-    """Map every old key to one entity: through a shared DOI, else its first citation."""
-    art = df.select(
-        F.coalesce(F.col(doi), F.col(citation)).alias("__k"),
-        F.coalesce(canonical_citation(F.col(citation)), F.lit("none")).alias("__a"),
-        F.col(row_id).alias("__r"),
-    ).withColumn("__d", canonical_doi(F.col("__k")))
+    """Map every old key to one entity: through a shared DOI, else its first citation.
+
+    Texts are read once per distinct (DOI, citation) and per distinct key, not once per row; rows only look up their key.
+    """
+    art = df.groupBy(F.col(doi).alias("__doi"), F.col(citation).alias("__cit")).agg(F.min(row_id).alias("__r")).select(
+        F.coalesce("__doi", "__cit").alias("__k"),
+        F.coalesce(canonical_citation(F.col("__cit")), F.lit("none")).alias("__a"),
+        "__r",
+    )
+    art = cut_lineage(art.withColumn("__d", canonical_doi(F.col("__k"))))
     by_key = art.groupBy("__k").agg(F.min_by("__a", "__r").alias("__key_article"))
     by_doi = (
         art.where(F.col("__d").isNotNull()).groupBy("__d")
         .agg(F.min_by("__a", "__r").alias("__doi_article"))
     )
-    keyed = df.withColumn("__k", F.col(key)).withColumn("__d", canonical_doi(F.col(key)))
-    found = lookup(lookup(keyed, by_doi, ["__d"]), by_key, ["__k"])
-    return found.withColumn(
-        out, F.coalesce("__doi_article", "__key_article", key)
-    ).drop("__k", "__d", "__doi_article", "__key_article")
+    keys = df.select(F.col(key).alias("__k")).distinct().withColumn("__d", canonical_doi(F.col("__k")))
+    named = cut_lineage(lookup(lookup(keys, by_doi, ["__d"]), by_key, ["__k"]).select(
+        "__k", F.coalesce("__doi_article", "__key_article", "__k").alias(out)))
+    if named.count() <= FEW_KEYS:
+        return df.join(F.broadcast(named), F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
+    return lookup(df, named.withColumnRenamed("__k", key), [key], grows=True)
 
 
 def split_contamination(df: DataFrame, entity: str, fold: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kinfold.operators import audit, layout, neighbours, resampling
+from kinfold.operators import audit, identity, layout, neighbours, resampling
 from kinfold.plans.ordered import lookup
 from kinfold.plans.session import cut_lineage
 
@@ -130,3 +130,28 @@ def test_leave_out_quantiles_sort_only_the_values_in_question(spark, monkeypatch
         for g in {r[0] for r in rows}:
             rest = [r[i] for r in rows if r[0] != g and r[i] is not None]
             assert got[c, g] == pytest.approx(tuple(np.quantile(rest, [0.25, 0.5, 0.75])))
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_aliases_read_each_text_once(spark, monkeypatch, few):
+    """Citations and DOIs are cleaned on one row per distinct text; copies of a hot key only look their entity up."""
+    rows = [(f"r{i:04}", ("https://doi.org/10.1/A.%d" % (i % 3)) if i % 4 else None, "Smith, J. (20%02d)" % (i % 5), None if i % 50 == 0 else f"key {i % 6}")
+            for i in range(400)]
+    rows = [(r, d, c, k if i % 7 else d) for i, (r, d, c, k) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "row string, doi string, cit string, k string")
+    read = []
+    plain = identity.canonical_citation
+    monkeypatch.setattr(identity, "FEW_KEYS", few)
+    monkeypatch.setattr(identity, "canonical_citation", lambda c: read.append(1) or plain(c))
+    out = identity.resolve_aliases(df, "k", "doi", "cit", "row")
+    final = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in final and read
+    clean = lambda s: " ".join("".join(ch if ch.isalnum() else " " for ch in s.lower()).split())
+    bare = lambda s: s.lower().replace("https://doi.org/", "").rstrip("/. ") if s else None
+    by_key, by_doi = {}, {}
+    for r, d, c, _ in rows:
+        key = d or c
+        by_key.setdefault(key, clean(c))
+        by_doi.setdefault(bare(key), clean(c))
+    want = {r: by_doi.get(bare(k)) or by_key.get(k) or k for r, _, _, k in rows}
+    assert {x["row"]: x["entity"] for x in out.collect()} == want and out.columns == [*df.columns, "entity"]
