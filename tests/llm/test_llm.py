@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -299,6 +300,25 @@ def test_line_dedup(spark, docs):
     assert left.columns == docs.columns and {2, 3} & {r.doc_id for r in left.collect()} == set()
 
 
+def test_line_texts_leave_a_task_only_if_wanted(spark):
+    text = [(f"number {i} of the lines that stand here\nshared line of all the texts {i % 3}",) for i in range(200)]
+    df = spark.createDataFrame(text, "text string").coalesce(1)
+    found = [b for r in df.toArrow().to_batches() for b in line_dedup._lines([pa.record_batch(
+        [pa.array(range(r.num_rows)), pa.array([0] * r.num_rows), r.column(0)], names=["doc", "tie", "text"])])]
+    keys = sorted({k for b in found for k in b.column(0).to_pylist()})
+    assert len(keys) == 203
+    assert [len(x) for b in found for x in b.column(5).to_pylist() if x] == [2 * line_dedup.SLOTS] * 203
+    ask = [keys[0], keys[100], keys[-1]]
+    bits = line_dedup.wanted_bits(spark.createDataFrame([(k,) for k in ask], "key long"))
+    assert len(bits) == 1 << 23 and np.unpackbits(bits).sum() == 3
+    wanted = spark.sparkContext.broadcast(bits)
+    sent = df.toArrow().to_batches()
+    got = [k for r in sent for b in line_dedup._texts(wanted, [pa.record_batch([r.column(0)], names=["text"])]) for k in b.column(0).to_pylist()]
+    assert set(got) == set(ask)
+    none = line_dedup.wanted_bits(spark.createDataFrame([], "key long"))
+    assert not none.any()
+
+
 def test_short_lines(spark):
     texts = {
         1: "Home\nLog in\nContact us\n\nabcdefgh\nabcdefghijk", 2: "Home\n home \nlog in\nContact us!\nHom\n\n", 3: "aaaaaaaaa\nabcdefghijkl",
