@@ -14,7 +14,7 @@ from kinfold.functions.categories import EXTRACTED_FACILITY, EXTRACTED_GEOMETRY,
 from kinfold.functions.identity import doi_address
 from kinfold.functions.numeric import NO_OUTCOME, YES_OUTCOME
 from kinfold.functions.text import (
-    MISSING_FIELDS, contains_any, count_hits, first_or_null, let, normalize_text, starts_with_any,
+    MISSING_FIELDS, SPACE_CHARS, contains_any, count_hits, first_or_null, let, normalize_text, starts_with_any,
 )
 
 # Section, keyword and phrase lists of the excerpt selection.
@@ -257,8 +257,11 @@ def sanitize_gravity(rows: Column) -> Column:
 
 
 def field_text(c: Column) -> Column:
-    s = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-    return F.when(~F.lower(s).isin(*MISSING_FIELDS), s)
+    """White space squeezed to single spaces; NULL if nothing or a placeholder is left."""
+    blanks = "".join(x for x in SPACE_CHARS if x not in "\x1c\x1d\x1e\x1f")
+    flat = F.trim(F.translate(c, blanks, " " * len(blanks)))
+    one = F.when(flat.contains("  "), F.regexp_replace(flat, " +", " ")).otherwise(flat)
+    return let(one, lambda s: F.when(~F.lower(s).isin(*MISSING_FIELDS), s))
 
 
 def outcome_word(c: Column) -> Column:
@@ -268,7 +271,9 @@ def outcome_word(c: Column) -> Column:
 
 def normalize_rows(df: DataFrame, keep: Sequence[str], geometry=EXTRACTED_GEOMETRY) -> DataFrame:
     """Typed, canonical extracted rows from loosely typed ones (all fields text)."""
-    cols = {f: field_text(F.col(f)) for f in ROW_FIELDS}
+    # by themselves first: most fields are read several times below
+    df = df.select(*keep, *[field_text(F.col(f)).alias(f) for f in ROW_FIELDS])
+    cols = {f: F.col(f) for f in ROW_FIELDS}
     cols["geometry_of_sample"] = canonical(
         cols["geometry_of_sample"], geometry, cols["geometry_of_sample"]
     )

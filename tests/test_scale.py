@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kinfold.operators import audit, identity, layout, neighbours, resampling
+from kinfold.operators import audit, documents as docs, identity, layout, neighbours, resampling
 from kinfold.plans.ordered import lookup
 from kinfold.plans.session import cut_lineage
 
@@ -155,3 +155,19 @@ def test_aliases_read_each_text_once(spark, monkeypatch, few):
         by_doi.setdefault(bare(key), clean(c))
     want = {r: by_doi.get(bare(k)) or by_key.get(k) or k for r, _, _, k in rows}
     assert {x["row"]: x["entity"] for x in out.collect()} == want and out.columns == [*df.columns, "entity"]
+
+
+@pytest.mark.parametrize("name, source", [("x4_chunk_types", "documents"), ("x11_normalize_rows", "part"), ("x12_unique_rows", "part")])
+def test_texts_of_a_table_with_one_split_are_read_by_many_tasks(spark, sf_dir, monkeypatch, name, source):
+    monkeypatch.setattr("kinfold.queries.documents.DOCS_A_TASK", 20)
+    monkeypatch.setattr("kinfold.queries.documents.PAYLOADS_A_TASK", 20)
+    n = spark.read.parquet(f"{sf_dir}/{source}.parquet").count()
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-n // 20)}), REPARTITION_BY_NUM" in plan
+
+
+def test_fields_keep_their_meaning(spark):
+    cells = [None, "", " N/A ", "a\u00a0 \t b", "\u3000x\u2028\n y ", "a\x1cb", "...", "  Not   stated", "plain"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = [r.v for r in df.select("i", docs.field_text(F.col("c")).alias("v")).orderBy("i").collect()]
+    assert got == [None, None, None, "a b", "x y", "a\x1cb", None, None, "plain"]
