@@ -37,18 +37,29 @@ def entity_id(doi: Column, citation: Column) -> Column:
 
     A row with neither gets ``article::nan``, so such rows form one cluster.
     """
-    fallback = F.concat(F.lit("article::"), F.coalesce(canonical_citation(citation), F.lit("nan")))
-    return F.coalesce(canonical_doi(doi), fallback)
+    return F.coalesce(canonical_doi(doi), cited_entity(citation))
 
 
-def short_label(citation: Column, entity: Column) -> Column:
-    """``Surname 2019 [tail of the id]`` for reports."""
-    c = F.coalesce(citation, entity)
+def cited_entity(citation: Column) -> Column:
+    """The id of a row that has no DOI."""
+    return F.concat(F.lit("article::"), F.coalesce(canonical_citation(citation), F.lit("nan")))
+
+
+def label_head(c: Column) -> Column:
+    """``Surname 2019`` of a citation."""
     first = F.substring(F.trim(F.element_at(F.split(c, "[,.]"), 1)), 1, 18)
     found = first_or_null(c, r"\((\d{4})\)|\b(?:19|20)\d{2}\b")
     year = F.coalesce(F.translate(found, "()", ""), F.lit("????"))
-    tail = F.right(entity, F.lit(12))
-    return F.concat(first, F.lit(" "), year, F.lit(" ["), tail, F.lit("]"))
+    return F.concat(first, F.lit(" "), year)
+
+
+def label_with_tail(head: Column, entity: Column) -> Column:
+    return F.concat(head, F.lit(" ["), F.right(entity, F.lit(12)), F.lit("]"))
+
+
+def short_label(citation: Column, entity: Column) -> Column:
+    """``Surname 2019 [tail of the id]`` for reports."""
+    return label_with_tail(label_head(F.coalesce(citation, entity)), entity)
 
 
 def numbered_label(code: Column, name: Column) -> Column:

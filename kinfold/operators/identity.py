@@ -29,7 +29,8 @@ def drop_exact_duplicates(
     """One row per distinct key (NULLs equal); conflicting labels stay if the label is a key.
 
     ``first_by`` picks the kept row.  It is a min over a struct, so copies of a
-    hot row are combined before the shuffle and never gathered.
+    hot row are combined before the shuffle and never gathered.  Spark sorts for that by all
+    keys; their hash comes first, so few comparisons go further.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
@@ -37,7 +38,7 @@ def drop_exact_duplicates(
         return df.select(*keys).distinct()
     if first_by is None:
         return df.dropDuplicates(keys)
-    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), first_by).alias("__r"))
+    kept = df.groupBy(F.xxhash64(*keys).alias("__h"), *keys).agg(F.min_by(F.struct(*rest), first_by).alias("__r"))
     return kept.select(*[F.col(f"__r.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
@@ -52,14 +53,22 @@ def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def group_rare(
-    df: DataFrame, col: str, min_count: int = 10, label: str = "Other / Rare", among: DataFrame | None = None
+    df: DataFrame, col: str, min_count: int = 10, label: str = "Other / Rare", among: DataFrame | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Categories seen fewer than ``min_count`` times (in ``among``, else in ``df``) get one label; NULL counts as a category."""
-    kept = (
-        (df if among is None else among).groupBy(col).count().where(F.col("count") >= min_count)
-        .select(col, F.lit(True).alias("__kept"))
-    )
-    out = lookup(df, kept, [col])
+    """Categories seen fewer than ``min_count`` times (in ``among``, else in ``df``) get one label; NULL counts as a category.
+
+    ``weight`` names the rows that a row of ``among`` stands for.  Rows are only shuffled if many categories stay.
+    """
+    seen = F.count("*") if weight is None else F.sum(weight)
+    kept = cut_lineage(
+        (df if among is None else among).groupBy(col).agg(seen.alias("__n")).where(F.col("__n") >= min_count)
+        .select(col, F.lit(True).alias("__kept")))
+    if kept.count() <= FEW_KEYS:
+        small = F.broadcast(kept.withColumnRenamed(col, "__k"))
+        out = df.join(small, F.col(col).eqNullSafe(F.col("__k")), "left").drop("__k")
+    else:
+        out = lookup(df, kept, [col], grows=True)
     return out.withColumn(
         col, F.when(F.col("__kept"), F.col(col)).otherwise(F.lit(label))
     ).drop("__kept").select(*df.columns)
