@@ -12,6 +12,7 @@ from kinfold.operators import identity as ids
 from kinfold.operators import roles
 from kinfold.plans import clean
 from kinfold.plans.session import table
+from kinfold.plans.texts import read_once
 from kinfold.queries.base import CELLS, EXPERIMENTS, LINES, frame, query, r, rounded
 
 NUM = num.NUMBER
@@ -209,11 +210,12 @@ def p12(spark, sf):
  SELECT l_orderkey, l_linenumber, l_partkey, {r('abs(f)')} AS speed,
  {r('CASE WHEN g IS NOT NULL THEN log10(greatest(g, 1e-8)) END')} AS log_g, {r('w * l_linenumber')} AS energy FROM d""")
 def p13(spark, sf):
-    df = frame(spark, sf, CELLS)
+    df = frame(spark, sf, CELLS).select("l_orderkey", "l_linenumber", "l_partkey", "flow", "gravity", "power")
+    df = read_once(df, {"flow": num.flow_mm_s, "gravity": num.gravity_g, "power": num.watts})
     return rounded(df.select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.abs(num.flow_mm_s(F.col("flow"))).alias("speed"),
-        num.floored_log10(num.gravity_g(F.col("gravity"))).alias("log_g"),
-        (num.watts(F.col("power")) * F.col("l_linenumber")).alias("energy"),
+        "l_orderkey", "l_linenumber", "l_partkey", F.abs("flow").alias("speed"),
+        num.floored_log10(F.col("gravity")).alias("log_g"),
+        (F.col("power") * F.col("l_linenumber")).alias("energy"),
     ))
 
 
