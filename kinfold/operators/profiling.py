@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import partial
+from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold.functions.special import student_t_two_sided
 from kinfold.plans.ordered import lookup, prefix_sums, quantiles
 from kinfold.plans.session import cut_lineage
 
+#: Distinct values of a column whose ranks are sent to every task as one table; more are joined by a shuffle.
+FEW_VALUES = 50_000
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
@@ -250,39 +248,31 @@ def _null_classes(df: DataFrame, cols: Sequence[str], row: str) -> tuple[list[in
     return of, [cols[of.index(c)] for c in range(len(seen))]
 
 
-def _gram(classes: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(i, j, sum) of the products of centred ranks over the task's rows; a row is an array of (column, ranks)."""
-    k, n = len(classes), max(classes) + 1
-    of = np.array(classes)
-    total, some, step = np.zeros((k, k)), False, max(1, (1 << 22) // (k * n))
-    for batch in batches:
-        lists = batch.column(0)
-        for lo in range(0, len(lists), step):
-            part = lists.slice(lo, step)
-            row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy())
-            flat = part.flatten()
-            ranks = flat.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-            grid = np.zeros((n, len(part), k))  # ranks of each column among the rows where a class is present
-            grid[:, row, flat.field(0).to_numpy()] = ranks.T
-            for p in range(n):
-                for q in range(p, n):
-                    x, y = np.flatnonzero(of == p), np.flatnonzero(of == q)
-                    block = grid[q][:, x].T @ grid[p][:, y]
-                    total[np.ix_(x, y)] += block
-                    if p != q:
-                        total[np.ix_(y, x)] += block.T
-            some = True
-    if some:
-        i, j = np.triu_indices(k, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "v"])
+def _with_ranks(rows: DataFrame, ranks: DataFrame, of: list[int]) -> DataFrame:
+    """``rows`` with the array of ranks ``r0``, ``r1``.. of each column's value (NULL for none)."""
+    # a row per column; a value's rows are those of the column's own class, which has most of them
+    stats = {r["i"]: r for r in ranks.select("i", F.array_max("n").alias("n")).groupBy("i").agg(
+        F.count("*").alias("d"), F.max("n").alias("hot"), F.sum("n").alias("n")).collect()}
+    total, tasks = rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = lambda i: i not in stats or stats[i]["d"] <= FEW_VALUES
+    for i in sorted(range(len(of)), key=few):  # small tables last: their ranks aren't shuffled
+        table = ranks.where(F.col("i") == i).select(F.col("v").alias(f"v{i}"), F.col("r").alias(f"r{i}"))
+        if few(i):
+            rows = rows.join(F.broadcast(table), f"v{i}", "left").drop(f"v{i}")
+        else:
+            hot = max(stats[i]["hot"], total - stats[i]["n"])  # the most frequent value, or NULL
+            salts = max(1, min(tasks, -(-hot * tasks // total)))
+            rows = lookup(rows, table, [f"v{i}"], "left", ["row"], salts, grows=True).drop(f"v{i}")
+    return rows
 
 
 def rank_correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Spearman matrix (upper triangle, long form).
 
     Every column is ranked once, by its distinct values, for each distinct pattern of nulls that
-    other columns have.  A row gets its ranks back (rows x columns, not x pairs), and
-    all pair sums are one Gram matrix of blocks, added up in each task.
+    other columns have.  Rows stay whole and look up a column's ranks at a time: from a table sent to every
+    task if its values are few, else by a join that is salted only as far as its most frequent
+    value needs.  All pair sums are one aggregate.
     """
     cols = list(cols)
     held = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]).withColumn(
@@ -290,7 +280,7 @@ def rank_correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     names = [f"v{i}" for i in range(len(cols))]
     of, firsts = _null_classes(held, names, "row")
     present = F.array(*[F.col(c).isNotNull().cast("long") for c in firsts])
-    long = held.select("row", F.posexplode(F.array(*names)).alias("i", "v"), present.alias("in_")).where("v is not null")
+    long = held.select(F.posexplode(F.array(*names)).alias("i", "v"), present.alias("in_")).where("v is not null")
     counts = {f"n{c}": F.col(f"n{c}") for c in range(len(firsts))}
     values = long.groupBy("i", "v").agg(*[F.sum(F.col("in_")[c]).alias(f"n{c}") for c in range(len(firsts))])
     sums = prefix_sums(values, "v", counts, ["i"])
@@ -301,15 +291,17 @@ def rank_correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     # a column's own sums among the rows where a class is present: columns x classes numbers
     own = ranks.select("i", F.posexplode(F.zip_with("r", "n", lambda x, m: F.struct((x * x * m).alias("s"), m.alias("m")))).alias("c", "t")).groupBy(
         "i", "c").agg(F.sum("t.s").alias("s"), F.sum("t.m").alias("n"))
-    rows = lookup(long.select("row", "i", "v"), ranks.select("i", "v", "r"), ["i", "v"], "inner", ["row"]).groupBy("row").agg(
-        F.collect_list(F.struct("i", "r")).alias("l"))  # at most one per column
-    gram = rows.select("l").mapInArrow(partial(_gram, of), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("cov"))
+    rows = _with_ranks(held, ranks, of)
+    at = lambda i, c: F.col(f"r{i}")[of[c]]
+    sums_of = rows.agg(*[F.sum(at(i, j) * at(j, i)).alias(f"p{i}_{j}") for i, j in combinations(range(len(cols)), 2)])
+    gram = sums_of.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("cov")) for i, j in combinations(range(len(cols)), 2)])))
     pairs = df.sparkSession.createDataFrame(
         [(i, j, a, b, of[i], of[j]) for (i, a), (j, b) in combinations(enumerate(cols), 2)],
         "i int, j int, a string, b string, ci int, cj int")
-    at = lambda i, c, s, n: own.select(F.col("i").alias(i), F.col("c").alias(c), F.col("s").alias(s), F.col("n").alias(n))
-    full = pairs.join(gram, ["i", "j"], "left").join(at("i", "cj", "sa", "n"), ["i", "cj"], "left").join(
-        at("j", "ci", "sb", "m"), ["j", "ci"], "left")
+    side = lambda i, c, s, n: own.select(F.col("i").alias(i), F.col("c").alias(c), F.col("s").alias(s), F.col("n").alias(n))
+    full = pairs.join(gram, ["i", "j"], "left").join(side("i", "cj", "sa", "n"), ["i", "cj"], "left").join(
+        side("j", "ci", "sb", "m"), ["j", "ci"], "left")
     return full.where("n > 0").select("a", "b", "n", F.try_divide("cov", F.sqrt(F.col("sa") * F.col("sb"))).alias("rho"))
 
 
