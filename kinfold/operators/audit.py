@@ -151,19 +151,23 @@ def digamma(x: Column) -> Column:
     return series + shift
 
 
-def _count_below(points: DataFrame, asks: DataFrame, key: list[str], strict: bool) -> DataFrame:
-    """For every ask (key, at, id..) how many points of the key are < at (or <= at)."""
-    cols = [c for c in asks.columns if c not in (*key, "at")]
-    p = points.select(*key, F.col("v").alias("at"), F.lit(1 if strict else 0).alias("kind"), F.col("w"),
-                      *[F.lit(None).cast(asks.schema[c].dataType).alias(c) for c in cols])
-    a = asks.select(*key, "at", F.lit(0 if strict else 1).alias("kind"), F.lit(0).cast("bigint").alias("w"), *cols)
-    both = with_value_bucket(p.unionByName(a), "at")
-    cells = both.groupBy(*key, "__bucket").agg(F.sum("w").alias("s"))
-    earlier = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = cells.select(*key, "__bucket", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("off"))
-    inside = Window.partitionBy(*key, "__bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = both.join(off, [*key, "__bucket"]).withColumn("below", F.col("off") + F.sum("w").over(inside))
-    return swept.where(F.col("kind") == (0 if strict else 1)).select(*key, "at", *cols, "below")
+def _counts_inside(points: DataFrame, row_id: str) -> DataFrame:
+    """(feature, row, inside): how many ``v`` of the feature lie in the closed interval ``v - near`` to ``v + near`` of each row.
+
+    Points and both ends of all intervals are one table and one sweep; a lower end comes before its
+    equals, an upper one after them.
+    """
+    v, near = F.col("v"), F.col("near")
+    entry = lambda at, kind, w: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(w).cast("bigint").alias("w"))
+    all_ = points.select("feature", row_id, F.inline(F.array(entry(v - near, -1, 0), entry(v, 0, 1), entry(v + near, 1, 0))))
+    all_ = with_value_bucket(all_, "at", points.select(v.alias("at")))
+    cells = all_.groupBy("feature", "__bucket").agg(F.sum("w").alias("s"))
+    earlier = Window.partitionBy("feature").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    off = cells.select("feature", "__bucket", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("off"))
+    inside = Window.partitionBy("feature", "__bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = all_.join(off, ["feature", "__bucket"]).withColumn("below", F.col("off") + F.sum("w").over(inside))
+    ends = swept.where("kind <> 0")
+    return ends.groupBy("feature", row_id).agg(F.sum(F.col("kind") * F.col("below")).alias("inside"))
 
 
 def neighbour_information(
@@ -171,16 +175,19 @@ def neighbour_information(
 ) -> DataFrame:
     """(feature, mi): k-nearest-neighbour estimate of numeric columns against a discrete target.
 
-    Missing values take the column median.  Per row the distance to its k-th
-    neighbour in the own class comes from an index window of 2k rows over the
-    class order; the number of all rows nearer than that comes from two as-of
-    counts.  Classes of one row are left out.
+    Missing values take the column median, which is only worked out where there are some.  Per row
+    the distance to its k-th neighbour in the own class comes from an index window of 2k rows over
+    the class order; the number of all rows nearer than that comes from one sweep over all points
+    and both ends of these intervals.  Classes of one row are left out.
     """
-    long = _long(df, cols, [row_id, target])
-    med = quantiles(long, "value", {"m": 0.5}, ["feature"])
-    x = long.join(F.broadcast(med), "feature").select(  # one row per feature
-        "feature", row_id, F.col(target).cast("string").alias("t"), F.coalesce("value", "m").alias("v"))
-    x = cut_lineage(x)
+    x = cut_lineage(_long(df, cols, [row_id, target]).select(
+        "feature", row_id, F.col(target).cast("string").alias("t"), F.col("value").cast("double").alias("v")))
+    counts = x.groupBy("feature").agg(F.count("v").alias("n"), F.count("*").alias("m")).collect()  # a row per feature
+    holes = [c["feature"] for c in counts if c["n"] < c["m"]]
+    if holes:
+        med = quantiles(x.where(F.col("feature").isin(holes)), "v", {"med": 0.5}, ["feature"])
+        x = cut_lineage(x.join(F.broadcast(med), "feature", "left").withColumn("v", F.coalesce("v", "med")).drop("med").where(
+            F.col("v").isNotNull()))  # a feature of nothing but nulls has no median
     # position in the (feature, class) order, then a k-wide halo by equi-join on blocks
     pos = prefix_sums(x, ["v", row_id], {"one": F.lit(1).cast("bigint")}, ["feature", "t"]).select(
         "feature", "t", "v", row_id, F.col("one_before").alias("p"), F.col("one_total").alias("n"))
@@ -197,18 +204,15 @@ def neighbour_information(
     ).where(F.col("b") == block).select(
         "feature", row_id, "v", "n", kk.alias("kk"), F.element_at("d", kk).alias("r"))
     r = cut_lineage(r)
-    pts = r.select("feature", "v", F.lit(1).cast("bigint").alias("w"))
     # just inside the radius: the k-th neighbour itself never counts, equal values always do
-    near_r = F.col("r") * (1 - 1e-10)
-    hi = _count_below(pts, r.select("feature", row_id, (F.col("v") + near_r).alias("at")), ["feature"], False)
-    lo = _count_below(pts, r.select("feature", row_id, (F.col("v") - near_r).alias("at")), ["feature"], True)
-    m = r.join(hi.select("feature", row_id, F.col("below").alias("hi")), ["feature", row_id]).join(
-        lo.select("feature", row_id, F.col("below").alias("lo")), ["feature", row_id])
-    inside = F.greatest(F.lit(1), F.col("hi") - F.col("lo")).cast("double")
-    dg = lambda c: F.avg(digamma(c.cast("double")))
-    return m.groupBy("feature").agg(F.greatest(
-        F.lit(0.0), digamma(F.count("*").cast("double")) + dg(F.col("kk")) - dg(F.col("n")) - dg(inside)
-    ).alias("mi"))
+    found = _counts_inside(r.select("feature", row_id, "v", (F.col("r") * (1 - 1e-10)).alias("near")), row_id)
+    dg = lambda c: digamma(c.cast("double"))
+    inside = found.groupBy("feature").agg(F.avg(dg(F.greatest(F.lit(1), F.col("inside")))).alias("inside"))
+    # class sizes are few
+    sizes = r.groupBy("feature", "n", "kk").agg(F.count("*").alias("w")).groupBy("feature").agg(
+        F.sum("w").alias("all"), (F.sum(F.col("w") * (dg(F.col("kk")) - dg(F.col("n")))) / F.sum("w")).alias("own"))
+    return sizes.join(inside, "feature").select(
+        "feature", F.greatest(F.lit(0.0), dg(F.col("all")) + F.col("own") - F.col("inside")).alias("mi"))
 
 
 def information_table(
