@@ -306,15 +306,21 @@ def rank_correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def encoded_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Every feature as a number without nulls: categories as codes in their order (-1 for null), missing numbers at the median."""
-    out = df.select(*[F.col(c).cast("double").alias(c) for c in numeric], *categorical)
+    """Every feature as a number without nulls: categories as codes in their order (-1 for null), missing numbers at the median.
+
+    The features are stored first, because codes and medians read them again; a column without missing numbers needs no median.
+    """
+    held = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in numeric], *categorical))
+    missing = held.agg(F.count("*"), *[F.count_if(F.col(c).isNull()) for c in numeric]).first()[1:]
+    out = held
     for c in categorical:
-        codes = prefix_sums(out.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("__v")).distinct(), "__v",
+        codes = prefix_sums(held.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("__v")).distinct(), "__v",
                             {"__one": F.lit(1).cast("long")}, bucket=F.ascii("__v")).select("__v", F.col("__one_before").alias("__code"))
         out = lookup(out.withColumn("__v", F.col(c).cast("string")), codes, ["__v"]).drop("__v", c).withColumn(
             c, F.coalesce("__code", F.lit(-1)).cast("double")).drop("__code")
-    for c in numeric:
-        out = out.withColumn(c, F.coalesce(c, quantiles(df.select(F.col(c).cast("double").alias(c)), c, {"m": 0.5}).select("m").scalar()))
+    for c, gaps in zip(numeric, missing, strict=True):
+        if gaps:
+            out = out.withColumn(c, F.coalesce(c, quantiles(held.select(c), c, {"m": 0.5}).select("m").scalar()))
     return out.select(*numeric, *categorical)
 
 
