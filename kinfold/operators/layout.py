@@ -6,7 +6,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kinfold.functions.text import contains_any, drop_soft_hyphens
 from kinfold.plans.ordered import dense_positions
@@ -39,22 +44,11 @@ METADATA_WORDS = (
 HEADER_MARGIN, FOOTER_MARGIN, WIDE_BLOCK, TOP_BAND = 0.14, 0.15, 0.65, 0.25
 MIN_IOU, MIN_OVERLAP = 0.02, 0.20
 GRID = 16
+BOX = ("x0", "y0", "x1", "y1")
 # Up to so many blocks a page is matched without the grid.
 PAGE_BLOCKS = 64
 
 
-def _overlap(p: str, q: str) -> Column:
-    w = F.least(F.col(f"{p}x1"), F.col(f"{q}x1")) - F.greatest(F.col(f"{p}x0"), F.col(f"{q}x0"))
-    h = F.least(F.col(f"{p}y1"), F.col(f"{q}y1")) - F.greatest(F.col(f"{p}y0"), F.col(f"{q}y0"))
-    return F.when((w > 0) & (h > 0), w * h).otherwise(0.0)
-
-
-def _area(p: str = "") -> Column:
-    return F.greatest(F.lit(0.0), F.col(f"{p}x1") - F.col(f"{p}x0")) * F.greatest(
-        F.lit(0.0), F.col(f"{p}y1") - F.col(f"{p}y0")
-    )
-
-
 def _cells(df: DataFrame, width: float, height: float, p: str = "") -> DataFrame:
     """One row per grid cell a box (its columns begin with ``p``) touches."""
     at = lambda c, size: F.greatest(F.lit(0), F.least(
@@ -85,18 +79,24 @@ def match_regions(
         placed = _cells(r.join(full, ["doc", "page"], "left_semi"), width, height, "r")
         crowded = _cells(b.join(full, ["doc", "page"], "left_semi"), width, height)
         pair = pair.unionByName(crowded.join(placed.hint("merge"), cell).drop("__cx", "__cy"))
-    inter = _overlap("", "r")
-    iou = F.coalesce(F.try_divide(inter, _area() + _area("r") - inter), F.lit(0.0))
-    share = F.coalesce(F.try_divide(inter, _area()), F.lit(0.0))
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    inside = cx.between(F.col("rx0"), F.col("rx1")) & cy.between(F.col("ry0"), F.col("ry1"))
-    rank = F.struct(
-        iou.alias("iou"), share.alias("share"), inside.cast("int").alias("inside"),
-        (-F.col("region_id")).alias("first"),
-    )
-    # a pair that doesn't touch is below every limit and below every pair that does
-    best = pair.where((iou > 0) | (share > 0) | inside).groupBy(*keys).agg(
-        F.max(F.struct(rank.alias("k"), F.col("label"), F.col("score"))).alias("m")
+    return best_regions(blocks, pair)
+
+
+def best_regions(blocks: DataFrame, pair: DataFrame) -> DataFrame:
+    """Each block with the best of the regions that ``pair`` puts beside it (``rx0`` to ``ry1``), if good enough.
+
+    Pairs of a block follow each other where they are made, so most are settled batch by batch and few are sorted.
+    """
+    keys = ["doc", "page", "block_id"]
+    x, y = ([F.col(f"{c}0"), F.col(f"{c}1")] for c in "xy")
+    # all that the JVM does for a pair: a longer test is a method that it doesn't compile
+    near = (F.greatest(*x) >= F.col("rx0")) & (F.least(*x) <= F.col("rx1")) & (F.greatest(*y) >= F.col("ry0")) & (F.least(*y) <= F.col("ry1"))
+    first = F.coalesce(-F.col("region_id").cast("long"), F.lit(-(1 << 63))).alias("first")
+    touching = pair.where(near).select(*keys, *[F.col(p + c).cast("double").alias(p + c) for p in ("", "r") for c in BOX], first, "label", "score")
+    kept = [f for f in touching.schema.fields if f.name.removeprefix("r") not in BOX]
+    rank = [T.StructField("iou", T.DoubleType()), T.StructField("share", T.DoubleType()), T.StructField("inside", T.IntegerType())]
+    best = touching.mapInArrow(_tops, T.StructType(kept + rank)).groupBy(*keys).agg(
+        F.max(F.struct(F.struct("iou", "share", "inside", "first").alias("k"), F.col("label"), F.col("score"))).alias("m")
     ).where(
         (F.col("m.k.iou") >= MIN_IOU) | (F.col("m.k.share") >= MIN_OVERLAP)
         | (F.col("m.k.inside") == 1)
@@ -107,6 +107,35 @@ def match_regions(
     )
 
 
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of the highest rank (all, if equal) of each run of pairs of one block, with what they rank by."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        x0, y0, x1, y1, u0, v0, u1, v1 = (batch.column(p + c).to_numpy() for p in ("", "r") for c in BOX)
+        w, h = np.minimum(x1, u1) - np.maximum(x0, u0), np.minimum(y1, v1) - np.maximum(y0, v0)
+        inter = np.where((w > 0) & (h > 0), w * h, 0.0)
+        area, other = (np.maximum(0.0, b - a) * np.maximum(0.0, d - c) for a, b, c, d in ((x0, x1, y0, y1), (u0, u1, v0, v1)))
+        iou, share = (np.divide(inter, x, out=np.zeros(n), where=x != 0) for x in (area + other - inter, area))
+        cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+        inside = (cx >= u0) & (cx <= u1) & (cy >= v0) & (cy <= v1)
+        new = np.zeros(n, bool)
+        new[0] = True
+        for name in ("doc", "page", "block_id"):
+            c = batch.column(name)
+            new[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+        starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+        keep = (iou > 0) | (share > 0) | inside  # a pair that doesn't touch is below every limit and below every pair that does
+        for v in (iou, share, inside.astype("int32"), batch.column("first").to_numpy()):
+            v = np.where(keep, v, np.iinfo(v.dtype).min if v.dtype.kind == "i" else -np.inf)
+            keep &= v == np.maximum.reduceat(v, starts)[run]
+        kept = [name for name in batch.schema.names if name.removeprefix("r") not in BOX]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(name) for name in kept], pa.array(iou), pa.array(share), pa.array(inside.astype("int32"))],
+            names=[*kept, "iou", "share", "inside"]).filter(pa.array(keep))
+
+
 def _words(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " ")))
 
