@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold.functions.special import student_t_two_sided
 from kinfold.plans.ordered import lookup, prefix_sums, quantiles
-from kinfold.plans.session import cut_lineage
+from kinfold.plans.session import cut_lineage, free, shuffles_removed, written
 
 #: Distinct values of a column whose ranks are sent to every task as one table; more are joined by a shuffle.
 FEW_VALUES = 50_000
+#: Rows that look their ranks up in one query.
+ROWS_AT_ONCE = 16_000_000
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
@@ -248,12 +250,9 @@ def _null_classes(df: DataFrame, cols: Sequence[str], row: str) -> tuple[list[in
     return of, [cols[of.index(c)] for c in range(len(seen))]
 
 
-def _with_ranks(rows: DataFrame, ranks: DataFrame, of: list[int]) -> DataFrame:
+def _with_ranks(rows: DataFrame, ranks: DataFrame, of: list[int], stats: dict, total: int) -> DataFrame:
     """``rows`` with the array of ranks ``r0``, ``r1``.. of each column's value (NULL for none)."""
-    # a row per column; a value's rows are those of the column's own class, which has most of them
-    stats = {r["i"]: r for r in ranks.select("i", F.array_max("n").alias("n")).groupBy("i").agg(
-        F.count("*").alias("d"), F.max("n").alias("hot"), F.sum("n").alias("n")).collect()}
-    total, tasks = rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = lambda i: i not in stats or stats[i]["d"] <= FEW_VALUES
     for i in sorted(range(len(of)), key=few):  # small tables last: their ranks aren't shuffled
         table = ranks.where(F.col("i") == i).select(F.col("v").alias(f"v{i}"), F.col("r").alias(f"r{i}"))
@@ -266,37 +265,75 @@ def _with_ranks(rows: DataFrame, ranks: DataFrame, of: list[int]) -> DataFrame:
     return rows
 
 
+def _pair_sums(rows: DataFrame, of: list[int]) -> DataFrame:
+    """One row with the sum ``p{i}_{j}`` of rank products of every two columns."""
+    at = lambda i, c: F.col(f"r{i}")[of[c]]
+    return rows.agg(*[F.sum(at(i, j) * at(j, i)).alias(f"p{i}_{j}") for i, j in combinations(range(len(of)), 2)])
+
+
+def _sums_of_parts(held: DataFrame, path: str, ranks: DataFrame, of: list[int], stats: dict, total: int, parts: int) -> dict:
+    """``_pair_sums`` of the stored rows at ``path`` (deleted), added up over ``parts`` whose shuffle files go one by one.
+
+    Rows are parted by their value in the column of most values, so each part needs only its share of the largest
+    table of ranks; by row where a value is so frequent that its part would be large.
+    """
+    spark = held.sparkSession
+    by = max(stats, key=lambda i: stats[i]["d"])
+    even = stats[by]["hot"] * parts <= 2 * total
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    part = F.when(F.col(f"v{by}").isNotNull(), place(f"v{by}")).otherwise(place("row")) if even else place("row")
+    parted, folder = written(held.withColumn("part", part), ["part"])
+    free(spark, path)
+    sums: dict = {}
+    for p in range(parts):
+        rows = parted.where(F.col("part") == p).drop("part")
+        table = ranks.where((F.col("i") != by) | (place("v") == p)) if even else ranks
+        for name, s in _pair_sums(_with_ranks(rows, table, of, stats, total), of).first().asDict().items():
+            sums[name] = sums.get(name) if s is None else s + (sums.get(name) or 0.0)
+    free(spark, folder)
+    return sums
+
+
 def rank_correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Spearman matrix (upper triangle, long form).
 
     Every column is ranked once, by its distinct values, for each distinct pattern of nulls that
     other columns have.  Rows stay whole and look up a column's ranks at a time: from a table sent to every
     task if its values are few, else by a join that is salted only as far as its most frequent
-    value needs.  All pair sums are one aggregate.
+    value needs.  All pair sums are one aggregate; beyond ``ROWS_AT_ONCE`` rows it is one per part, so that
+    the rows shuffled at a time, once for each such column, stay bounded.
     """
-    cols = list(cols)
-    held = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]).withColumn(
-        "row", F.monotonically_increasing_id()))
-    names = [f"v{i}" for i in range(len(cols))]
-    of, firsts = _null_classes(held, names, "row")
-    present = F.array(*[F.col(c).isNotNull().cast("long") for c in firsts])
-    long = held.select(F.posexplode(F.array(*names)).alias("i", "v"), present.alias("in_")).where("v is not null")
-    counts = {f"n{c}": F.col(f"n{c}") for c in range(len(firsts))}
-    values = long.groupBy("i", "v").agg(*[F.sum(F.col("in_")[c]).alias(f"n{c}") for c in range(len(firsts))])
-    sums = prefix_sums(values, "v", counts, ["i"])
-    centred = lambda c: F.col(f"n{c}_before") + (F.col(f"n{c}") + 1) / 2 - (F.col(f"n{c}_total") + 1) / 2
-    ranks = cut_lineage(sums.select(
-        "i", "v", F.array(*[centred(c).cast("double") for c in range(len(firsts))]).alias("r"),
-        F.array(*[F.col(f"n{c}") for c in range(len(firsts))]).alias("n")))
+    cols, spark = list(cols), df.sparkSession
+    numbers = list(combinations(range(len(cols)), 2))
+    with shuffles_removed(spark):
+        held, path = written(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]).withColumn(
+            "row", F.monotonically_increasing_id()))
+        names = [f"v{i}" for i in range(len(cols))]
+        of, firsts = _null_classes(held, names, "row")
+        present = F.array(*[F.col(c).isNotNull().cast("long") for c in firsts])
+        long = held.select(F.posexplode(F.array(*names)).alias("i", "v"), present.alias("in_")).where("v is not null")
+        counts = {f"n{c}": F.col(f"n{c}") for c in range(len(firsts))}
+        values = long.groupBy("i", "v").agg(*[F.sum(F.col("in_")[c]).alias(f"n{c}") for c in range(len(firsts))])
+        sums = prefix_sums(values, "v", counts, ["i"])
+        centred = lambda c: F.col(f"n{c}_before") + (F.col(f"n{c}") + 1) / 2 - (F.col(f"n{c}_total") + 1) / 2
+        ranks = cut_lineage(sums.select(
+            "i", "v", F.array(*[centred(c).cast("double") for c in range(len(firsts))]).alias("r"),
+            F.array(*[F.col(f"n{c}") for c in range(len(firsts))]).alias("n")))
+        # a row per column; a value's rows are those of the column's own class, which has most of them
+        stats = {r["i"]: r for r in ranks.select("i", F.array_max("n").alias("n")).groupBy("i").agg(
+            F.count("*").alias("d"), F.max("n").alias("hot"), F.sum("n").alias("n")).collect()}
+        total = held.count()
+        parts = -(-total // ROWS_AT_ONCE) if stats else 1
+        if parts > 1:
+            found = _sums_of_parts(held, path, ranks, of, stats, total, parts)
+            gram = spark.createDataFrame([(i, j, found[f"p{i}_{j}"]) for i, j in numbers], "i int, j int, cov double")
+        else:
+            gram = _pair_sums(_with_ranks(held, ranks, of, stats, total), of).select(F.inline(F.array(*[
+                F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("cov")) for i, j in numbers])))
     # a column's own sums among the rows where a class is present: columns x classes numbers
     own = ranks.select("i", F.posexplode(F.zip_with("r", "n", lambda x, m: F.struct((x * x * m).alias("s"), m.alias("m")))).alias("c", "t")).groupBy(
         "i", "c").agg(F.sum("t.s").alias("s"), F.sum("t.m").alias("n"))
-    rows = _with_ranks(held, ranks, of)
-    at = lambda i, c: F.col(f"r{i}")[of[c]]
-    sums_of = rows.agg(*[F.sum(at(i, j) * at(j, i)).alias(f"p{i}_{j}") for i, j in combinations(range(len(cols)), 2)])
-    gram = sums_of.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("cov")) for i, j in combinations(range(len(cols)), 2)])))
-    pairs = df.sparkSession.createDataFrame(
+    pairs = spark.createDataFrame(
         [(i, j, a, b, of[i], of[j]) for (i, a), (j, b) in combinations(enumerate(cols), 2)],
         "i int, j int, a string, b string, ci int, cj int")
     side = lambda i, c, s, n: own.select(F.col("i").alias(i), F.col("c").alias(c), F.col("s").alias(s), F.col("n").alias(n))
